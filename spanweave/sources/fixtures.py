@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.sources.tables import table
+from spanweave.sources.tables import spread, table  # noqa: F401
 
 # Fixed values of the derived annotation rules (shared with the SQL oracle).
 TRAILING_PUNCT = ".,;:!?|"
@@ -49,7 +49,7 @@ PRED_SPURIOUS = "substr({h}, 1, 1) = 'f' AND substr({h}, 2, 1) < '4'"
 
 
 def docs(spark: SparkSession, sf_dir: str, garbled: bool = False) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     src, dst = "\n\t\r", "   "
     if garbled:
         src, dst = src + GARBLE_FROM, dst + GARBLE_TO

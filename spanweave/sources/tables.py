@@ -19,3 +19,17 @@ DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work at least one input partition per core.
+
+    Large inputs already arrive in many file splits and pass through
+    unchanged.  A small file with a single row group would otherwise put all
+    text processing into one task; then a round-robin repartition (a shuffle
+    of that small input only) spreads it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
