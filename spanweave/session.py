@@ -25,6 +25,9 @@ def get_session(master: str | None = None, app: str = "spanweave",
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if master and master.startswith("local"):
+        # local mode: the driver is the only JVM; give it the executor heap
+        builder = builder.config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
