@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanweave.schema import BAD_CHAR_CLASS, MIN_EXAMPLE_ENTITIES, SPLITS
+from spanweave.sources.tables import keep_if
 
 
 def is_clean(c: Column) -> Column:
@@ -20,7 +21,7 @@ def is_clean(c: Column) -> Column:
 
 def drop_unannotated(samples: DataFrame) -> DataFrame:
     """Skip samples without entities."""
-    return samples.where(F.size(F.coalesce("entities", F.array())) > 0)
+    return keep_if(samples, F.size(F.coalesce("entities", F.array())) > 0)
 
 
 def explode_entities(samples: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -47,7 +48,7 @@ def clean_entity_names(entities: DataFrame) -> DataFrame:
 def clean_samples(samples: DataFrame, min_entities: int = MIN_EXAMPLE_ENTITIES) -> DataFrame:
     """Text and every entity name clean, and at least ``min_entities``."""
     ents = F.coalesce("entities", F.array())
-    return samples.where(
+    return keep_if(samples, 
         is_clean(F.col("text"))
         & F.forall(ents, lambda x: ~F.coalesce(x["name"], F.lit("")).rlike(BAD_CHAR_CLASS))
         & (F.size(ents) >= min_entities))

@@ -8,6 +8,7 @@ from spanweave import oracle as O
 from spanweave.catalog import register
 from spanweave.operators import tagging as tg
 from spanweave.sources import fixtures as fx
+from spanweave.sources.tables import keep_if
 
 _C = O.cand_ctes()
 # Vocabulary of the earthquake dataset; 'work' is outside it.
@@ -50,7 +51,7 @@ def _with_tags(spark, sf):
 
 
 def _summary(df, col):
-    return df.where(F.size(col) > 0).select(
+    return keep_if(df, F.size(col) > 0).select(
         "doc_id", F.size(col).cast("bigint").alias("n_tags"),
         F.size(F.filter(col, lambda t: t.startswith("B-"))).cast("bigint").alias("n_b"),
         F.size(F.filter(col, lambda t: t.startswith("I-"))).cast("bigint").alias("n_i"),
@@ -120,6 +121,6 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(*) FILTER (WHERE
 FROM gtag GROUP BY doc_id""")
 def explode_chars(spark, sf):
     t = tg.explode_chars(_with_tags(spark, sf).select("doc_id", "text", F.col("gold_tags").alias("tags")))
-    return t.where(F.size("tokens") > 0).where(F.length("text") > 0).select(
+    return keep_if(t, (F.size("tokens") > 0) & (F.length("text") > 0)).select(
         "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
         F.size(F.filter("ner_tags", lambda x: x != "O")).cast("bigint").alias("n_tagged"))

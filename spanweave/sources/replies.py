@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.sources import fixtures as fx
+from spanweave.sources.tables import keep_if
 
 # Fixed reply pieces (shared with the SQL oracle).
 FENCE_OPEN = "```json\n"
@@ -38,7 +39,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, text, variant, reply`` for documents with a gold entity."""
     a = fx.annotated(spark, sf_dir).select("doc_id", "text", "gold")
     usable = F.filter("gold", lambda x: ~x["name"].contains('"') & ~x["name"].contains("\\"))
-    a = a.withColumn("g", usable).where(F.size("gold") > 0)
+    a = keep_if(a.withColumn("g", usable), F.size("gold") > 0)
     items = F.transform("g", lambda x: F.concat(
         F.lit('{"type":"'), x["type"], F.lit('","text":"'), x["name"], F.lit('","span":['),
         x["s"].cast("string"), F.lit(","), x["e"].cast("string"), F.lit("]}")))

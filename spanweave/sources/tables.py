@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -33,3 +34,16 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def keep_if(df: DataFrame, cond) -> DataFrame:
+    """Filter on a column computed by per-row array work.
+
+    A plain ``where`` is pushed by the optimizer below the projection that
+    computes the column (and below a ``spread`` exchange), so the expensive
+    expression would run twice, the first time before the input is spread.
+    A one-element generator keeps the predicate where it is written and reads
+    the computed column.
+    """
+    return (df.select("*", F.explode(F.when(cond, F.array(F.lit(True)))).alias("_keep"))
+              .drop("_keep"))
