@@ -36,7 +36,12 @@ def _json_escape(c):
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text, variant, reply`` for documents with a gold entity."""
+    """``doc_id, text, variant, reply`` for documents with a gold entity
+    (materialised once per application: replies are stored, not recomputed)."""
+    return fx.materialized(spark, ("responses", sf_dir), lambda: _build(spark, sf_dir))
+
+
+def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fx.annotated(spark, sf_dir).select("doc_id", "text", "gold")
     usable = F.filter("gold", lambda x: ~x["name"].contains('"') & ~x["name"].contains("\\"))
     a = keep_if(a.withColumn("g", usable), F.size("gold") > 0)
