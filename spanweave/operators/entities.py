@@ -66,7 +66,7 @@ def row_text(df: DataFrame) -> Column:
     return F.coalesce(*parts)
 
 
-def entity_distribution(entities: DataFrame) -> DataFrame:
+def entity_distribution(entities: DataFrame, digits: int | None = 6) -> DataFrame:
     """A1: per type count, share of all entities, distinct clean names.
 
     Garbled names count in the totals but not among the unique names.
@@ -75,9 +75,10 @@ def entity_distribution(entities: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(F.when(is_clean(F.col("name")), F.col("name"))).alias("unique_entities"))
     w = Window.partitionBy()  # over the handful of per-type rows only
-    return per.select("type", "n",
-                      F.round(F.col("n") / F.sum("n").over(w), 6).alias("ratio"),
-                      "unique_entities")
+    ratio = F.col("n") / F.sum("n").over(w)
+    if digits is not None:
+        ratio = F.round(ratio, digits)
+    return per.select("type", "n", ratio.alias("ratio"), "unique_entities")
 
 
 def corpus_totals(samples: DataFrame) -> DataFrame:

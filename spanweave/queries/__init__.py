@@ -1,4 +1,4 @@
 """Registered queries, grouped by area.  Importing this package fills
 ``spanweave.catalog.QUERIES`` and ``ORACLE``."""
 
-from spanweave.queries import corpus_q, corpus_text_q, parsing_q, scoring_q, tagging_q  # noqa: F401
+from spanweave.queries import corpus_q, corpus_text_q, parsing_q, planning_q, scoring_q, tagging_q  # noqa: F401
