@@ -136,11 +136,13 @@ def explode_chars(df: DataFrame, text_col: str = "text", tags_col: str = "tags")
 def mask_ignored(df: DataFrame, labels_col: str = "labels", preds_col: str = "preds") -> DataFrame:
     """Drop positions labelled ``-100`` in both sequences; drop sequences
     left empty."""
-    z = F.expr(f"filter(arrays_zip({labels_col} AS l, {preds_col} AS p), x -> x.l <> {IGNORE_INDEX})")
+    z = F.filter(F.arrays_zip(F.col(labels_col), F.col(preds_col)),
+                 lambda x: x[labels_col] != IGNORE_INDEX)
     out = (df.withColumn("_z", z)
-             .withColumn(labels_col, F.expr("transform(_z, x -> x.l)"))
-             .withColumn(preds_col, F.expr("transform(_z, x -> x.p)")).drop("_z"))
-    return out.where(F.size(labels_col) > 0)
+             .withColumn(labels_col, F.transform("_z", lambda x: x[labels_col]))
+             .withColumn(preds_col, F.transform("_z", lambda x: x[preds_col])).drop("_z"))
+    from spanweave.sources.tables import keep_if
+    return keep_if(out, F.size(labels_col) > 0)
 
 
 def ids_to_labels(ids: Column, vocab_map: Column) -> Column:

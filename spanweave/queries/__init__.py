@@ -1,4 +1,5 @@
 """Registered queries, grouped by area.  Importing this package fills
 ``spanweave.catalog.QUERIES`` and ``ORACLE``."""
 
-from spanweave.queries import corpus_q, corpus_text_q, parsing_q, planning_q, runs_q, scoring_q, tagging_q  # noqa: F401
+from spanweave.queries import (  # noqa: F401
+    alignment_q, corpus_q, corpus_text_q, parsing_q, planning_q, runs_q, scoring_q, tagging_q)
