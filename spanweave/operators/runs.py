@@ -133,3 +133,17 @@ def all_types(results: DataFrame) -> DataFrame:
     """Union of type names over runs, sorted."""
     return (results.select(F.explode(F.map_keys("metrics_per_type")).alias("type"))
                    .distinct().orderBy("type"))
+
+
+def final_stage_metrics(results: DataFrame, stages: DataFrame) -> DataFrame:
+    """Micro P/R/F1 of the last stage when that stage has a report, else
+    the evaluation metrics; accuracy always from the evaluation.  ``stages``:
+    ``model_key, stage, report struct<precision, recall, f1>`` (report may be
+    NULL)."""
+    last = stages.groupBy("model_key").agg(F.max_by("report", "stage").alias("last"))
+    j = results.join(last, "model_key", "left")
+    has = F.col("last").isNotNull()
+    return j.select("model_key",
+                    *[F.when(has, F.col(f"last.{m}")).otherwise(metric(m)).alias(m) for m in METRICS],
+                    F.col("metrics.accuracy").alias("accuracy"),
+                    F.when(has, "stage").otherwise("eval").alias("source"))

@@ -72,3 +72,33 @@ def stage_time_total(spark, sf):
 def full_report(spark, sf):
     path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
     return report(RS.results(spark, sf), path, _OK_KEYS).select("table", "rows")
+
+
+@register("final_stage_metrics", _RES + """,
+ag AS (SELECT model_key, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+              sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
+              sum(f1 * support) / sum(support) AS wf FROM rt GROUP BY model_key),
+fin AS (
+  SELECT r.model_key, r.run_order, r.precision, r.recall, r.f1, a.mp, a.mr, a.mf, a.wp, a.wr, a.wf FROM res r
+  LEFT JOIN ag a USING (model_key))
+SELECT model_key,
+  round(CASE WHEN mp IS NULL THEN precision WHEN run_order % 2 = 0 THEN wp ELSE mp END, 6) AS precision,
+  round(CASE WHEN mp IS NULL THEN recall WHEN run_order % 2 = 0 THEN wr ELSE mr END, 6) AS recall,
+  round(CASE WHEN mp IS NULL THEN f1 WHEN run_order % 2 = 0 THEN wf ELSE mf END, 6) AS f1,
+  CAST(NULL AS DOUBLE) AS accuracy, CASE WHEN mp IS NULL THEN 'eval' ELSE 'stage' END AS source
+FROM fin""")
+def final_stage_metrics(spark, sf):
+    r = RS.results(spark, sf)
+    pt = RN.per_type(RN.successful_runs(r))
+    macro = pt.groupBy("model_key").agg(
+        F.struct(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+        .alias("report"))
+    weighted = pt.groupBy("model_key").agg(F.struct(
+        *[(F.sum(F.col(m) * F.col("support")) / F.sum("support")).alias(m) for m in ("precision", "recall", "f1")])
+        .alias("report"))
+    even = r.where(F.col("run_order") % 2 == 0).select("model_key")
+    stages = (macro.withColumn("stage", F.lit(1))
+                   .unionByName(weighted.join(even, "model_key", "left_semi").withColumn("stage", F.lit(2))))
+    out = RN.final_stage_metrics(r, stages)
+    return out.select("model_key", *[F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")],
+                      "accuracy", "source")
