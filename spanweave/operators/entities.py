@@ -118,14 +118,11 @@ def global_top_entities(entities: DataFrame, n: int) -> DataFrame:
     f = name_type_freq(entities)
     best = (f.groupBy("type")
              .agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("name").alias("name"))).alias("b"))
-             .select(F.col("b.name").alias("name"), "type", (-F.col("b.k")).alias("n")))
-    best_rows = best.withColumn("first", F.lit(True))
-    rest = (f.join(F.broadcast(best.select("name", "type")), ["name", "type"], "left_anti")
-             .orderBy(F.desc("n"), "type", "name").limit(n)
-             .withColumn("first", F.lit(False)))
-    both = best_rows.unionByName(rest)
-    return (both.orderBy(F.desc("first"), F.desc("n"), "type", "name").limit(n)
-                .select("name", "type", F.col("n").cast("bigint").alias("n")))
+             .select(F.col("b.name").alias("name"), "type", F.lit(True).alias("first")))
+    # one row per type: broadcast it to flag the winners, then one top-k
+    flagged = f.join(F.broadcast(best), ["name", "type"], "left").fillna(False, ["first"])
+    return (flagged.orderBy(F.desc("first"), F.desc("n"), "type", "name").limit(n)
+                   .select("name", "type", F.col("n").cast("bigint").alias("n")))
 
 
 def few_shot_richest(samples: DataFrame, n: int = 3,
