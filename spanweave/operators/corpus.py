@@ -58,8 +58,9 @@ def chunk_expr(text: str, max_length: int) -> Column:
 def chunk_text(lines: DataFrame, max_length: int = 128, id_col: str = "line_id",
                text_col: str = "text") -> DataFrame:
     """F6 as rows: ``line_id, seg_idx, segment`` (SEGMENT)."""
-    return (lines.select(id_col, F.posexplode(chunk_expr(text_col, max_length)).alias("seg_idx", "segment"))
-                 .select(id_col, F.col("seg_idx").cast("int"), "segment"))
+    from spanweave.sources.tables import explode_rows
+    rows = explode_rows(lines, chunk_expr(text_col, max_length), [id_col], pos_name="seg_idx", name="segment")
+    return rows.select(id_col, F.col("seg_idx").cast("int"), "segment")
 
 
 def chunk_summary(lines: DataFrame, max_length: int = 128, text_col: str = "text") -> DataFrame:

@@ -38,19 +38,31 @@ def with_reply_elements(df: DataFrame, reply_col: str, strict_reference: bool =
               .drop("_r0", "_r1", "_arr", "_pj"))
 
 
-def element_check(x: Column, text_len: Column, known_types: Sequence[str]) -> Column:
-    """P7 outcome of one element: valid, not_object, unknown_type, bad_span,
-    non_int or out_of_range."""
-    span = F.try_variant_get(x, "$.span", "array<variant>")
-    s = F.try_element_at(span, F.lit(1))
-    e = F.try_element_at(span, F.lit(2))
-    si = F.try_variant_get(s, "$", "bigint")
-    ei = F.try_variant_get(e, "$", "bigint")
-    return (F.when(~R.is_object(x), "not_object")
-             .when(~F.coalesce(_known(R.get_str(x, "$.type"), known_types), F.lit(False)), "unknown_type")
-             .when(span.isNull() | (F.size(span) != 2), "bad_span")
-             .when(~(R.is_int(s) & R.is_int(e)), "non_int")
-             .when((si < 0) | (ei > text_len) | (si >= ei), "out_of_range")
+def _described(els: Column) -> Column:
+    """Per element, everything validation and conversion need, extracted once:
+    the element's schema, its type, and the two span members with theirs."""
+    def one(x):
+        sp = F.try_variant_get(x, "$.span", "array<variant>")
+        return F.struct(x.alias("x"), F.schema_of_variant(x).alias("sch"),
+                        R.get_str(x, "$.type").alias("type"), F.size(sp).alias("n_sp"),
+                        F.try_element_at(sp, F.lit(1)).alias("v0"), F.try_element_at(sp, F.lit(2)).alias("v1"))
+    d = F.transform(els, one)
+    return F.transform(d, lambda y: F.struct(
+        y["x"].alias("x"), y["sch"].alias("sch"), y["type"].alias("type"), y["n_sp"].alias("n_sp"),
+        F.coalesce(F.schema_of_variant(y["v0"]) == "BIGINT", F.lit(False)).alias("i0"),
+        F.coalesce(F.schema_of_variant(y["v1"]) == "BIGINT", F.lit(False)).alias("i1"),
+        F.try_variant_get(y["v0"], "$", "bigint").alias("s"),
+        F.try_variant_get(y["v1"], "$", "bigint").alias("e")))
+
+
+def _check(y: Column, text_len: Column, known_types: Sequence[str]) -> Column:
+    """P7 outcome of one described element: valid, not_object, unknown_type,
+    bad_span, non_int or out_of_range."""
+    return (F.when(~F.coalesce(y["sch"].startswith("OBJECT"), F.lit(False)), "not_object")
+             .when(~F.coalesce(_known(y["type"], known_types), F.lit(False)), "unknown_type")
+             .when(F.coalesce(y["n_sp"], F.lit(-1)) != 2, "bad_span")
+             .when(~(y["i0"] & y["i1"]), "non_int")
+             .when((y["s"] < 0) | (y["e"] > text_len) | (y["s"] >= y["e"]), "out_of_range")
              .otherwise("valid"))
 
 
@@ -59,34 +71,26 @@ def parse_entities(df: DataFrame, reply_col: str, text_col: str, known_types: Se
     """valid entities of an extraction reply as
     ``array<struct<type, text, start, end>>`` (ints as BIGINT)."""
     df = with_reply_elements(df, reply_col, strict_reference)
-    els = F.col("_els")
-    n = F.length(F.col(text_col))
-
-    def conv(x):
-        span = F.try_variant_get(x, "$.span", "array<variant>")
-        return F.struct(
-            R.get_str(x, "$.type").alias("type"),
-            F.coalesce(R.get_str(x, "$.text"), R.get_str(x, "$.name"), F.lit("")).alias("text"),
-            F.try_variant_get(F.try_element_at(span, F.lit(1)), "$", "bigint").alias("start"),
-            F.try_variant_get(F.try_element_at(span, F.lit(2)), "$", "bigint").alias("end"))
-
-    bound = F.array(F.struct(n.alias("n"), els.alias("els")))
-    checked = F.element_at(F.transform(bound, lambda b: F.transform(b["els"], lambda x: F.struct(
-        element_check(x, b["n"], known_types).alias("ok"), conv(x).alias("ent")))), 1)
-    valid = F.transform(F.filter(checked, lambda c: c["ok"] == "valid"), lambda c: c["ent"])
-    return df.withColumn(out_col, valid).drop("_els")
+    d = df.withColumn("_d", _described(F.col("_els")))
+    bound = F.array(F.struct(F.length(F.col(text_col)).alias("n"), F.col("_d").alias("d")))
+    valid = F.element_at(F.transform(bound, lambda b: F.transform(
+        F.filter(b["d"], lambda y: _check(y, b["n"], known_types) == "valid"),
+        lambda y: F.struct(y["type"].alias("type"),
+                           F.coalesce(R.get_str(y["x"], "$.text"), R.get_str(y["x"], "$.name"),
+                                      F.lit("")).alias("text"),
+                           y["s"].alias("start"), y["e"].alias("end")))), 1)
+    return d.withColumn(out_col, valid).drop("_els", "_d")
 
 
 def valid_spans_audit(df: DataFrame, reply_col: str, text_col: str,
                       known_types: Sequence[str]) -> DataFrame:
     """P7 audit: answer-array elements by validation outcome."""
     df = with_reply_elements(df, reply_col)
-    els = F.col("_els")
-    n = F.length(F.col(text_col))
-    bound = F.array(F.struct(n.alias("n"), els.alias("els")))
+    d = df.withColumn("_d", _described(F.col("_els")))
+    bound = F.array(F.struct(F.length(F.col(text_col)).alias("n"), F.col("_d").alias("d")))
     outcomes = F.element_at(F.transform(bound, lambda b: F.transform(
-        b["els"], lambda x: element_check(x, b["n"], known_types))), 1)
-    return (df.select(F.explode(outcomes).alias("outcome"))
+        b["d"], lambda y: _check(y, b["n"], known_types))), 1)
+    return (d.select(F.explode(outcomes).alias("outcome"))
               .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -9,6 +9,7 @@ from spanweave.catalog import register
 from spanweave.operators import alignment as AL
 from spanweave.operators import tagging as TG
 from spanweave.sources import fixtures as fx
+from spanweave.sources.tables import explode_rows
 
 TYPES = ("damage", "datetime", "location", "person", "work")
 TYPE_IDS = {t: k for k, t in enumerate(TYPES)}
@@ -65,7 +66,7 @@ def token_offsets(spark, sf):
           "SELECT doc_id, type, s, e, CAST(first_tok AS BIGINT) AS first_tok, CAST(last_tok AS BIGINT) AS last_tok FROM ga")
 def span_to_tokens(spark, sf):
     a = fx.annotated(spark, sf)
-    x = a.select("doc_id", F.inline(AL.span_to_tokens(a, "gold")))
+    x = explode_rows(a, AL.span_to_tokens(a, "gold"), ["doc_id"])
     return x.select("doc_id", "type", F.col("s").cast("bigint"), F.col("e").cast("bigint"),
                     F.col("first_tok").cast("bigint"), F.col("last_tok").cast("bigint"))
 

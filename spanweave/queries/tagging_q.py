@@ -8,7 +8,7 @@ from spanweave import oracle as O
 from spanweave.catalog import register
 from spanweave.operators import tagging as tg
 from spanweave.sources import fixtures as fx
-from spanweave.sources.tables import keep_if
+from spanweave.sources.tables import explode_rows, keep_if
 
 _C = O.cand_ctes()
 # Vocabulary of the earthquake dataset; 'work' is outside it.
@@ -78,7 +78,7 @@ SELECT doc_id, substr(arg_min(tag, i), 3) AS type, CAST(min(i) AS BIGINT) AS s,
 FROM ch WHERE tag <> 'O' GROUP BY doc_id, cid""")
 def bio_to_spans(spark, sf):
     t = _with_tags(spark, sf)
-    return (t.select("doc_id", F.inline(tg.bio_to_spans_expr("mix_tags")))
+    return (explode_rows(t, tg.bio_to_spans_expr("mix_tags"), ["doc_id"])
              .select("doc_id", "type", F.col("s").cast("bigint"), F.col("e").cast("bigint")))
 
 

@@ -47,3 +47,21 @@ def keep_if(df: DataFrame, cond) -> DataFrame:
     """
     return (df.select("*", F.explode(F.when(cond, F.array(F.lit(True)))).alias("_keep"))
               .drop("_keep"))
+
+
+def explode_rows(df: DataFrame, arr, keep: list[str], pos_name: str | None = None,
+                 name: str = "value") -> DataFrame:
+    """Rows of a computed array without re-computing it.
+
+    For a plain ``explode``/``inline`` the optimizer infers ``size(arr) > 0``
+    and pushes that filter below the projection that computes ``arr``, which
+    evaluates the array expression twice.  The outer generator infers
+    nothing; rows of empty arrays (NULL position) are dropped afterwards.
+    Struct elements are expanded into columns.
+    """
+    from pyspark.sql import types as T
+    e = df.select(*keep, F.posexplode_outer(arr).alias("_pos", "_x")).where(F.col("_pos").isNotNull())
+    pos = [F.col("_pos").alias(pos_name)] if pos_name else []
+    if isinstance(e.schema["_x"].dataType, T.StructType):
+        return e.select(*keep, *pos, "_x.*")
+    return e.select(*keep, *pos, F.col("_x").alias(name))
