@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions import replies as R
+from spanweave.sources.tables import explode_rows
 
 
 def _known(t: Column, known_types: Sequence[str]) -> Column:
@@ -90,7 +91,7 @@ def valid_spans_audit(df: DataFrame, reply_col: str, text_col: str,
     bound = F.array(F.struct(F.length(F.col(text_col)).alias("n"), F.col("_d").alias("d")))
     outcomes = F.element_at(F.transform(bound, lambda b: F.transform(
         b["d"], lambda y: _check(y, b["n"], known_types))), 1)
-    return (d.select(F.explode(outcomes).alias("outcome"))
+    return (explode_rows(d, outcomes, [], name="outcome")
               .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -174,5 +175,5 @@ def repaired_only(ents: Column) -> Column:
 
 def repair_audit(df: DataFrame, entities_col: str = "entities") -> DataFrame:
     """F1 audit: entities by repair outcome."""
-    return (df.select(F.explode(entities_col).alias("x"))
-              .groupBy(F.col("x.outcome").alias("outcome")).agg(F.count(F.lit(1)).alias("n")))
+    return (explode_rows(df, F.col(entities_col), [])
+              .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))

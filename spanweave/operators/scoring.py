@@ -53,7 +53,8 @@ def match_arrays(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
         f"concat(transform(array_intersect({g}, {p}), x -> struct(x.type AS type, x.s AS s, x.e AS e, 'tp' AS outcome)), "
         f"transform(array_except({g}, {p}), x -> struct(x.type AS type, x.s AS s, x.e AS e, 'fn' AS outcome)), "
         f"transform(array_except({p}, {g}), x -> struct(x.type AS type, x.s AS s, x.e AS e, 'fp' AS outcome)))")
-    return df.select(sample_col, F.inline(tagged))
+    from spanweave.sources.tables import explode_rows
+    return explode_rows(df, tagged, [sample_col])
 
 
 def type_counts(matches: DataFrame) -> DataFrame:

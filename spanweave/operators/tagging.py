@@ -116,7 +116,8 @@ def transition_audit(df: DataFrame, tags_col: str = "tags") -> DataFrame:
     pairs = F.expr(f"transform(array({tags_col}), tg -> transform(slice(sequence(0, size(tg)), 1, size(tg)), "
                    "i -> named_struct('prev_tag', CASE WHEN i = 0 THEN '<s>' ELSE tg[i - 1] END, "
                    "'tag', tg[i])))[0]")
-    rows = df.select(F.inline(pairs))
+    from spanweave.sources.tables import explode_rows
+    rows = explode_rows(df, pairs, [])
     c = rows.groupBy("prev_tag", "tag").agg(F.count(F.lit(1)).alias("n"))
     legal = (F.col("tag").startswith("B-") | (F.col("tag") == OUTSIDE)
              | (F.col("prev_tag").substr(1, 2).isin("B-", "I-")
