@@ -58,7 +58,17 @@ def synthesis_prompt(spark, sf):
     return p.select("task_id", F.md5("prompt").alias("prompt_md5"))
 
 
-@register("sft_rows")
+_ANS = """ans AS (
+  SELECT d.doc_id, d.text,
+         coalesce('[' || string_agg('{"type":"' || g.type || '","text":"' || replace(replace(g.name, '\\', '\\\\'), '"', '\\"')
+                  || '","span":[' || CAST(g.s AS VARCHAR) || ',' || CAST(g.e AS VARCHAR) || ']}', ',' ORDER BY g.s) || ']', '[]') AS answer
+  FROM docs d LEFT JOIN gold g USING (doc_id) GROUP BY d.doc_id, d.text)"""
+
+
+@register("sft_rows", O.with_(O.cand_ctes(), _ANS) + f"""
+SELECT doc_id, CAST(least(length(p), 4096) AS INTEGER) AS n_ignore, length(p || answer) > 4096 AS truncated,
+       CAST(least(length(p || answer), 4096) AS INTEGER) AS input_len
+FROM (SELECT doc_id, answer, {_sql_lit(_PREFIX)} || text || {_sql_lit(chr(10) + 'Answer:')} AS p FROM ans)""")
 def sft_rows(spark, sf):
     a = fx.annotated(spark, sf)
     ans = F.to_json(F.transform("gold", lambda x: F.struct(x["type"].alias("type"), x["name"].alias("text"),
@@ -67,11 +77,24 @@ def sft_rows(spark, sf):
     return r.select("doc_id", "r.n_ignore", "r.truncated", F.length("r.input").alias("input_len"))
 
 
+# The stub client's behaviour in SQL: the first call fails when md5(prompt)
+# starts with '0'; the answer lists the capitalised words (the gold rule) as
+# Python's json.dumps writes them.
+_STUB = O.with_(O.cand_ctes(), f"""pr AS (
+  SELECT doc_id AS task_id, {_sql_lit(_PREFIX)} || text || {_sql_lit(chr(10) + 'Answer:')} AS p FROM docs)""", """bd AS (
+  SELECT pr.task_id, pr.p, substr(md5(pr.p), 1, 1) = '0' AS first_fails,
+         coalesce('[' || string_agg('{"type": "' || g.type || '", "text": "' || replace(replace(g.name, '\\', '\\\\'), '"', '\\"')
+                  || '", "span": [' || CAST(g.s AS VARCHAR) || ', ' || CAST(g.e AS VARCHAR) || ']}', ', ' ORDER BY g.s) || ']', '[]') AS body
+  FROM pr LEFT JOIN gold g ON g.doc_id = pr.task_id GROUP BY pr.task_id, pr.p)""")
+
+
 def _stub():
     return INF.StubExtractionClient()
 
 
-@register("run_inference")
+@register("run_inference", _STUB + """
+SELECT task_id, CAST(CASE WHEN first_fails THEN 1 ELSE 0 END AS INTEGER) AS attempt, true AS ok,
+       CAST(length(body) AS INTEGER) AS body_len FROM bd""")
 def run_inference(spark, sf):
     r = INF.run_inference(_prompts(spark, sf), _stub, max_retries=3)
     return r.select("task_id", "attempt", "ok", F.length("body").alias("body_len"))
@@ -82,38 +105,48 @@ def _rounds(spark, sf):
     return INF.retry_rounds(_prompts(spark, sf), _stub, path, rounds=2, max_retries=1)
 
 
-@register("retry_rounds")
+@register("retry_rounds", _STUB + """
+SELECT task_id, CAST(CASE WHEN first_fails THEN 1 ELSE 0 END AS INTEGER) AS attempt, true AS ok FROM bd""")
 def retry_rounds(spark, sf):
     return _rounds(spark, sf).select("task_id", "attempt", "ok")
 
 
-@register("accumulate_rounds")
+@register("accumulate_rounds", _STUB + """
+SELECT CAST(CASE WHEN first_fails THEN 1 ELSE 0 END AS INTEGER) AS attempt, true AS ok, CAST(count(*) AS BIGINT) AS n
+FROM bd GROUP BY 1""")
 def accumulate_rounds(spark, sf):
     r = _rounds(spark, sf)
     return r.groupBy("attempt", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("failed_tasks")
+@register("failed_tasks", _STUB + "SELECT task_id FROM bd WHERE first_fails")
 def failed_tasks(spark, sf):
     t = _prompts(spark, sf)
     first = INF.run_inference(t, _stub, max_retries=1)
     return INF.failed_tasks(t, first).select("task_id")
 
 
-@register("attach_responses")
+@register("attach_responses", _STUB + """
+SELECT task_id, NOT first_fails AS ok, CASE WHEN first_fails THEN NULL ELSE CAST(length(body) AS INTEGER) END AS body_len FROM bd""")
 def attach_responses(spark, sf):
     t = _prompts(spark, sf)
     r = INF.run_inference(t, _stub, max_retries=1)
     return INF.attach_responses(t.select("task_id"), r).select("task_id", "ok", F.length("body").alias("body_len"))
 
 
-@register("usage_totals")
+@register("usage_totals", _STUB + """
+SELECT 'stub' AS model, CAST(count(*) AS BIGINT) AS calls, CAST(sum(length(p) // 4) AS BIGINT) AS input_tokens,
+       CAST(sum(length(body) // 4) AS BIGINT) AS output_tokens,
+       CAST(sum(length(p) // 4) + sum(length(body) // 4) AS BIGINT) AS total_tokens FROM bd""")
 def usage_totals(spark, sf):
     r = INF.run_inference(_prompts(spark, sf), _stub, max_retries=3).withColumn("model", F.lit("stub"))
     return INF.usage_totals(r)
 
 
-@register("generation_summary")
+@register("generation_summary", _STUB + """
+SELECT CAST(count(*) AS BIGINT) AS target, CAST(count(*) FILTER (WHERE NOT first_fails AND body <> '[]') AS BIGINT) AS generated,
+       CAST(count(*) - count(*) FILTER (WHERE NOT first_fails AND body <> '[]') AS BIGINT) AS failed,
+       round(count(*) FILTER (WHERE NOT first_fails AND body <> '[]') / count(*), 6) AS completion_rate FROM bd""")
 def generation_summary(spark, sf):
     t = _prompts(spark, sf)
     r = INF.run_inference(t, _stub, max_retries=1)
