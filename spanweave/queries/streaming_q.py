@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanweave import oracle as O
 from spanweave.catalog import register
+from spanweave.queries.parsing_q import _BASE as _REPLY_BASE, _EXTRACT
 from spanweave.session import scratch_path
 from spanweave.sources import fixtures as fx
 from spanweave.sources import replies as RP
@@ -30,7 +31,8 @@ def stream_distribution(spark, sf):
     return spark.read.parquet(out).select("type", F.col("n").cast("bigint"))
 
 
-@register("stream_responses")
+@register("stream_responses", _REPLY_BASE + _EXTRACT + """
+SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM rep WHERE outcome IN ('kept', 'moved') GROUP BY outcome""")
 def stream_responses(spark, sf):
     src, out, ck = _dirs(spark, "resp")
     r = RP.responses(spark, sf).select(F.col("doc_id").alias("task_id"), F.col("reply").alias("body"),
