@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pii_anchors", "trie_counts")
+MODULES = ("repair_ids", "pii_anchors", "trie_counts")
 
 
 def load() -> tuple[dict, dict]:
