@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("repair_ids", "line_crf", "pii_anchors", "nnls_packing", "trie_counts")
+MODULES = ("repair_ids", "line_crf", "pii_anchors", "nnls_packing", "noisy_toxicity",
+           "trie_counts")
 
 
 def load() -> tuple[dict, dict]:

@@ -45,9 +45,9 @@ def _grown(which: int, n: int) -> np.ndarray:
     return p[:n]
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased alphanumeric words of all texts in a row, and
-    where each text's words begin (one more entry at the end)."""
+def _segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomial prefix sums over the code points, word starts and ends, and
+    where each text begins."""
     low = [t.lower() for t in texts]
     cps = code_points("\n".join(low) + "\n") if low else np.zeros(0, np.uint32)
     inside = is_word_char(cps)
@@ -55,11 +55,24 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.zeros(len(cps) + 1, np.uint64)
     np.cumsum((cps.astype(np.uint64) + np.uint64(1)) * _grown(0, len(cps)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _grown(1, max(len(cps), 1))[starts]) if len(starts) else np.zeros(0, np.uint64)
-    text_starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in low]))).astype(np.int64)
+    return sums, starts, ends, np.concatenate(([0], np.cumsum([len(t) + 1 for t in low]))).astype(np.int64)
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased alphanumeric words of all texts in a row, and
+    where each text's words begin (one more entry at the end)."""
+    sums, starts, ends, text_starts = _segments(texts)
+    hashes = mix((sums[ends] - sums[starts]) * _grown(1, len(sums))[starts])
     return hashes, np.searchsorted(starts, text_starts)
 
 
+def heads(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``n`` characters of every longer word, and the text of each."""
+    sums, starts, ends, text_starts = _segments(texts)
+    starts = starts[ends - starts > n]
+    return mix((sums[starts + n] - sums[starts]) * _grown(1, len(sums))[starts]), np.searchsorted(text_starts, starts, "right") - 1
+
+
 def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of every text, and where each text's begin.
     A text with fewer words has one shingle of all its words; one without words
