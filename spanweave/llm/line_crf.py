@@ -269,15 +269,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                begin, np.array([r.label for r in rows]))
 
 
-def quality_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def quality_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
     """Score of every row's whole text, next to the columns in ``keep``."""
-    out = docs.select(*keep, F.col("text").alias("_text"))
-    schema = out.drop("_text").schema.add("score", "double")
+    out = docs.select(*keep, F.col("text").alias("_sw_text"))
+    schema = out.drop("_sw_text").schema.add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "_text"):
+        for batch, texts in text_slices(batches, "_sw_text"):
             s = model.scores(texts.to_pylist())
-            yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keep), pa.array(s, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keep), pa.array(s, pa.float64())], [*keep, score])
 
     return out.mapInArrow(run, schema)
 

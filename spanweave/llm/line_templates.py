@@ -80,18 +80,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def drop_templates(docs: DataFrame) -> DataFrame:
     """Documents without the recurring lines: the input's columns with the new
     ``text``, and ``lines_kept``, ``lines_dropped``."""
-    drops = dropped_lines(docs).groupBy("k").agg(F.collect_set("pos").alias("drop"))
+    drops = dropped_lines(docs).groupBy(F.col("k").alias("_sw_k")).agg(F.collect_set("pos").alias("_sw_drop"))
     names = [c for c in docs.columns if c not in ("lines_kept", "lines_dropped")]
     parts = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.filter(F.col("parts"), lambda _, i: ~F.array_contains(F.col("drop"), i))
-    out = docs.withColumn("_k", row_key()).join(drops.withColumnRenamed("k", "_k"), "_k", "left")
-    out = out.withColumn("parts", F.when(F.col("drop").isNotNull(), parts))
-    out = out.withColumn("_kept", kept)
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    all_lines = F.coalesce(F.size(parts), F.lit(0))
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in names],
-                      F.when(F.col("drop").isNull(), F.when(F.col("text").isNull(), 0).otherwise(all_lines)).otherwise(F.size("_kept")).cast("long").alias("lines_kept"),
-                      F.coalesce(F.array_size("drop"), F.lit(0)).cast("long").alias("lines_dropped"))
+    out = docs.withColumn("_sw_k", row_key()).join(drops, "_sw_k", "left")
+    out = out.withColumn("_sw_parts", F.when(F.col("_sw_drop").isNotNull(), parts))
+    out = out.withColumn("_sw_kept", F.filter(F.col("_sw_parts"), lambda _, i: ~F.array_contains(F.col("_sw_drop"), i)))
+    same = F.col("_sw_drop").isNull()
+    text = F.when(same, F.col("text")).otherwise(F.array_join("_sw_kept", "\n"))
+    kept = F.when(F.col("text").isNull(), 0).when(same, F.size(parts)).otherwise(F.size("_sw_kept"))
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], kept.cast("long").alias("lines_kept"),
+                      F.coalesce(F.array_size("_sw_drop"), F.lit(0)).cast("long").alias("lines_dropped"))
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

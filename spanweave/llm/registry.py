@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("repair_ids", "line_templates", "line_crf", "simhash_windows", "pii_anchors", "itq_embeddings", "nnls_packing", "noisy_toxicity",
+MODULES = ("repair_ids", "line_templates", "dart_minhash", "line_crf",
+           "simhash_windows", "pii_anchors", "itq_embeddings", "nnls_packing", "noisy_toxicity",
            "trie_counts")
 
 
