@@ -1,7 +1,7 @@
 """Model name rules as column expressions: F9 model_family, F10 run_flags.
 
-One expression per rule, shared by every report (the reference repeats the
-classifier in three places).  Substring rules are fixed values, in order.
+One expression per rule, shared by every report.  Substring rules are fixed
+values, in order.
 """
 
 from __future__ import annotations
@@ -21,8 +21,20 @@ FAMILY_RULES = (
     (("gpt",), "gpt"),
 )
 BERT_VARIANTS = ("deberta", "roberta", "albert")
-LLAMA_MARKS = ("llama", "rinna", "gpt-neox", "elyza")
-REMOTE_MARKS = ("chatgpt", "claude", "remote")
+# Traits of a run: the marks that show it, and the columns they are looked for in.  Fixed values.
+TRAITS = {
+    "bilstm": (("bilstm",), ("key", "name")),
+    "remote": (("chatgpt", "claude", "remote"), ("key",)),
+    "llama": (("llama", "rinna", "gpt-neox", "elyza"), ("key", "name")),
+    "large": (("large",), ("key", "name")),
+    "crf": (("_crf",), ("key",)),
+}
+# Model type: the first of these traits that holds, else "bert".
+TYPE_OF_TRAIT = (("bilstm", "bilstm"), ("remote", "remote_llm"), ("llama", "llama"))
+# Display suffixes: trait, suffix, and the marks in the key that already say it.
+SUFFIXES = (("large", "-large", ("large",)), ("crf_set", "-crf", ("_crf", "-crf")))
+# At most one bracketed flag: the first whose trait holds and whose key doesn't say it.
+FLAGS = (("bilstm", " [BiLSTM]", ("bilstm",)), ("llama", " [LLM]", ("llama", "rinna")), ("remote", " [API]", ("remote",)))
 
 
 def _any(c: Column, subs) -> Column:
@@ -46,23 +58,20 @@ def model_family(name: Column) -> Column:
 
 
 def run_flags(model_key: Column, model_name: Column, use_crf_hp: Column) -> Column:
-    """struct<use_crf, is_large, model_type, display_name>."""
-    key, name = F.lower(F.coalesce(model_key, F.lit(""))), F.lower(F.coalesce(model_name, F.lit("")))
-    hp_crf = F.coalesce(use_crf_hp, F.lit(False))
-    use_crf = hp_crf | key.contains("_crf")
-    has_crf_key = key.contains("_crf") | key.contains("-crf")
-    is_large = name.contains("large") | key.contains("large")
-    is_bilstm = key.contains("bilstm") | name.contains("bilstm")
-    is_llama = _any(key, LLAMA_MARKS) | _any(name, LLAMA_MARKS)
-    is_remote = _any(key, REMOTE_MARKS)
-    mtype = (F.when(is_bilstm, "bilstm").when(is_remote, "remote_llm").when(is_llama, "llama")
-              .otherwise("bert"))
-    disp = F.coalesce(model_key, F.lit(""))
-    disp = F.when(is_large & ~key.contains("large"), F.concat(disp, F.lit("-large"))).otherwise(disp)
-    disp = F.when(hp_crf & ~has_crf_key, F.concat(disp, F.lit("-crf"))).otherwise(disp)
-    flag = (F.when(is_bilstm & ~key.contains("bilstm"), "BiLSTM")
-             .when(is_llama & ~(key.contains("llama") | key.contains("rinna")), "LLM")
-             .when(is_remote & ~key.contains("remote"), "API"))
-    disp = F.when(flag.isNotNull(), F.concat(disp, F.lit(" ["), flag, F.lit("]"))).otherwise(disp)
-    return F.struct(use_crf.alias("use_crf"), is_large.alias("is_large"), mtype.alias("model_type"),
-                    disp.alias("display_name"))
+    """struct<use_crf, is_large, model_type, display_name>, read off the
+    trait tables above."""
+    shown = F.coalesce(model_key, F.lit(""))
+    where = {"key": F.lower(shown), "name": F.lower(F.coalesce(model_name, F.lit("")))}
+    holds = {}
+    for trait, (marks, columns) in TRAITS.items():
+        found = F.lit(False)
+        for c in columns:
+            found = found | _any(where[c], marks)
+        holds[trait] = found
+    holds["crf_set"] = F.coalesce(use_crf_hp, F.lit(False))
+    unsaid = lambda trait, marks: holds[trait] & ~_any(where["key"], marks)
+    model_type = F.coalesce(*[F.when(holds[t], F.lit(v)) for t, v in TYPE_OF_TRAIT], F.lit("bert"))
+    suffixes = [F.when(unsaid(t, said), F.lit(text)).otherwise("") for t, text, said in SUFFIXES]
+    flag = F.coalesce(*[F.when(unsaid(t, said), F.lit(text)) for t, text, said in FLAGS], F.lit(""))
+    return F.struct((holds["crf_set"] | holds["crf"]).alias("use_crf"), holds["large"].alias("is_large"),
+                    model_type.alias("model_type"), F.concat(shown, *suffixes, flag).alias("display_name"))

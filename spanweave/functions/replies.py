@@ -17,12 +17,23 @@ from spanweave.schema import ANNOTATION_CLOSE, ANNOTATION_OPEN, ANSWER_MARKER
 # Whitespace removed by Python's str.strip(): Java's \s plus the information
 # separators, NEL, NBSP and the Unicode spaces (fixed values).
 PY_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-# A bracketed JSON array with up to three nesting levels, possessive.
-BALANCED = r"\[(?:[^\[\]]++|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\]"
-FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
+# Nesting depth of arrays that the reply patterns follow (deeper brackets end a match).
+ARRAY_DEPTH = 8
+FENCE_MARK, FENCE_TAG = "```", "json"
+
+
+def array_pattern(depth: int = ARRAY_DEPTH, possessive: bool = True) -> str:
+    """Pattern of a bracketed array with at most ``depth`` levels: each level
+    wraps the one below.  Possessive quantifiers never backtrack."""
+    p = "+" if possessive else ""
+    level = rf"\[[^\[\]]*{p}\]"
+    for _ in range(depth - 1):
+        level = rf"\[(?:[^\[\]]+{p}|{level})*{p}\]"
+    return level
+
+
+BALANCED = array_pattern()
 ANSWER = ANSWER_MARKER + r"\s*(" + BALANCED + ")"
-ANSWER_STRICT = ANSWER_MARKER + r"\s*(\[[\s\S]*?\])"
-ANNOTATION = "(?s)" + ANNOTATION_OPEN + r"\s*(.*?)\s*" + ANNOTATION_CLOSE
 OBJECT = r"(?s)\{.*\}"
 
 
@@ -36,22 +47,18 @@ def py_strip(c: Column) -> Column:
 
 
 def strip_fence(r: Column) -> Column:
-    """Body of the first code fence, when the reply has one."""
-    body = F.regexp_extract(r, FENCE, 1)
-    return F.when(r.contains("```") & r.rlike(FENCE), py_strip(body)).otherwise(r)
-
+    """Body of the first code fence (without its language tag), when the reply
+    has an opening and a closing mark."""
+    parts = F.split(r, FENCE_MARK, 3)
+    body = F.regexp_replace(parts[1], "^" + FENCE_TAG, "")
+    return F.when(F.size(parts) == 3, py_strip(body)).otherwise(r)
 
-def answer_array(r: Column, strict_reference: bool = False) -> Column:
-    """The array string a reply answers with (card C2 step 3).
 
-    ``strict_reference=True`` keeps the non-greedy answer pattern, which stops
-    at the first ``]`` (inside the first span); the default reads the whole
-    balanced array after the marker.
-    """
-    pat = ANSWER_STRICT if strict_reference else ANSWER
-    after = F.regexp_extract(r, pat, 1)
+def answer_array(r: Column) -> Column:
+    """The array string a reply answers with (card C2 step 3): the balanced
+    array after the marker, else the last balanced array, else ``[]``."""
     last = F.try_element_at(F.regexp_extract_all(r, F.lit(BALANCED), F.lit(0)), F.lit(-1))
-    return F.when(r.rlike(pat), after).otherwise(F.coalesce(last, F.lit("[]")))
+    return F.when(r.rlike(ANSWER), F.regexp_extract(r, ANSWER, 1)).otherwise(F.coalesce(last, F.lit("[]")))
 
 
 def elements(arr_json: Column) -> Column:
@@ -89,17 +96,16 @@ def get_int(v: Column, path: str) -> Column:
 
 
 def annotation_body(r: Column) -> Column:
-    """text between the annotation tags when present, then the first
+    """text between the annotation tags when both are there, then the first
     ``{`` to the last ``}``."""
-    inner = F.when(r.rlike(ANNOTATION), F.regexp_extract(r, ANNOTATION, 1)).otherwise(r)
-    return F.regexp_extract(inner, OBJECT, 0)
+    after = F.try_element_at(F.split(r, ANNOTATION_OPEN, 2), F.lit(2))
+    inner = F.when(after.contains(ANNOTATION_CLOSE), F.split(after, ANNOTATION_CLOSE, 2)[0])
+    return F.regexp_extract(F.coalesce(inner, r), OBJECT, 0)
 
 
-def first_array(r: Column, strict_reference: bool = False) -> Column:
-    """the first array in a reply (balanced by default; the non-greedy
-    ``\\[.*?\\]`` with ``strict_reference``)."""
-    pat = r"(?s)\[.*?\]" if strict_reference else BALANCED
-    return F.when(r.rlike(pat), F.regexp_extract(r, pat, 0))
+def first_array(r: Column) -> Column:
+    """the first balanced array in a reply."""
+    return F.when(r.rlike(BALANCED), F.regexp_extract(r, BALANCED, 0))
 
 
 __all__ = ["py_strip", "strip_fence", "answer_array", "line_fallback", "is_int", "is_object",

@@ -1,27 +1,39 @@
 """Text corpus jobs: F6 chunk_text (card C1), A19 chunk_summary, B3 mlm_rows.
 
-Chunking is one ``aggregate()`` over the cut points of each line, so a line
-is scanned once (the greedy loop it replaces rescans the points per
-segment).  It runs inside the row: no explode before the segments exist and
-no shuffle.
+Where a cut falls depends on the cut before it, so chunking is a scan with a
+growing result.  As ``aggregate()`` that copies the result at every step
+(quadratic in the segments of a line) and boxes every character; an
+Arrow-batched function is linear and about ten times faster.  There is no
+explode before the segments exist and no shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.functions.replies import PY_SPACE
 from spanweave.schema import SENTENCE_ENDS
 
 MASK_TOKEN = "[MASK]"
 
 
-def _sql_char_set(chars: str) -> str:
-    out = []
-    for ch in chars:
-        out.append("'\\n'" if ch == "\n" else "'" + ch.replace("'", "\\'") + "'")
-    return "array(" + ", ".join(out) + ")"
+_ENDS = re.compile("[" + re.escape("".join(SENTENCE_ENDS)) + "]")
+
+
+def cut_points(text: str, max_length: int) -> list[int]:
+    """Ends of the segments of a text longer than ``max_length``: as far as a
+    sentence end allows, else ``max_length`` characters on."""
+    ends = [m.end() for m in _ENDS.finditer(text)]
+    n, at, i, cuts = len(text), 0, 0, []
+    while n - at > max_length:
+        i = bisect_right(ends, at + max_length, i)
+        at = ends[i - 1] if i and ends[i - 1] > at else at + max_length
+        cuts.append(at)
+    return [*cuts, n]
 
 
 def chunk_expr(text: str, max_length: int) -> Column:
@@ -33,26 +45,18 @@ def chunk_expr(text: str, max_length: int) -> Column:
     ones dropped.
     """
     m = int(max_length)
-    ends = _sql_char_set(SENTENCE_ENDS)
-    step = (
-        f"(acc, p) -> CASE WHEN p - acc.s <= {m} THEN named_struct('s', acc.s, 'l', p, 'g', acc.g) ELSE "
-        "transform(array(named_struct('s1', CASE WHEN acc.l > acc.s THEN acc.l ELSE acc.s END, "
-        "'g1', CASE WHEN acc.l > acc.s THEN concat(acc.g, array(named_struct('a', acc.s, 'b', acc.l))) ELSE acc.g END)), "
-        f"u -> transform(array(greatest(0, CAST(ceil((p - u.s1) / {m}.0) AS INT) - 1)), k -> named_struct("
-        f"'s', u.s1 + k * {m}, 'l', p, 'g', concat(u.g1, transform(slice(sequence(0, k), 1, k), "
-        f"j -> named_struct('a', u.s1 + j * {m}, 'b', u.s1 + (j + 1) * {m})))))[0])[0] END")
-    finish = ("acc -> concat(acc.g, CASE WHEN acc.l > acc.s THEN array(named_struct('a', acc.s, 'b', acc.l)) "
-              "ELSE array() END)")
-    init = "named_struct('s', 0, 'l', 0, 'g', CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>))"
-    points = (f"concat(transform(filter(slice(sequence(0, size(ch)), 1, size(ch)), "
-              f"i -> array_contains({ends}, ch[i])), i -> i + 1), array(size(ch)))")
-    spans = f"aggregate({points}, {init}, {step}, {finish})"
-    strip = f"regexp_replace(x, '^{PY_SPACE}+|{PY_SPACE}+$', '')".replace("\\", "\\\\")
-    pieces = (f"filter(transform({spans}, g -> transform(array(substring(t, g.a + 1, g.b - g.a)), "
-              f"x -> {strip})[0]), x -> x <> '')")
-    body = (f"transform(array({text}), t -> CASE WHEN length(t) <= {m} THEN array(t) ELSE "
-            f"transform(array(split(t, '')), ch -> {pieces})[0] END)[0]")
-    return F.expr(body)
+
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None or len(t) <= m:
+                return None if t is None else [t]
+            cuts = cut_points(t, m)
+            pieces = (t[a:b].strip() for a, b in zip([0, *cuts], cuts))
+            return [p for p in pieces if p]
+        return texts.map(one)
+
+    return chunks(F.col(text))
 
 
 def chunk_text(lines: DataFrame, max_length: int = 128, id_col: str = "line_id",

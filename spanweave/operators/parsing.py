@@ -19,8 +19,7 @@ def _known(t: Column, known_types: Sequence[str]) -> Column:
     return F.array_contains(F.array(*[F.lit(x) for x in known_types]), t)
 
 
-def with_reply_elements(df: DataFrame, reply_col: str, strict_reference: bool = False,
-                       out_col: str = "_els") -> DataFrame:
+def with_reply_elements(df: DataFrame, reply_col: str, out_col: str = "_els") -> DataFrame:
     """Add the elements of the answer array of an extraction reply (card C2
     steps 1-4, 6) as ``array<variant>``: the line fallback only when the chosen
     array is not valid JSON; ``[]`` when it parses but is not an array.
@@ -31,7 +30,7 @@ def with_reply_elements(df: DataFrame, reply_col: str, strict_reference: bool =
     empty = F.array().cast("array<variant>")
     return (df.withColumn("_r0", R.py_strip(F.col(reply_col)))
               .withColumn("_r1", R.strip_fence(F.col("_r0")))
-              .withColumn("_arr", R.answer_array(F.col("_r1"), strict_reference))
+              .withColumn("_arr", R.answer_array(F.col("_r1")))
               .withColumn("_pj", F.try_parse_json("_arr"))
               .withColumn(out_col, F.when(F.col("_pj").isNull(),
                                           F.coalesce(R.line_fallback(F.col("_r1")), empty))
@@ -68,10 +67,10 @@ def _check(y: Column, text_len: Column, known_types: Sequence[str]) -> Column:
 
 
 def parse_entities(df: DataFrame, reply_col: str, text_col: str, known_types: Sequence[str],
-                   strict_reference: bool = False, out_col: str = "entities") -> DataFrame:
+                   out_col: str = "entities") -> DataFrame:
     """valid entities of an extraction reply as
     ``array<struct<type, text, start, end>>`` (ints as BIGINT)."""
-    df = with_reply_elements(df, reply_col, strict_reference)
+    df = with_reply_elements(df, reply_col)
     d = df.withColumn("_d", _described(F.col("_els")))
     bound = F.array(F.struct(F.length(F.col(text_col)).alias("n"), F.col("_d").alias("d")))
     valid = F.element_at(F.transform(bound, lambda b: F.transform(
@@ -95,11 +94,10 @@ def valid_spans_audit(df: DataFrame, reply_col: str, text_col: str,
               .groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
 
 
-def parse_entities_simple(df: DataFrame, reply_col: str, strict_reference: bool = False,
-                          out_col: str = "entities") -> DataFrame:
+def parse_entities_simple(df: DataFrame, reply_col: str, out_col: str = "entities") -> DataFrame:
     """objects of the first array that have ``type`` and ``text``; the
     span defaults to ``[0, len(text)]``; no further validation."""
-    els = F.coalesce(R.elements(R.first_array(F.col(reply_col), strict_reference)),
+    els = F.coalesce(R.elements(R.first_array(F.col(reply_col))),
                      F.array().cast("array<variant>"))
 
     def has(x, key):

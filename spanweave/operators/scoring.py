@@ -41,20 +41,25 @@ def span_match(gold: DataFrame, pred: DataFrame, sample_col: str = "doc_id") ->
     return j.select(*keys, outcome.alias("outcome"))
 
 
-def _strip(arr: str) -> str:
-    return f"transform({arr}, x -> named_struct('type', x.type, 's', x.s, 'e', x.e))"
+def _keys(arr: str) -> str:
+    """Spans as strings: array set functions hash those, structs they would
+    compare pair by pair."""
+    return f"transform({arr}, x -> concat(CAST(x.s AS STRING), ':', CAST(x.e AS STRING), ':', coalesce(x.type, '\\0')))"
 
 
 def match_arrays(df: DataFrame, gold_col: str = "gold", pred_col: str = "pred",
                  sample_col: str = "doc_id") -> DataFrame:
     """J1 without a join: per row, tp = gold ∩ pred, fn = gold − pred, fp = pred − gold."""
-    g, p = _strip(gold_col), _strip(pred_col)
+    keyed = df.select(sample_col, F.expr(_keys(gold_col)).alias("_g"), F.expr(_keys(pred_col)).alias("_p"))
     tagged = F.expr(
-        f"concat(transform(array_intersect({g}, {p}), x -> struct(x.type AS type, x.s AS s, x.e AS e, 'tp' AS outcome)), "
-        f"transform(array_except({g}, {p}), x -> struct(x.type AS type, x.s AS s, x.e AS e, 'fn' AS outcome)), "
-        f"transform(array_except({p}, {g}), x -> struct(x.type AS type, x.s AS s, x.e AS e, 'fp' AS outcome)))")
+        "concat(transform(array_intersect(_g, _p), x -> struct(x AS k, 'tp' AS outcome)), "
+        "transform(array_except(_g, _p), x -> struct(x AS k, 'fn' AS outcome)), "
+        "transform(array_except(_p, _g), x -> struct(x AS k, 'fp' AS outcome)))")
     from spanweave.sources.tables import explode_rows
-    return explode_rows(df, tagged, [sample_col])
+    rows = explode_rows(keyed, tagged, [sample_col])
+    s_type, e_type = (dict(df.select(F.inline(gold_col)).dtypes)[c] for c in ("s", "e"))
+    parts = F.split("k", ":", 3)
+    return rows.select(sample_col, F.nullif(parts[2], F.lit("\0")).alias("type"), parts[0].cast(s_type).alias("s"), parts[1].cast(e_type).alias("e"), "outcome")
 
 
 def type_counts(matches: DataFrame) -> DataFrame:
@@ -144,9 +149,11 @@ def type_confusion(gold: DataFrame, pred: DataFrame, sample_col: str = "doc_id")
     """Gold type x predicted type on equal ``(start, end)``; ``NONE`` for
     missed (no prediction on that span) and spurious (no gold on that span)."""
     keys = [sample_col, "s", "e"]
-    g = gold.select(*keys, F.col("type").alias("gold_type")).distinct()
-    p = pred.select(*keys, F.col("type").alias("pred_type")).distinct()
-    j = g.join(p, keys, "full_outer")
-    return (j.groupBy(F.coalesce("gold_type", F.lit("NONE")).alias("gold_type"),
-                      F.coalesce("pred_type", F.lit("NONE")).alias("pred_type"))
-             .agg(F.count(F.lit(1)).alias("n")))
+    both = gold.select(*keys, F.col("type").alias("g"), F.lit(None).cast("string").alias("p")).union(
+        pred.select(*keys, F.lit(None).cast("string"), "type"))
+    # one exchange: the types either side has on a span
+    spans = both.groupBy(*keys).agg(F.collect_set("g").alias("g"), F.collect_set("p").alias("p"))
+    none = F.array(F.lit("NONE"))
+    side = lambda c: F.when(F.size(c) == 0, none).otherwise(F.col(c))
+    pairs = spans.select(F.explode(side("g")).alias("gold_type"), "p").select("gold_type", F.explode(side("p")).alias("pred_type"))
+    return pairs.groupBy("gold_type", "pred_type").agg(F.count(F.lit(1)).alias("n"))

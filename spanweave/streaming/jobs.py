@@ -15,16 +15,40 @@ from pyspark.sql import functions as F
 from spanweave.schema import GENERATED
 
 
+def latest(spark: SparkSession, out_table: str) -> DataFrame:
+    """The last complete state of a table kept by ``keep_state``."""
+    state = spark.read.parquet(out_table)
+    return state.where(F.col("epoch") == state.agg(F.max("epoch")).first()[0]).drop("epoch")
+
+
+def keep_state(out_table: str):
+    """Sink for complete states: every micro-batch commits a folder of its own,
+    so a reader sees the old state or the new one, never a half-written one; a
+    repeated batch overwrites only its own folder."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_table}/epoch={epoch:09d}")
+    return sink
+
+
 def stream_distribution(spark: SparkSession, in_path: str, out_table: str, checkpoint: str,
-                        schema=GENERATED) -> None:
-    """Per-type entity counts of a folder of generated samples, kept up to
-    date in complete mode and written out per micro-batch."""
+                        schema=GENERATED, real: DataFrame | None = None) -> None:
+    """Per-type entity counts of a folder of generated samples, their share,
+    and the gap to the real distribution (``type, percentage``) when given,
+    kept up to date in complete mode."""
     src = spark.readStream.schema(schema).json(in_path)
     counts = (src.select(F.explode("entities").alias("e"))
                  .groupBy(F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("n")))
+    write = keep_state(out_table)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_table)
+        total = batch.agg(F.sum("n").alias("total"))                       # one row
+        out = batch.crossJoin(total).select("type", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("percentage"))
+        if real is not None:
+            r = real.select("type", F.col("percentage").alias("real_percentage"))
+            out = out.join(r, "type", "full_outer").select(
+                "type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("percentage", F.lit(0.0)).alias("percentage"),
+                F.round(F.coalesce("percentage", F.lit(0.0)) - F.coalesce("real_percentage", F.lit(0.0)), 4).alias("gap"))
+        write(out, epoch)
 
     q = (counts.writeStream.outputMode("complete").foreachBatch(sink)
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -48,13 +72,12 @@ def stream_responses(spark: SparkSession, in_path: str, out_path: str, checkpoin
 
 def stream_runs(spark: SparkSession, in_path: str, out_path: str, checkpoint: str,
                 schema: str = "model_key string, status string, timestamp string") -> None:
-    """Finished runs per day from the run stamp; runs later than the
-    one-day watermark are dropped."""
+    """Finished runs per day and status from the run stamp.  The state holds
+    one row per day and status, so it is kept whole (complete mode): no day
+    waits for a watermark, and a late run still counts for its day."""
     src = spark.readStream.schema(schema).json(in_path)
-    ts = src.withColumn("ts", F.to_timestamp("timestamp", "yyyyMMdd_HHmmss"))
-    daily = (ts.withWatermark("ts", "1 day")
-               .groupBy(F.window("ts", "1 day"), "status").agg(F.count(F.lit(1)).alias("runs"))
-               .select(F.col("window.start").alias("day"), "status", "runs"))
-    q = (daily.writeStream.outputMode("append").format("parquet").option("path", out_path)
+    daily = (src.select(F.to_date(F.to_timestamp("timestamp", "yyyyMMdd_HHmmss")).alias("day"), "status")
+                .groupBy("day", "status").agg(F.count(F.lit(1)).alias("runs")))
+    q = (daily.writeStream.outputMode("complete").foreachBatch(keep_state(out_path))
               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
