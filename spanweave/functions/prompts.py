@@ -63,12 +63,13 @@ def synthesis_prompt(targets: Column, types: list[str], top_names: dict[str, lis
     return F.concat(F.lit(prefix), task, F.lit(SYNTH_FORMAT))
 
 
-def sft_row(prompt: Column, answer_json: Column, max_chars: int = 4096) -> Column:
-    """B2: struct<prompt, answer, n_ignore, truncated>: loss only on the
-    answer, so the first ``length(prompt)`` positions are ignored; the pair is
-    cut to ``max_chars``."""
+def sft_windows(prompt: Column, answer_json: Column, max_chars: int = 4096) -> Column:
+    """B2: prompt and answer as ``array<struct<window_idx, input, n_ignore>>``:
+    windows of ``max_chars`` that lose nothing.  Loss only on the answer, so the
+    first ``n_ignore`` positions of a window (what the prompt fills) are ignored."""
     full = F.concat(prompt, answer_json)
-    return F.struct(prompt.alias("prompt"), answer_json.alias("answer"),
-                    F.least(F.length(prompt), F.lit(max_chars)).alias("n_ignore"),
-                    (F.length(full) > max_chars).alias("truncated"),
-                    F.substring(full, 1, max_chars).alias("input"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(full) - 1), F.lit(max_chars))
+    bound = F.array(F.struct(full.alias("t"), F.length(prompt).alias("p")))
+    return F.element_at(F.transform(bound, lambda b: F.transform(starts, lambda at: F.struct(
+        (at / max_chars).cast("int").alias("window_idx"), F.substring(b["t"], at + 1, F.lit(max_chars)).alias("input"),
+        F.least(F.greatest(b["p"] - at, F.lit(0)), F.least(F.length(b["t"]) - at, F.lit(max_chars))).alias("n_ignore")))), 1)

@@ -41,12 +41,13 @@ def span_to_tokens(df: DataFrame, spans_col: str, text_col: str = "text") -> Col
 
 
 def token_label_rows(df: DataFrame, spans_col: str, type_ids: dict[str, int], text_col: str = "text",
-                     max_length: int = 512) -> DataFrame:
+                     max_length: int = 512, truncate: bool = False) -> DataFrame:
     """B1: whitespace tokens with label ids (``O`` = 0, ``B-t`` = 2k+1,
-    ``I-t`` = 2k+2 for the type's index k), ``-100`` on the two special
-    positions, truncated to ``max_length``.  Entities are sorted by start and
-    mapped to token ranges (J8); token tags come from the linear F5 builder
-    over token units."""
+    ``I-t`` = 2k+2 for the type's index k), as windows (``window_idx``) of
+    ``max_length`` positions, ``-100`` on the two special positions of each; no
+    token is dropped unless ``truncate`` asks for the first window only.
+    Entities are sorted by start and mapped to token ranges (J8); token tags
+    come from the linear F5 builder over token units."""
     from spanweave.operators.tagging import bio_tags_expr
     label_ids = {"O": 0}
     for t, k in type_ids.items():
@@ -59,11 +60,14 @@ def token_label_rows(df: DataFrame, spans_col: str, type_ids: dict[str, int], te
     tok_ents = "transform(_al, a -> named_struct('type', a.type, 'start', a.first_tok, 'end', a.last_tok + 1))"
     n = max_length - 2
     out = out.withColumn("_tags", bio_tags_expr(tok_ents, "size(_toks)"))
-    labels = F.expr(f"transform(slice(_tags, 1, {n}), g -> coalesce({lmap}[g], 0))")
+    starts = "array(1)" if truncate else f"sequence(1, greatest(size(_toks), 1), {n})"
+    windows = F.expr(f"transform({starts}, (at, w) -> named_struct('window_idx', w, 'toks', slice(_toks, at, {n}), "
+                     f"'tags', slice(_tags, at, {n})))")
+    out = out.select(*df.columns, F.posexplode_outer(windows).alias("window_idx", "_w"))
+    labels = F.expr(f"transform(_w.tags, g -> coalesce({lmap}[g], 0))")
     return (out.withColumn("labels", F.concat(F.array(F.lit(IGNORE_INDEX)), labels, F.array(F.lit(IGNORE_INDEX))))
-               .withColumn("tokens", F.concat(F.array(F.lit("[CLS]")), F.slice("_toks", 1, n),
-                                              F.array(F.lit("[SEP]"))))
-               .drop("_al", "_toks", "_tags"))
+               .withColumn("tokens", F.concat(F.array(F.lit("[CLS]")), F.col("_w.toks"), F.array(F.lit("[SEP]"))))
+               .drop("_w"))
 
 
 def argmax_labels(scores: Column) -> Column:

@@ -1,5 +1,5 @@
 """Few-shot selection: W2 running_type_score, L7 diverse, L8 stratified,
-and the strategy switch of the reference (unknown names fall back to random).
+and the strategy switch (unknown names fall back to random).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanweave.operators.entities import type_sets
 from spanweave.operators.sampling import few_shot_random, hash_key
 
-_BUCKETS = 4096
+_BUCKETS = 128
 
 
 def running_type_score(samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
@@ -19,34 +19,36 @@ def running_type_score(samples: DataFrame, id_col: str = "sample_id") -> DataFra
     count so far (this sample included).
 
     A running count partitioned only by type would put a dominant type in one
-    task.  Two levels instead: per-(bucket, type) totals of an id range
-    bucketing (small, broadcast as cumulative offsets), then a running sum
-    inside each (bucket, type).
+    task.  Two levels instead: per-(bucket, type) totals over id quantiles, so
+    that buckets are even however sparse the ids are, then a running sum inside
+    each (bucket, type).
     """
     per = (samples.select(id_col, F.explode(F.transform(F.coalesce("entities", F.array()),
                                                         lambda x: x["type"])).alias("type"))
                   .groupBy(id_col, "type").agg(F.count(F.lit(1)).alias("c")))
-    lo_hi = per.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    lo, hi = (lo_hi["lo"] or 0), (lo_hi["hi"] or 0)
-    width = max(1, (hi - lo) // _BUCKETS + 1)
-    per = per.withColumn("b", F.floor((F.col(id_col) - F.lit(lo)) / width))
+    cuts = per.agg(F.percentile_approx(id_col, [i / _BUCKETS for i in range(1, _BUCKETS)], 10_000).alias("q")).first()["q"] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    per = per.withColumn("b", F.size(F.filter(bounds, lambda x: x < F.col(id_col))))
     tot = per.groupBy("b", "type").agg(F.sum("c").alias("bt"))
     off = tot.withColumn("off", F.sum("bt").over(
         Window.partitionBy("type").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["off"])
     run = per.withColumn("r", F.sum("c").over(
         Window.partitionBy("b", "type").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.join(F.broadcast(off.select("b", "type", "off")), ["b", "type"])
+    run = run.join(off.select("b", "type", "off"), ["b", "type"])
     return (run.groupBy(id_col).agg(F.sum(F.col("r") + F.col("off")).cast("bigint").alias("score")))
 
 
 def few_shot_diverse(samples: DataFrame, k: int, seed: int | str = 42, id_col: str = "sample_id") -> DataFrame:
     """Round-robin over shuffled type sets (the empty set included), a
     random member each time; stops when the pool is exhausted (D22)."""
-    ts = type_sets(samples).withColumn("ts_key", F.array_join("type_set", ","))
-    ranked = (ts.withColumn("h", hash_key(id_col, seed))
+    ts = type_sets(samples).select(id_col, "type_set")
+    ranked = (ts.withColumn("ts_key", F.array_join("type_set", ",")).withColumn("h", hash_key(id_col, seed))
                 .withColumn("g", F.md5(F.concat(F.lit(f"{seed}:"), F.col("ts_key"))))
-                .withColumn("round", F.row_number().over(Window.partitionBy("ts_key").orderBy("h", id_col))))
-    return ranked.orderBy("round", "g", "ts_key").limit(k).drop("h", "g")
+                # only the first k of a set can be picked: every task keeps that many ids before the exchange
+                .withColumn("round", F.row_number().over(Window.partitionBy("type_set").orderBy("h", id_col)))
+                .where(F.col("round") <= k))
+    picked = ranked.orderBy("round", "g", "ts_key").limit(k).drop("h", "g", "type_set")
+    return type_sets(samples).join(picked, id_col)
 
 
 def few_shot_stratified(samples: DataFrame, k: int, id_col: str = "sample_id") -> DataFrame:

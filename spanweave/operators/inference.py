@@ -30,12 +30,14 @@ class StubExtractionClient:
     It answers extraction prompts with the capitalised words of the text (the
     same heuristic as the derived gold annotations), and fails the first call
     for prompts whose md5 starts with ``0`` so that retries are exercised.
+    ``noisy`` answers miss names whose md5 starts with ``0`` or ``1`` and call
+    those with ``2`` or ``3`` a person.
     """
 
     _word = re.compile(r"[^ ]+")
 
-    def __init__(self, fail_first: bool = True):
-        self.fail_first = fail_first
+    def __init__(self, fail_first: bool = True, noisy: bool = False):
+        self.fail_first, self.noisy = fail_first, noisy
 
     def __call__(self, prompt: str, attempt: int) -> tuple[str, int, int]:
         if self.fail_first and attempt == 0 and hashlib.md5(prompt.encode()).hexdigest()[0] == "0":
@@ -46,6 +48,11 @@ class StubExtractionClient:
             name = m.group(0).rstrip(".,;:!?|")
             if len(name) >= 4 and "A" <= name[0] <= "Z":
                 t = ("person", "location", "damage", "datetime", "work")[len(name) % 5]
+                digit = hashlib.md5(name.encode()).hexdigest()[0] if self.noisy else ""
+                if digit and digit in "01":      # missed
+                    continue
+                if digit and digit in "23":      # mislabelled
+                    t = "person"
                 ents.append({"type": t, "text": name, "span": [m.start(), m.start() + len(name)]})
         body = json.dumps(ents, ensure_ascii=False)
         return body, len(prompt) // 4, len(body) // 4
@@ -60,14 +67,14 @@ def run_inference(tasks: DataFrame, client_factory: Callable[[], Callable], prom
             out = []
             for tid, prompt in zip(pdf[id_col], pdf[prompt_col]):
                 row = None
-                for k in range(max_retries):
+                for k in range(max(max_retries, 1)):
                     attempt = attempt_base + k
                     try:
                         body, it, ot = client(prompt, attempt)
                         row = (tid, attempt, True, body, it, ot, None)
                         break
                     except Exception as ex:  # noqa: BLE001 - a failed call is data
-                        row = (tid, attempt, False, None, 0, 0, str(ex)[:200])
+                        row = (tid, attempt, False, None, 0, 0, str(ex))
                 out.append(row)
             yield pd.DataFrame(out, columns=["task_id", "attempt", "ok", "body", "input_tokens",
                                              "output_tokens", "error"])

@@ -61,16 +61,22 @@ def plan_to_tasks(plan: DataFrame, ranked_names: DataFrame) -> DataFrame:
                     F.explode(F.sequence(F.lit(1), F.col("samples_per_entity").cast("int"))).alias("rep"))
 
 
-def number_tasks(tasks: DataFrame, *order: Column) -> DataFrame:
-    """Task ids 0..n-1 in the given order (the task table is bounded by the
-    requested sample count)."""
-    return tasks.withColumn("task_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+def max_top_n(plan: DataFrame) -> int:
+    """Names per type that the plan can ask for (one row)."""
+    return int(plan.agg(F.coalesce(F.max("top_n"), F.lit(0))).first()[0])
 
 
 def tasks_balanced(plan: DataFrame, ranked_names: DataFrame) -> DataFrame:
-    """Mode 1, largest strata first."""
+    """Mode 1, largest strata first.  A task's id is its type's offset plus
+    its place in the type: only the per-type rows are put in order."""
     t = plan_to_tasks(plan, ranked_names)
-    t = number_tasks(t, F.desc("ratio"), "type", "rank", "rep")
+    used = ranked_names.join(plan.select("type", "top_n", "samples_per_entity", "ratio"), "type").where("rank <= top_n")
+    size = used.groupBy("type").agg((F.count(F.lit(1)) * F.first("samples_per_entity")).alias("size"), F.first("ratio").alias("r"),
+                                    F.first("samples_per_entity").alias("each"))
+    before = Window.orderBy(F.desc("r"), "type").rowsBetween(Window.unboundedPreceding, -1)   # one row per type
+    offset = size.select("type", "each", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    t = t.join(offset, "type").withColumn(
+        "task_id", (F.col("offset") + (F.col("rank") - 1) * F.col("each") + F.col("rep") - 1).cast("bigint"))
     return t.select("task_id", F.col("type").alias("primary_type"),
                     F.array(F.struct("name", "type")).alias("targets"))
 
@@ -78,8 +84,10 @@ def tasks_balanced(plan: DataFrame, ranked_names: DataFrame) -> DataFrame:
 def tasks_topn(top: DataFrame, total_samples: int) -> DataFrame:
     """Mode 2: global top entities, proportional counts, repeated."""
     a = proportional_alloc(top, total_samples)
-    t = a.select("name", "type", "n", F.explode(F.sequence(F.lit(1), F.col("num_samples").cast("int"))).alias("rep"))
-    t = number_tasks(t, F.desc("n"), "type", "name", "rep")
+    before = Window.orderBy(F.desc("n"), "type", "name").rowsBetween(Window.unboundedPreceding, -1)   # the requested top names
+    a = a.withColumn("offset", F.coalesce(F.sum("num_samples").over(before), F.lit(0)))
+    t = a.select("name", "type", "n", "offset", F.explode(F.sequence(F.lit(1), F.col("num_samples").cast("int"))).alias("rep"))
+    t = t.withColumn("task_id", (F.col("offset") + F.col("rep") - 1).cast("bigint"))
     return t.select("task_id", F.col("type").alias("primary_type"),
                     F.array(F.struct("name", "type")).alias("targets"))
 
@@ -91,13 +99,14 @@ def hash_index(seed: int | str, *parts: Column) -> Column:
 
 
 def tasks_uniform_multi(spark: SparkSession, ranked_names: DataFrame, total_tasks: int,
-                        entities_per_sample: int = 3, seed: int | str = 42) -> DataFrame:
+                        entities_per_sample: int = 3, seed: int | str = 42, types: DataFrame | None = None) -> DataFrame:
     """B6 (card C6): primary type ``types[i mod T]`` (types sorted), a seeded
     name of that type, plus ``entities_per_sample - 1`` other types drawn
     without repetition in ``md5(seed:task:type)`` order, each with a seeded
-    name.  A type without names wastes its draw.  Returns
-    ``task_id, slot, type, name``."""
-    types = ranked_names.select("type").distinct()
+    name.  ``types`` (the distribution's types; by default those with names)
+    take turns whether or not they have names; a type without names wastes its
+    draw.  Returns ``task_id, slot, type, name``."""
+    types = (ranked_names if types is None else types).select("type").distinct()
     counts = ranked_names.groupBy("type").agg(F.max("rank").alias("cnt"))
     tlist = types.agg(F.array_sort(F.collect_list("type")).alias("ts"))
     tasks = spark.range(total_tasks).withColumnRenamed("id", "task_id")

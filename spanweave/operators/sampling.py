@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.functions.replies import py_strip
 from spanweave.schema import SPLITS
 
 _DIGITS = 3          # hex digits added per refinement round -> 4,096 buckets
@@ -62,13 +63,18 @@ def kth_keys(df: DataFrame, id_col: str, seed: int | str, ranks: list[int]) -> d
                 raise ValueError(f"rank {rank} exceeds the row count")
         if leaves:
             wanted = sorted({b for b, _ in leaves.values()})
+            # distinct pairs with their counts: repeated ids don't enlarge a leaf
             rows = (keyed.where(F.substring(_KEY, 1, plen).isin(wanted))
-                         .select(_KEY, _ID).collect())
+                         .groupBy(_KEY, _ID).agg(F.count(F.lit(1)).alias("n")).collect())
             by_bucket: dict[str, list] = {}
             for row in rows:
-                by_bucket.setdefault(row[_KEY][:plen], []).append((row[_KEY], row[_ID]))
+                by_bucket.setdefault(row[_KEY][:plen], []).append((row[_KEY], row[_ID], row["n"]))
             for rank, (b, residual) in leaves.items():
-                out[rank] = sorted(by_bucket[b])[residual - 1]
+                for key, i, n in sorted(by_bucket[b]):
+                    residual -= n
+                    if residual <= 0:
+                        out[rank] = (key, i)
+                        break
         pending = nxt
     return out
 
@@ -119,14 +125,10 @@ def holdout_split(df: DataFrame, id_col: str, seed: int | str = 42,
 def first_k(df: DataFrame, id_col: str, seed: int | str, k: int) -> DataFrame:
     """Exactly min(k, n) rows, uniformly chosen by the seeded order.
 
-    For a k far below the data size a top-k (``TakeOrderedAndProject``) is
-    cheaper; for large k the cut-key filter keeps the work distributed.
+    One cut key, whatever k: rows are compared with it where they are.
     """
     if k <= 0:
         return df.limit(0)
-    if k <= 10_000:
-        key = hash_key(id_col, seed)
-        return (df.withColumn(_KEY, key).orderBy(_KEY, id_col).limit(k).drop(_KEY))
     n = df.count()
     if k >= n:
         return df
@@ -139,7 +141,7 @@ def sample_lines(lines: DataFrame, k: int, seed: int | str = 42,
     """Choose exactly k line ids uniformly *before* blank lines are dropped,
     then drop the blank ones (so fewer than k may remain)."""
     chosen = first_k(lines, id_col, seed, k)
-    return chosen.where(F.trim(F.col(text_col)) != "")
+    return chosen.where(py_strip(F.col(text_col)) != "")
 
 
 def few_shot_random(pool: DataFrame, k: int, seed: int | str = 42,

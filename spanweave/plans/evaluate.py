@@ -3,6 +3,8 @@ spans -> scores, as one Spark job (the model call is the only Python stage)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from spanweave.operators import inference as INF
 from spanweave.operators import parsing as P
 from spanweave.operators import scoring as SC
 from spanweave.operators import tagging as TG
+from spanweave.session import scratch_path
 
 
 def evaluate_llm(samples: DataFrame, types: list[str], client_factory, model: str = "stub",
@@ -20,7 +23,10 @@ def evaluate_llm(samples: DataFrame, types: list[str], client_factory, model: st
     with gold as array<struct<type, s, e>>."""
     prompts = samples.select(F.col("sample_id").alias("task_id"),
                              extraction_prompt(F.col("text"), types, examples).alias("prompt"))
-    resp = INF.run_inference(prompts, client_factory)
+    # the call is expensive and not repeatable: every later use reads the stored replies
+    path = scratch_path(samples.sparkSession, f"evaluate-{uuid.uuid4().hex}")
+    INF.run_inference(prompts, client_factory).write.parquet(path)
+    resp = samples.sparkSession.read.parquet(path)
     j = samples.join(resp.withColumnRenamed("task_id", "sample_id"), "sample_id", "left")
     parsed = P.parse_entities(j.fillna({"body": "[]"}), "body", "text", types, out_col="pents")
     ents = "transform(pents, x -> named_struct('type', x.type, 'start', CAST(x.start AS INT), 'end', CAST(x.end AS INT)))"

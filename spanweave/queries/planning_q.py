@@ -51,8 +51,12 @@ def _plan(spark, sf):
     return PL.generation_plan(ent.entity_distribution(_ents(spark, sf), digits=None), TOTAL, AVG)
 
 
-def _ranked(spark, sf, n=30):
-    return ent.top_entities_per_type(_ents(spark, sf), n)
+def _ranked(spark, sf, n=None):
+    return ent.top_entities_per_type(_ents(spark, sf), n or PL.max_top_n(_plan(spark, sf)))
+
+
+def _types(spark, sf):
+    return ent.entity_distribution(_ents(spark, sf), digits=None)
 
 
 @register("generation_plan", O.with_(_G, _DIST, _PLAN) + """
@@ -112,7 +116,7 @@ SELECT CAST(i AS BIGINT) AS task_id, ts[(i % len(ts)) + 1] AS primary_type
 FROM (SELECT list_sort(list(DISTINCT type)) AS ts FROM gold), range(0, 100) r(i)""")
 def round_robin_types(spark, sf):
     names = _ranked(spark, sf, 1000)
-    t = PL.tasks_uniform_multi(spark, names, 100, entities_per_sample=1)
+    t = PL.tasks_uniform_multi(spark, names, 100, entities_per_sample=1, types=_types(spark, sf))
     return t.where(F.col("slot") == 0).select("task_id", F.col("type").alias("primary_type"))
 
 
@@ -132,7 +136,7 @@ pick AS (
   FROM slots s JOIN cnt c USING (type))""") + """
 SELECT p.task_id, CAST(p.slot AS BIGINT) AS slot, p.type, r.name FROM pick p JOIN rk r ON p.type = r.type AND p.rank = r.rank""")
 def tasks_uniform_multi(spark, sf):
-    return PL.tasks_uniform_multi(spark, _ranked(spark, sf, 1000), 200, entities_per_sample=3)
+    return PL.tasks_uniform_multi(spark, _ranked(spark, sf, 1000), 200, entities_per_sample=3, types=_types(spark, sf))
 
 
 # Verification: the real corpus (train + validation) against the generated

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from spanweave import oracle as O
 from spanweave.catalog import register
+from spanweave.operators import entities as ent
 from spanweave.queries.parsing_q import _BASE as _REPLY_BASE, _EXTRACT
+from spanweave.queries.runs_q import _RES
 from spanweave.session import scratch_path
 from spanweave.sources import fixtures as fx
 from spanweave.sources import replies as RP
@@ -22,13 +24,21 @@ def _dirs(spark, tag):
     return f"{base}/in", f"{base}/out", f"{base}/ckpt"
 
 
-@register("stream_distribution", O.with_(O.cand_ctes()) + "SELECT type, CAST(count(*) AS BIGINT) AS n FROM gold GROUP BY type")
+@register("stream_distribution", O.with_(O.cand_ctes(), O.split_cte(), """t AS (
+  SELECT type, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS p FROM gold GROUP BY type)""", """r AS (
+  SELECT type, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS p FROM gold JOIN splits USING (doc_id)
+  WHERE split IN ('train', 'validation') GROUP BY type)""") + """
+SELECT type, CAST(n AS BIGINT) AS n, round(t.p, 4) AS percentage, round(round(t.p, 4) - coalesce(r.p, 0), 4) AS gap
+FROM t LEFT JOIN r USING (type)""")
 def stream_distribution(spark, sf):
     src, out, ck = _dirs(spark, "dist")
     s = fx.samples(spark, sf, with_split=False).select("text", "entities")
     s.repartition(4).write.json(src)          # several files, like a folder of generated batches
-    J.stream_distribution(spark, src, out, ck)
-    return spark.read.parquet(out).select("type", F.col("n").cast("bigint"))
+    known = fx.samples(spark, sf).where(F.col("split").isin("train", "validation"))
+    real = ent.entity_distribution(ent.explode_entities(known), digits=None)
+    real = real.select("type", F.round(100.0 * F.col("ratio"), 4).alias("percentage"))
+    J.stream_distribution(spark, src, out, ck, real=real)
+    return J.latest(spark, out).select("type", F.col("n").cast("bigint").alias("n"), "percentage", "gap")
 
 
 @register("stream_responses", _REPLY_BASE + _EXTRACT + """
@@ -42,9 +52,11 @@ def stream_responses(spark, sf):
     return spark.read.parquet(out).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("stream_runs")
+@register("stream_runs", _RES + """
+SELECT CAST('2025-01-0' || (run_order % 3 + 1) AS DATE) AS day, status, CAST(count(*) AS BIGINT) AS runs FROM res GROUP BY 1, 2""")
 def stream_runs(spark, sf):
     src, out, ck = _dirs(spark, "runs")
-    RS.results(spark, sf).select("model_key", "status", "timestamp").write.json(src)
+    # one file per run, so that late stamps arrive in later batches as well
+    RS.results(spark, sf).select("model_key", "status", "timestamp").repartition(5, "model_key").write.json(src)
     J.stream_runs(spark, src, out, ck)
-    return spark.read.parquet(out)
+    return J.latest(spark, out)
