@@ -147,3 +147,8 @@ def final_stage_metrics(results: DataFrame, stages: DataFrame) -> DataFrame:
                     *[F.when(has, F.col(f"last.{m}")).otherwise(metric(m)).alias(m) for m in METRICS],
                     F.col("metrics.accuracy").alias("accuracy"),
                     F.when(has, "stage").otherwise("eval").alias("source"))
+
+
+def stage_time_total(stages: DataFrame) -> DataFrame:
+    """Training time of a run over its stages (a stage without a time counts 0)."""
+    return stages.groupBy("model_key").agg(F.sum(F.coalesce("stage_time", F.lit(0.0))).alias("total_time"))

@@ -24,27 +24,36 @@ def _written(spark, sf, runs=None):
     return path
 
 
-@register("write_results", _RES + "SELECT model_key, status FROM res")
+@register("write_results", _RES + "SELECT model_key, status, round(f1, 6) AS f1 FROM res")
 def write_results(spark, sf):
     p = _written(spark, sf)
-    return spark.read.json(p).select("model_key", "status")
+    back = spark.read.option("multiLine", True).json(f"{p}/*")
+    return back.select("model_key", "status", F.round("metrics.f1", 6).alias("f1"))
 
 
 @register("read_results", _RES + "SELECT model_key, status, round(f1, 6) AS f1 FROM res")
 def read_results(spark, sf):
     p = _written(spark, sf)
     # an unreadable document next to the good ones is skipped
-    spark.createDataFrame([("{not json",)], "value string").write.text(f"{p}/model_key=broken")
-    r = RF.read_results(spark, f"{p}/*/*")
-    return r.select("model_key", "status", F.round("metrics.f1", 6).alias("f1")).where(F.col("model_key") != "broken")
+    spark.createDataFrame([("{not json",)], "value string").write.text(f"{p}/run=broken")
+    r = RF.read_results(spark, p)
+    return r.select("model_key", "status", F.round("metrics.f1", 6).alias("f1"))
 
 
-@register("merge_run_sets", _RES + "SELECT model_key, status FROM res")
+@register("merge_run_sets", _RES + "SELECT model_key, status, round(recall, 6) AS recall FROM res")
 def merge_run_sets(spark, sf):
     keys = [k for k, *_ in RS.RUNS]
     a, b = _written(spark, sf, keys[:5]), _written(spark, sf, keys[5:])
     missing = scratch_path(spark, f"absent-{uuid.uuid4().hex}")
-    return RF.merge_run_sets(spark, [a, b, missing]).select("model_key", "status")
+    return RF.merge_run_sets(spark, [a, b, missing]).select("model_key", "status", F.round("metrics.recall", 6).alias("recall"))
+
+
+@register("comparison_table", _RES + """
+SELECT model_key AS "Model", round(precision, 6) AS "Precision", round(recall, 6) AS "Recall", round(f1, 6) AS "F1",
+       training_time AS "Training Time (s)" FROM ok""")
+def comparison_table(spark, sf):
+    c = RF.comparison_table(RS.results(spark, sf))
+    return c.select("Model", *[F.round(x, 6).alias(x) for x in ("Precision", "Recall", "F1")], "Training Time (s)")
 
 
 @register("export_summary", _RES + "SELECT model_key, round(f1, 6) AS f1 FROM ok")
@@ -62,10 +71,10 @@ def export_summary(spark, sf):
 def stage_time_total(spark, sf):
     r = RS.results(spark, sf)
     stages = r.select("model_key", F.explode(F.array(
-        F.struct(F.lit(1).alias("stage"), (F.col("training_time") * 0.25).alias("t")),
-        F.struct(F.lit(2).alias("stage"), (F.col("training_time") * 0.75).alias("t")),
-        F.struct(F.lit(3).alias("stage"), F.lit(None).cast("double").alias("t")))).alias("s"))
-    return stages.groupBy("model_key").agg(F.sum(F.coalesce("s.t", F.lit(0.0))).alias("total_time"))
+        F.struct(F.lit(1).alias("stage"), (F.col("training_time") * 0.25).alias("stage_time")),
+        F.struct(F.lit(2).alias("stage"), (F.col("training_time") * 0.75).alias("stage_time")),
+        F.struct(F.lit(3).alias("stage"), F.lit(None).cast("double").alias("stage_time")))).alias("s")).select("model_key", "s.*")
+    return RN.stage_time_total(stages)
 
 
 @register("full_report")

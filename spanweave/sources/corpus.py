@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.functions.replies import py_strip
 from spanweave.sources.tables import spread, table
 
 LINE_ID_STRIDE = 100000
@@ -18,29 +19,24 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_corpus_lines(spark: SparkSession, path: str, key: str = "aug") -> DataFrame:
-    """A text corpus given as JSON Lines with key ``key`` or as plain lines.
-
-    The format is decided by the first non-empty line (a one-row probe).  Blank
-    lines, and JSON lines that do not parse or lack the key, are skipped.
-    Each line keeps a stable id ``(file, line number)`` for seeded sampling.
-    """
-    raw = (spark.read.text(path).withColumn("file", F.input_file_name()))
-    numbered = _number_lines(raw)
-    first = numbered.where(F.trim("value") != "").select("value").take(1)
-    is_json = bool(first) and first[0][0].lstrip().startswith("{")
-    if is_json:
-        val = F.expr(f"try_variant_get(try_parse_json(value), '$.{key}', 'string')")
-        out = numbered.select("line_id", val.alias("text"))
-        return out.where(F.col("text").isNotNull() & (F.trim("text") != ""))
-    return numbered.select("line_id", F.col("value").alias("text")).where(F.trim("text") != "")
-
-
-def _number_lines(raw: DataFrame) -> DataFrame:
-    """Stable line ids: hash of the file name plus the position inside it.
-
-    ``monotonically_increasing_id`` changes with partitioning; the position
-    from ``zipWithIndex`` per file would need a driver pass.  The row position
-    within each input split is stable for a given file layout and is enough to
-    make seeded draws repeatable.
+    """A text corpus given as JSON Lines with key ``key`` or as plain lines:
+    ``line_id, text``.
+
+    The corpus is JSON Lines if its first non-blank line is an object that holds
+    the key (a one-row probe); a plain corpus may begin with a brace.  Blank
+    lines (Python white space), and JSON lines that do not parse or lack the
+    key, are skipped; values are stripped.  A line's id is the hash of its
+    file's name, its text and how many equal lines of the file stand before it:
+    it doesn't depend on how files are split into partitions.
     """
-    return raw.withColumn("line_id", F.xxhash64("file", F.monotonically_increasing_id()))
+    raw = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    lines = raw.where(py_strip(F.col("value")) != "")
+    val = F.expr(f"try_variant_get(try_parse_json(value), '$.{key}', 'string')")
+    first = lines.select("value").limit(1).select(val.isNotNull().alias("json")).first()
+    if first is not None and first["json"]:
+        lines = lines.select("file", val.alias("value")).where(py_strip(F.col("value")) != "")
+    lines = lines.select("file", py_strip(F.col("value")).alias("text"))
+    # equal lines of a file are interchangeable: fold them, number them inside the row, spread them again
+    folded = lines.groupBy("file", "text").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    numbered = folded.select("file", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return numbered.select(F.xxhash64("file", "text", "i").alias("line_id"), "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,41 +13,41 @@ _CORRUPT = "_corrupt_record"
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """One JSON document per run, in a directory per model key."""
-    results.write.mode("overwrite").partitionBy("model_key").json(path)
+    """One folder per run (``<model_key>_<timestamp>``) with one indented
+    JSON document; the model key is inside the document."""
+    run = F.concat_ws("_", "model_key", F.coalesce("timestamp", F.lit("none"))).alias("run")
+    doc = F.to_json(F.struct(*results.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")
+    results.select(run, doc).repartition("run").write.mode("overwrite").partitionBy("run").text(path)
 
 
 def read_results(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Load run documents by glob; unreadable documents are skipped and
-    none found is an error.  Missing optional fields stay NULL."""
+    """Load run documents, one (indented or not) per file, by folder or
+    glob.  Unreadable documents are skipped and none found is an error.
+    Missing optional fields stay NULL; a missing model key is the name of the
+    document's folder."""
     paths = [paths] if isinstance(paths, str) else paths
     schema = T.StructType(list(RESULT.fields) + [T.StructField("run_order", T.IntegerType()),
                                                  T.StructField(_CORRUPT, T.StringType())])
-    schema = T.StructType([f for f in schema.fields if f.name != "model_key"])
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", _CORRUPT).option("basePath", _base(paths[0]))
-               .json(paths))
-    ok = df.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", True)
+               .option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", _CORRUPT).json(paths))
+    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    ok = df.select("*", folder.alias("_folder")).where(F.col(_CORRUPT).isNull() & F.col("status").isNotNull())
+    ok = ok.withColumn("model_key", F.coalesce("model_key", F.regexp_replace("_folder", "^run=", ""))).drop(_CORRUPT, "_folder")
     if not ok.select("status").take(1):
         raise FileNotFoundError(f"no readable run results under {paths}")
     return ok
 
 
-def _base(p: str) -> str:
-    return p.split("/*")[0]
-
-
 def merge_run_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Results of this run plus ``compare_with`` directories; missing
     directories are ignored."""
-    from py4j.protocol import Py4JJavaError  # noqa: F401
     frames = []
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        fs_path = jvm.org.apache.hadoop.fs.Path(p)
-        if fs_path.getFileSystem(conf).exists(fs_path):
+        try:
             frames.append(read_results(spark, p))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     if not frames:
         raise FileNotFoundError("none of the result directories exists")
     out = frames[0]
@@ -55,7 +56,16 @@ def merge_run_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def comparison_table(results: DataFrame) -> DataFrame:
+    """The comparison columns of successful runs under their report names."""
+    n = F.col("num_samples") if "num_samples" in results.columns else F.lit(None).cast("struct<train:long,val:long,test:long>")
+    return results.where("status = 'success'").select(
+        F.col("model_key").alias("Model"), F.col("model_name").alias("Model Name"), F.col("metrics.precision").alias("Precision"),
+        F.col("metrics.recall").alias("Recall"), F.col("metrics.f1").alias("F1"), F.col("metrics.accuracy").alias("Accuracy"),
+        F.col("training_time").alias("Training Time (s)"), n["train"].alias("Train Samples"), n["test"].alias("Test Samples"))
+
+
 def export_summary(summary: DataFrame, path: str) -> None:
     """The summary table as CSV (with header) and as JSON."""
-    summary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    summary.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    summary.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    summary.write.mode("overwrite").json(f"{path}/json")
