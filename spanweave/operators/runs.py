@@ -152,3 +152,8 @@ def final_stage_metrics(results: DataFrame, stages: DataFrame) -> DataFrame:
 def stage_time_total(stages: DataFrame) -> DataFrame:
     """Training time of a run over its stages (a stage without a time counts 0)."""
     return stages.groupBy("model_key").agg(F.sum(F.coalesce("stage_time", F.lit(0.0))).alias("total_time"))
+
+
+def top_runs(results: DataFrame, max_models: int) -> DataFrame:
+    """The ``max_models`` best runs overall by F1 (ties in input order)."""
+    return with_flags(results).withColumn("use_crf", F.col("flags.use_crf")).orderBy(F.desc(metric("f1")), "run_order").limit(max_models)

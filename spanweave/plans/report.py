@@ -6,30 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.operators import runs as RN
-from spanweave.sources.results import export_summary
+from spanweave.sources.results import comparison_table, export_summary
 
 
 def full_report(results: DataFrame, path: str, model_keys: list[str]) -> DataFrame:
-    """Summary (CSV + JSON), metric rankings, time ranking, radar matrix and
-    best run per type; returns an index ``table, rows``."""
+    """Summary (CSV + JSON), comparison table, metric rankings, time ranking,
+    radar matrix, best run per type and precision-recall points; returns an
+    index ``table, rows, content, path`` (``content``: md5 of the rows' names
+    in order)."""
     ok = RN.successful_runs(results, require=True)
-    tables = {
-        "summary": RN.summary_table(ok),
-        "ranking_f1": RN.run_ranking(ok, "f1"),
-        "ranking_precision": RN.run_ranking(ok, "precision"),
-        "ranking_recall": RN.run_ranking(ok, "recall"),
-        "time_ranking": RN.time_ranking(ok),
-        "radar": RN.radar_matrix(ok, model_keys),
-        "best_per_type": RN.best_run_per_type(ok),
+    named = {
+        "ranking_f1": (RN.run_ranking(ok, "f1"), ["model_key"]),
+        "ranking_precision": (RN.run_ranking(ok, "precision"), ["model_key"]),
+        "ranking_recall": (RN.run_ranking(ok, "recall"), ["model_key"]),
+        "time_ranking": (RN.time_ranking(ok), ["model_key"]),
+        "radar": (RN.radar_matrix(ok, model_keys), ["type"]),
+        "best_per_type": (RN.best_run_per_type(ok), ["type", "model_key"]),
+        "pr_points": (RN.per_type(ok).select("type", "model_key", "precision", "recall", "f1"), ["type", "model_key"]),
     }
     spark = results.sparkSession
-    index = []
-    for name, df in tables.items():
-        if name == "summary":
-            export_summary(df, f"{path}/{name}")
-            n = spark.read.json(f"{path}/{name}/json").count()
-        else:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-            n = spark.read.parquet(f"{path}/{name}").count()
-        index.append((name, n))
-    return spark.createDataFrame(index, "table string, rows long").withColumn("path", F.lit(path))
+    export_summary(RN.summary_table(ok), f"{path}/summary")
+    comparison_table(results).write.mode("overwrite").option("header", True).csv(f"{path}/comparison")
+    index = [_entry("summary", spark.read.json(f"{path}/summary/json"), ["model_key"])]
+    for name, (df, key) in named.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        index.append(_entry(name, spark.read.parquet(f"{path}/{name}"), key))
+    out = index[0]
+    for e in index[1:]:
+        out = out.union(e)
+    return out.withColumn("path", F.lit(path))
+
+
+def _entry(name: str, df: DataFrame, key: list[str]) -> DataFrame:
+    """One row about a written table (tables of runs and types, a few rows each)."""
+    names = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", *key))), ",")
+    return df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.md5(names).alias("content")).select("table", "rows", "content")

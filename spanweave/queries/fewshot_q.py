@@ -36,3 +36,11 @@ def few_shot_diverse(spark, sf):
 def few_shot_stratified(spark, sf):
     s = FS.few_shot_stratified(fx.samples(spark, sf, with_split=False), 8)
     return s.select("sample_id", "phase")
+
+
+@register("few_shot_by_name", O.with_(_C, """h AS (SELECT doc_id, md5('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents)""") + """
+SELECT doc_id AS sample_id FROM h ORDER BY h, doc_id LIMIT 7""")
+def few_shot_by_name(spark, sf):
+    """An unknown strategy falls back to the random one."""
+    s = fx.samples(spark, sf, with_split=False)
+    return FS.select_few_shot(s, 7, "no such strategy").select("sample_id")

@@ -44,6 +44,28 @@ def extraction_prompt(spark, sf):
     return p.select("task_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("n_chars"))
 
 
+_SHOTS = """shot AS (
+  SELECT d.doc_id, d.text, '[' || string_agg('{"type": "' || g.type || '", "text": "' || replace(replace(g.name, '\\', '\\\\'), '"', '\\"')
+         || '", "span": [' || CAST(g.s AS VARCHAR) || ', ' || CAST(g.e AS VARCHAR) || ']}', ', ' ORDER BY g.s) || ']' AS ents
+  FROM docs d JOIN gold g USING (doc_id) WHERE d.doc_id IN (SELECT doc_id FROM docs JOIN gold USING (doc_id) GROUP BY doc_id ORDER BY count(*) DESC, doc_id LIMIT 3)
+  GROUP BY d.doc_id, d.text),
+block AS (
+  SELECT string_agg('Example ' || CAST(i AS VARCHAR) || ':' || chr(10) || 'Text: ' || text || chr(10) || ents, chr(10) || chr(10) ORDER BY i) AS b
+  FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM shot))"""
+_HEAD = _PREFIX[:-len("\nText: ")]
+
+
+@register("extraction_prompt_3shot", O.with_(O.cand_ctes(), _SHOTS) + f"""
+SELECT doc_id AS task_id, md5({_sql_lit(_HEAD)} || chr(10) || b || chr(10) || chr(10) || 'Text: ' || text || {_sql_lit(chr(10) + 'Answer:')}) AS prompt_md5
+FROM docs, block""")
+def extraction_prompt_3shot(spark, sf):
+    a = fx.annotated(spark, sf).where(F.size("gold") > 0)
+    best = a.orderBy(F.desc(F.size("gold")), "doc_id").limit(3).select("doc_id", "text", "gold").collect()   # the k examples
+    examples = [(r.text, [{"type": g.type, "text": g.name, "span": [g.s, g.e]} for g in r.gold]) for r in sorted(best, key=lambda r: r.doc_id)]
+    p = PR.extraction_prompt(F.col("text"), TYPES, examples)
+    return fx.docs(spark, sf).select(F.col("doc_id").alias("task_id"), F.md5(p).alias("prompt_md5"))
+
+
 @register("synthesis_prompt")
 def synthesis_prompt(spark, sf):
     ents = ent.explode_entities(fx.samples(spark, sf, garbled=True, with_split=False))

@@ -66,6 +66,36 @@ def generation_plan(spark, sf):
     return p.withColumn("ratio", F.round("ratio", 6))
 
 
+_TARGET = f"CAST(greatest(1, floor(floor({TOTAL * AVG} * ratio) / {AVG})) AS BIGINT)"
+
+
+def _branch_sql(target: str, top: str, each: str) -> str:
+    return O.with_(_G, _DIST) + f"""
+SELECT type, round(ratio, 6) AS ratio, unique_entities, CAST(target AS BIGINT) AS target_samples, CAST(tn AS BIGINT) AS top_n,
+       CAST(each AS BIGINT) AS samples_per_entity, CAST(tn * each AS BIGINT) AS estimated_samples
+FROM (SELECT *, {each} AS each FROM (SELECT *, {top} AS tn FROM (SELECT *, {target} AS target FROM dist)))"""
+
+
+def _branch(spark, sf, **fixed):
+    p = PL.generation_plan(ent.entity_distribution(_ents(spark, sf), digits=None), TOTAL, AVG, **fixed)
+    return p.withColumn("ratio", F.round("ratio", 6))
+
+
+@register("generation_plan_fixed", _branch_sql("least(5, unique_entities) * 10", "least(5, unique_entities)", "10"))
+def generation_plan_fixed(spark, sf):
+    return _branch(spark, sf, top_n=5, samples_per_entity=10)
+
+
+@register("generation_plan_names", _branch_sql(_TARGET, "least(5, unique_entities)", "greatest(1, floor(target / greatest(1, tn)))"))
+def generation_plan_names(spark, sf):
+    return _branch(spark, sf, top_n=5)
+
+
+@register("generation_plan_repeats", _branch_sql(_TARGET, "least(greatest(1, floor(target / 10)), unique_entities)", "10"))
+def generation_plan_repeats(spark, sf):
+    return _branch(spark, sf, samples_per_entity=10)
+
+
 @register("plan_to_tasks", O.with_(_G, _DIST, _PLAN, _RANKED, _PT) +
           "SELECT type, name, CAST(rank AS BIGINT) AS rank, CAST(rep AS BIGINT) AS rep FROM pt")
 def plan_to_tasks(spark, sf):

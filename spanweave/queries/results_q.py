@@ -77,10 +77,18 @@ def stage_time_total(spark, sf):
     return RN.stage_time_total(stages)
 
 
-@register("full_report")
+@register("full_report", _RES + """
+SELECT t AS "table", CAST(n AS BIGINT) AS rows, c AS content FROM (
+  SELECT 'summary' AS t, count(*) AS n, md5(string_agg(model_key, ',' ORDER BY model_key)) AS c FROM ok
+  UNION ALL SELECT 'ranking_' || m, count(*), md5(string_agg(model_key, ',' ORDER BY model_key)) FROM ok, (SELECT unnest(['f1', 'precision', 'recall']) AS m) GROUP BY m
+  UNION ALL SELECT 'time_ranking', count(*), md5(string_agg(model_key, ',' ORDER BY model_key)) FROM ok
+  UNION ALL SELECT 'radar', count(*), md5(string_agg(type, ',' ORDER BY type)) FROM (SELECT DISTINCT type FROM rt)
+  UNION ALL SELECT 'best_per_type', count(*), md5(string_agg(type || ':' || model_key, ',' ORDER BY type)) FROM (
+    SELECT *, row_number() OVER (PARTITION BY type ORDER BY f1 DESC, run_order) AS rk FROM rt) WHERE rk = 1
+  UNION ALL SELECT 'pr_points', count(*), md5(string_agg(type || ':' || model_key, ',' ORDER BY type, model_key)) FROM rt)""")
 def full_report(spark, sf):
     path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
-    return report(RS.results(spark, sf), path, _OK_KEYS).select("table", "rows")
+    return report(RS.results(spark, sf), path, _OK_KEYS).select("table", "rows", "content")
 
 
 @register("final_stage_metrics", _RES + """,

@@ -123,6 +123,11 @@ def crf_split_topk(spark, sf):
     return c.select("use_crf", "model_key", F.col("rank").cast("bigint"))
 
 
+@register("top_runs", _RES + "SELECT use_crf, model_key FROM fl WHERE status = 'success' ORDER BY f1 DESC, run_order LIMIT 5")
+def top_runs(spark, sf):
+    return RN.top_runs(_ok(spark, sf), 5).select("use_crf", "model_key")
+
+
 @register("time_ranking", _RES + """
 SELECT model_key, training_time, CAST(row_number() OVER (ORDER BY training_time, run_order) AS BIGINT) AS rank FROM ok""")
 def time_ranking(spark, sf):
