@@ -18,6 +18,7 @@ from spanweave.operators import inference as INF
 from spanweave.operators import parsing as P
 from spanweave.operators import planning as PL
 from spanweave.plans.evaluate import evaluate_llm
+from spanweave.queries import planning_q as PQ
 from spanweave.session import scratch_path
 from spanweave.sources import fixtures as fx
 from spanweave.sources.tables import explode_rows
@@ -66,7 +67,27 @@ def extraction_prompt_3shot(spark, sf):
     return fx.docs(spark, sf).select(F.col("doc_id").alias("task_id"), F.md5(p).alias("prompt_md5"))
 
 
-@register("synthesis_prompt")
+_GLOSS = "CASE type " + " ".join(f"WHEN '{t}' THEN {_sql_lit(g)}" for t, g in PR.GLOSSES.items()) + " ELSE type END"
+_SYNTH = """tops AS (SELECT type, string_agg(name, ', ' ORDER BY rank) AS names FROM rn WHERE rank <= 5 GROUP BY type),
+kinds AS (SELECT unnest(['damage', 'datetime', 'location', 'person', 'work']) AS type),
+tblock AS (
+  SELECT string_agg('- ' || type || ': ' || """ + _GLOSS + """ || coalesce(' (e.g. ' || names || ')', ''), chr(10) ORDER BY type) AS tb
+  FROM kinds LEFT JOIN tops USING (type)),
+rich AS (
+  SELECT d.doc_id, d.text, count(*) AS n, '[' || string_agg('{"type": "' || g.type || '", "name": "' || replace(replace(g.name, '\\', '\\\\'), '"', '\\"')
+         || '", "span": [' || CAST(g.s AS VARCHAR) || ', ' || CAST(g.e AS VARCHAR) || ']}', ', ' ORDER BY g.s) || ']' AS ents
+  FROM docs d JOIN gold g USING (doc_id) WHERE NOT regexp_matches(d.text, '[?☆〈〉]') GROUP BY d.doc_id, d.text
+  HAVING count(*) >= 10 AND count(*) FILTER (WHERE regexp_matches(g.name, '[?☆〈〉]')) = 0 ORDER BY n DESC, doc_id LIMIT 3),
+eblock AS (
+  SELECT string_agg('Example ' || CAST(i AS VARCHAR) || ':' || chr(10) || 'Text: ' || text || chr(10) || ents, chr(10) || chr(10) ORDER BY i) AS eb
+  FROM (SELECT *, row_number() OVER (ORDER BY n DESC, doc_id) AS i FROM rich)),
+tk AS (SELECT CAST(row_number() OVER (ORDER BY ratio DESC, type, rank, rep) - 1 AS BIGINT) AS task_id, type, name FROM pt)"""
+
+
+@register("synthesis_prompt", O.with_(PQ._G, PQ._DIST, PQ._PLAN, PQ._RANKED, PQ._PT, _SYNTH) + f"""
+SELECT task_id, md5('Generate a realistic annotated text.' || chr(10) || 'Entity types:' || chr(10) || tb || chr(10) || chr(10) || eb || chr(10) || chr(10)
+       || 'Task: write a text that mentions ' || name || ' (' || type || ')' || '.' || chr(10) || {_sql_lit(PR.SYNTH_FORMAT)}) AS prompt_md5
+FROM tk, tblock, eblock""")
 def synthesis_prompt(spark, sf):
     ents = ent.explode_entities(fx.samples(spark, sf, garbled=True, with_split=False))
     top = ent.top_entities_per_type(ents, 5).orderBy("type", "rank").collect()      # <= 5 per type
