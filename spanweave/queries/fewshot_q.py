@@ -32,7 +32,21 @@ def few_shot_diverse(spark, sf):
     return d.select("sample_id", "ts_key", F.col("round").cast("bigint"))
 
 
-@register("few_shot_stratified")
+_PICK = "list_filter(l, lambda y: list_contains(y.ts, x.c[1]) AND NOT list_contains(acc.i, y.id))[1]"
+
+
+@register("few_shot_stratified", O.with_(_C, """pt AS (SELECT doc_id, type, count(*) AS c FROM gold GROUP BY doc_id, type)""", """sc AS (
+  SELECT doc_id, sum(r) AS score, list_sort(list(type)) AS ts FROM (
+    SELECT doc_id, type, sum(c) OVER (PARTITION BY type ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS r FROM pt) GROUP BY doc_id)""", """cl AS (
+  SELECT list({'ts': ts, 'id': doc_id} ORDER BY score DESC, doc_id) AS l FROM (
+    SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, doc_id) AS rk FROM sc) WHERE rk = 1)""", """fr AS (
+  SELECT list({'c': [type], 'i': []::BIGINT[]} ORDER BY n DESC, type) AS f FROM (SELECT type, sum(c) AS n FROM pt GROUP BY type))""", f"""cover AS (
+  SELECT unnest(list_reduce(f, lambda acc, x: CASE WHEN list_contains(acc.c, x.c[1]) OR len(acc.i) >= 8 OR {_PICK} IS NULL THEN acc
+    ELSE {{'c': acc.c || {_PICK}.ts, 'i': acc.i || [{_PICK}.id]}} END, {{'c': []::VARCHAR[], 'i': []::BIGINT[]}}).i) AS doc_id FROM fr, cl)""") + """
+SELECT doc_id AS sample_id, 'cover' AS phase FROM cover
+UNION ALL SELECT doc_id, 'fill' FROM (
+  SELECT doc_id FROM sc WHERE doc_id NOT IN (SELECT doc_id FROM cover) ORDER BY score DESC, doc_id
+  LIMIT (SELECT 8 - count(*) FROM cover))""")
 def few_shot_stratified(spark, sf):
     s = FS.few_shot_stratified(fx.samples(spark, sf, with_split=False), 8)
     return s.select("sample_id", "phase")
