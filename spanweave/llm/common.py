@@ -84,3 +84,26 @@ def plain_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the columns an operator needs, so that clashing extra columns of the
     input can't reach it."""
     return df.select(*names)
+
+
+MAP_BITS = 1 << 15            # bits of one of Spark's bitmaps
+FILTER_BITS = MAP_BITS << 10  # 4 MB of bitmaps at most
+
+
+def member_flag(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows with ``_sw_maybe``: whether their key may be among ``keys``, without
+    a shuffle of the rows.  A bitmap of ``FILTER_BITS`` bits, whatever the number
+    of keys, is broadcast.  It never misses a member; where a false hit would
+    matter, an exact join has to follow."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    part, place = F.floor(bit / MAP_BITS).cast("int").alias("_sw_part"), (bit % MAP_BITS).cast("long").alias("_sw_place")
+    maps = keys.select(part, place).groupBy("_sw_part").agg(F.bitmap_construct_agg("_sw_place").alias("_sw_map"))
+    hit = rows.select("*", part, place).join(F.broadcast(maps), "_sw_part", "left")
+    octet = F.conv(F.hex(F.substring("_sw_map", (F.col("_sw_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(octet, (F.col("_sw_place") % 8).cast("int")) == 1, F.lit(False))
+    return hit.select(*rows.columns, found.alias("_sw_maybe"))
+
+
+def maybe_member(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be among ``keys`` (see ``member_flag``)."""
+    return member_flag(rows, keys, key).where("_sw_maybe").drop("_sw_maybe")

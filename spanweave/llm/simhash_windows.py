@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import row_key, stored, table
+from spanweave.llm.common import maybe_member, row_key, stored, table
 
 WIDTHS = (3, 7, 15)
 SHINGLE, SIMILARITY = 5, 0.8
@@ -72,13 +72,19 @@ def majority(h: list[Column]) -> Column:
     return _carry(a4, b4, _carry(a2, b2, _carry(a1, b1, h[14])))
 
 
-def _fingerprints(df: DataFrame, width: int, step: int, keys: list[str]) -> DataFrame:
-    """``keys, place, width, fingerprint`` of the windows at multiples of ``step``."""
-    starts = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.size("words") - width, F.lit(step)))
-    rows = df.select(*keys, F.explode(F.transform(starts, lambda s: F.struct(s.alias("place"), F.slice("words", s + 1, width).alias("win")))).alias("x"))
-    hashes = [F.col("x.win")[j].alias(f"h{j}") for j in range(width)]
-    rows = rows.select(*keys, F.col("x.place").alias("place"), *hashes)
-    return rows.select(*keys, "place", F.lit(width).alias("width"), majority([F.col(f"h{j}") for j in range(width)]).alias("fingerprint"))
+def _fingerprints(df: DataFrame, widths: list[int], grid: bool, keys: list[str]) -> DataFrame:
+    """``keys, place, width, fingerprint`` of the windows of all ``widths``: at
+    every place, or on the grid of adjacent windows.  One pass over the words."""
+    def windows(w: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size("words") - w, F.lit(w if grid else 1))
+        found = F.transform(starts, lambda s: F.struct(F.lit(w).alias("width"), s.alias("place"), F.slice("words", s + 1, w).alias("win")))
+        return F.when(F.size("words") >= w, found).otherwise(F.array().cast("array<struct<width:int,place:int,win:array<bigint>>>"))
+
+    rows = df.select(*keys, F.explode(F.concat(*[windows(w) for w in widths])).alias("x"))
+    hashes = [F.get("x.win", F.lit(j)).alias(f"h{j}") for j in range(max(widths))]
+    rows = rows.select(*keys, F.col("x.place").alias("place"), F.col("x.width").alias("width"), *hashes)
+    of_width = [F.when(F.col("width") == w, majority([F.col(f"h{j}") for j in range(w)])) for w in widths]
+    return rows.select(*keys, "place", "width", F.coalesce(*of_width).alias("fingerprint"))
 
 
 def _blocks(fingerprint: str = "fingerprint") -> Column:
@@ -98,46 +104,46 @@ def _shingles(df: DataFrame, words: str, keys: list[str]) -> DataFrame:
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified pairs ``k, item_key, item_id, similarity`` (``k``: row key)."""
     items = benchmark.select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", word_hashes().alias("words"))
-    items = stored(items.where(F.size("words") >= SHINGLE).dropDuplicates(["item_key"]), "benchmark-items")
     width = F.lit(None).cast("int")
     for w in WIDTHS:
         width = F.when(F.size("words") >= 2 * w - 1, w).otherwise(width)
-    items = items.withColumn("own_width", width).withColumn("length", F.size("words"))
-    used = [r.own_width for r in items.select("own_width").distinct().collect()]  # at most len(WIDTHS)
-    texts = docs.select(row_key().alias("k"), word_hashes().alias("words"))
-    n_windows, found = 0, None
-    for w in used:
-        of_width = items.where(F.col("own_width") == w)
-        n_windows = of_width.agg(F.sum(F.col("length") - w + 1)).collect()[0][0]
-        theirs = _fingerprints(of_width, w, 1, ["item_key", "length"]).withColumnRenamed("place", "item_place") \
-            .withColumnRenamed("fingerprint", "item_fingerprint").drop("width")
-        theirs = theirs.select("*", _blocks("item_fingerprint"))
-        ours = _fingerprints(texts, w, w, ["k"]).select("k", "place", "fingerprint", _blocks())
-        # the join's distance check runs inside the join, so chance meetings of a block are never materialised
-        near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= RADIUS
-        theirs = theirs.withColumnsRenamed({"block": "item_block", "value": "item_value"})
-        meet = (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")) & near
-        side = F.broadcast(theirs) if n_windows <= BROADCAST_WINDOWS else theirs.hint("shuffle_hash")
-        hits = ours.join(side, meet).select("k", "item_key", "length", (F.col("place") - F.col("item_place")).alias("begin"))
-        found = hits if found is None else found.union(hits)
-    if found is None:
+    items = items.where(F.size("words") >= SHINGLE).dropDuplicates(["item_key"])
+    items = stored(items.withColumn("own_width", width).withColumn("length", F.size("words")), "benchmark-items")
+    sizes = items.groupBy("own_width").agg(F.sum(F.col("length") - F.col("own_width") + 1).alias("n")).collect()  # at most len(WIDTHS) rows
+    used, n_windows = sorted(r.own_width for r in sizes), sum(r.n for r in sizes)
+    if not used:
         return docs.sparkSession.createDataFrame([], "k binary, item_key long, item_id long, similarity double")
-    found = stored(found.distinct(), "benchmark-candidates")
+    small = n_windows <= BROADCAST_WINDOWS
+    side = F.broadcast if small else (lambda df: df)
+
+    theirs = _fingerprints(items, used, False, ["item_key", "length", "own_width"]).where("width = own_width")
+    theirs = theirs.select("item_key", "length", F.col("place").alias("item_place"), F.col("width").alias("item_width"),
+                           F.col("fingerprint").alias("item_fingerprint"), _blocks())
+    theirs = theirs.withColumnsRenamed({"block": "item_block", "value": "item_value"})
+    texts = docs.select(row_key().alias("k"), word_hashes().alias("words"))
+    ours = _fingerprints(texts, used, True, ["k"]).select("k", "place", "width", "fingerprint", _blocks())
+    # the distance check runs inside the join, so chance meetings of a block are never materialised
+    near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= RADIUS
+    meet = (F.col("width") == F.col("item_width")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")) & near
+    hits = ours.join(side(theirs) if small else theirs.hint("shuffle_hash"), meet)
+    hits = hits.select("k", "item_key", "length", (F.col("place") - F.col("item_place")).alias("begin"))
+    found = stored(hits.distinct(), "benchmark-candidates")
+
     slack = F.ceil(F.col("length") / 4).cast("int")
     region = F.slice("words", F.greatest(F.col("begin") - slack, F.lit(0)) + 1,
                      F.col("length") + slack + F.least(slack, slack + F.col("begin")))
     keys = ["k", "item_key", "begin"]
-    regions = texts.join(found, "k").select(*keys, region.alias("region")).dropDuplicates(keys)
+    rows = docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text"))
+    regions = maybe_member(rows, found, "k").join(found, "k").select(*keys, "length", word_hashes().alias("words"))
+    regions = regions.select(*keys, region.alias("region")).dropDuplicates(keys)
     ours = _shingles(regions, "region", keys)
     theirs = _shingles(items, "words", ["item_key"]).withColumnRenamed("n", "item_n")
     weight = theirs.groupBy("item_key").agg(F.sum("item_n").alias("weight"))
-    small = n_windows <= BROADCAST_WINDOWS
-    theirs = theirs.join(F.broadcast(weight) if small else weight, "item_key")
-    common = ours.join(F.broadcast(theirs) if small else theirs, ["item_key", "shingle"])
+    theirs = theirs.join(side(weight), "item_key")
+    common = ours.join(side(theirs), ["item_key", "shingle"])
     similar = common.groupBy(*keys).agg((F.sum(F.least("n", "item_n")) / F.first("weight")).alias("similarity"))
     best = similar.where(F.col("similarity") >= SIMILARITY).groupBy("k", "item_key").agg(F.max("similarity").alias("similarity"))
-    ids = items.select("item_key", "item_id")
-    return best.join(F.broadcast(ids) if small else ids, "item_key").select("k", "item_key", "item_id", "similarity")
+    return best.join(side(items.select("item_key", "item_id")), "item_key").select("k", "item_key", "item_id", "similarity")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
