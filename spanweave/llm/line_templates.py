@@ -23,35 +23,46 @@ table stays empty; other columns are ignored by the decision.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import row_key, stored, table
+from spanweave.llm.common import maybe_member, row_key, stored, table
 
 DEPTH, SHARE = 4, 0.8
 MIN_DOCS, SHORT, SHORT_DOCS, MIN_TOKENS = 2, 8, 5, 3
-BLANKS = "[ \\t\\r\\f]+"
-DIGIT_TOKEN = "(^| )[^ 0-9]*[0-9][^ ]*"
+OTHER_BLANKS = ("\t", "\r", "\f")
+DIGIT_TOKEN = "(^|[ \\n])[^ 0-9\\n]*[0-9][^ \\n]*"
+
+
+def _masked(text: Column) -> Column:
+    """Runs of blanks as one space, tokens with a digit as ``<*>``.  Literal
+    searches, which cost little, keep the patterns to the texts that need them."""
+    other = text.contains(OTHER_BLANKS[0]) | text.contains(OTHER_BLANKS[1]) | text.contains(OTHER_BLANKS[2])
+    t = F.when(other, F.translate(text, "".join(OTHER_BLANKS), "   ")).otherwise(text)
+    t = F.when(t.contains("  "), F.regexp_replace(t, " +", " ")).otherwise(t)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(t, DIGIT_TOKEN, "$1<*>")).otherwise(t)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Masked lines: ``k, doc_id, pos, m, n, leaf``."""
-    lines = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"),
-                        F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
-    m = F.regexp_replace(F.trim(F.regexp_replace("line", BLANKS, " ")), DIGIT_TOKEN, "$1<*>")
-    lines = lines.select("k", "doc_id", "pos", m.alias("m"))
+    """Masked lines: ``k, doc_id, pos, m, n, leaf, lh``.  Texts are masked whole,
+    below the generator, so that no pushed-down condition repeats that work."""
+    masked = _masked(F.col("text").cast("string"))
+    lines = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(masked, "\n", -1)).alias("pos", "m"))
+    lines = lines.select("k", "doc_id", "pos", F.trim("m").alias("m"))
     n = F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1
     lines = lines.select("*", n.alias("n")).where(F.col("n") >= MIN_TOKENS)
     return lines.select("*", F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("m", " ", DEPTH)))).alias("leaf"),
                         F.unhex(F.md5("m")).alias("lh"))
 
 
-def _generalised(docs: DataFrame, light: DataFrame) -> DataFrame:
-    """Templates of lines with variable fields: ``lh, template``."""
-    distinct = light.groupBy("lh").agg(F.first("leaf").alias("leaf"))
+def _generalised(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Templates of lines with variable fields: ``lh, template``.  Tokens are only
+    spread out for the lines of leaves with several distinct lines, and a bitmap
+    of bounded size keeps the other lines from being shuffled."""
     wide = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("leaf")
-    full = _lines(docs).where(F.col("n") > DEPTH).select("lh", "leaf", "n", "m").join(wide, "leaf")
-    full = full.groupBy("lh", "leaf", "n").agg(F.min("m").alias("m"))
+    wide = stored(wide, "wide-leaves")
+    full = maybe_member(_lines(docs).where(F.col("n") > DEPTH).select("lh", "leaf", "n", "m"), wide, "leaf").join(wide, "leaf")
+    full = stored(full.groupBy("lh", "leaf", "n").agg(F.min("m").alias("m")), "wide-lines")
     tokens = full.select("lh", "leaf", "n", F.posexplode(F.split("m", " ", -1)).alias("at", "token"))
     place = ["leaf", "at", "token"]
     constant = tokens.groupBy(*place).agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select(*place, F.lit(1).alias("same"))
@@ -67,8 +78,12 @@ def _generalised(docs: DataFrame, light: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """Lines to drop: ``k, pos`` (``k`` is the document's row key)."""
     light = stored(_lines(docs).select("k", "doc_id", "pos", "n", "leaf", "lh"), "line-keys")
-    general = _generalised(docs, light)
-    lines = light.join(general, "lh", "left").select("k", "doc_id", "pos", "n", F.coalesce("template", "lh").alias("template"))
+    distinct = stored(light.groupBy("lh").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("rows")), "distinct-lines")
+    general = _generalised(docs, distinct)
+    # a line that stands alone and has no variable field can't recur
+    again = distinct.where("rows > 1").select("lh").join(general, "lh", "full_outer").select("lh", F.coalesce("template", "lh").alias("template"))
+    again = stored(again, "line-candidates")
+    lines = maybe_member(light.select("k", "doc_id", "pos", "n", "lh"), again, "lh").join(again, "lh").drop("lh")
     lines = stored(lines, "line-templates")
     first = F.min(F.struct("doc_id", "k", "pos")).alias("first")
     per_doc = lines.groupBy("template", "k").agg(first, F.first("n").alias("n"))
