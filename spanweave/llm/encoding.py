@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from spanweave.llm.common import ragged_take
 
-CACHE = 900_000
+CACHE = 1_200_000
 
 
 class ChunkEncoder:
@@ -32,6 +32,8 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.spaced, self.max_entries = spaced, max_entries
+        points = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
+        self.points = {c: ids[0] for c, ids in points.items() if len(ids) == 1}
         self._reset()
 
     def _reset(self) -> None:
@@ -40,10 +42,7 @@ class ChunkEncoder:
         self.ends = np.zeros(1 << 16, np.int64)  # ends[i + 1]: end of entry i
         self.used = 0
 
-    def _learn(self, keys: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((x for g in got for x in g), np.uint32, int(lens.sum()))
+    def _append(self, keys: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
         n, at = len(self.index), self.used
         while len(self.flat) < at + len(ids):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -54,15 +53,67 @@ class ChunkEncoder:
         self.used = at + len(ids)
         self.index.update(zip(keys, range(n, n + len(keys))))
 
+    def _encode_each(self, keys: list[str]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        self._append(keys, np.fromiter((x for g in got for x in g), np.uint32, int(lens.sum())), lens)
+
+    def _encode_words(self, keys: list[str]) -> None:
+        """Keys of one pre-token each, in one call: the library tells which
+        pre-token an id belongs to."""
+        if not keys:
+            return
+        e = self.tokenizer.encode(("" if self.spaced else " ").join(keys), add_special_tokens=False)
+        words = e.word_ids
+        if words and None not in words and words[-1] == len(keys) - 1:
+            lens = np.bincount(np.array(words, np.int64), minlength=len(keys))
+            self._append(keys, np.array(e.ids, np.uint32), lens)
+        else:
+            self._encode_each(keys)
+
+    def _is_word(self, key: str) -> bool:
+        """Surely one pre-token: letters (of long-settled Unicode ranges), after
+        a space where spaces count."""
+        body = key[1:] if self.spaced and key[:1] == " " else key
+        return body.isalpha() and max(body) < "\u0250" and (len(body) < len(key) or not self.spaced)
+
+    def _learn(self, keys: list[str]) -> None:
+        """Words with one comma or full stop are made of their two pre-tokens;
+        other words go through the library together, anything else by itself."""
+        words, rest, pointed = [], [], []
+        for k in keys:
+            if self._is_word(k):
+                words.append(k)
+            elif k[-1:] in self.points and self._is_word(k[:-1]):
+                pointed.append(k)
+            else:
+                rest.append(k)
+        known = set(words)
+        stems = dict.fromkeys(k[:-1] for k in pointed if k[:-1] not in self.index and k[:-1] not in known)
+        self._encode_words(words + list(stems))
+        if rest:
+            self._encode_each(rest)
+        if pointed:
+            stem = np.fromiter((self.index[k[:-1]] for k in pointed), np.int64, len(pointed))
+            lens = self.ends[stem + 1] - self.ends[stem] + 1
+            ids = np.zeros(int(lens.sum()), np.uint32)
+            last = np.cumsum(lens) - 1
+            ids[last] = [self.points[k[-1]] for k in pointed]
+            body = np.ones(len(ids), bool)
+            body[last] = False
+            ids[body] = ragged_take(self.flat, self.ends[stem], lens - 1)
+            self._append(pointed, ids, lens)
+
     def _entries(self, keys: list[str]) -> np.ndarray:
-        if len(self.index) + len(keys) > self.max_entries:
+        if len(self.index) + 2 * len(keys) > self.max_entries:
             self._reset()
         get = self.index.get
         at = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             self._learn([keys[i] for i in missing])
-            at[missing] = np.arange(len(self.index) - len(missing), len(self.index))
+            get = self.index.get
+            at[missing] = np.fromiter((get(keys[i]) for i in missing.tolist()), np.int64, len(missing))
         return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
