@@ -12,7 +12,8 @@
 3. ``BANDS`` bands of ``ROWS`` coordinates meet in a join.  A band entry with
    few classes yields all its pairs.  A larger one links every class to a few
    hubs and is split further by the following bands.  Later, classes of a large
-   entry outside its main component are compared with all of the entry (the
+   entry outside its main component are compared with all of the entry that
+   they can still be similar to, given the weight that each holds alone (the
    exact way for what the hubs missed); nothing is capped.
 4. Pairs are verified exactly: weighted Jaccard similarity of at least
    ``SIMILARITY``; then components by alternating stars.
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import column, row_key, stored, table, text_slices
+from spanweave.llm.common import column, maybe_member, row_key, stored, table, text_slices
 from spanweave.llm.components import components
 from spanweave.llm.wording import mix, unit, weighted_cells, words
 
@@ -46,7 +47,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 SMALL = 40   # band entries up to this size yield all their pairs
 HUBS = 3
-VERIFY_CHARS = 8_000_000
+SLICE = 2_000_000  # bytes of text hashed at once in a task; bounds the workers' memory
 
 _DART, _PLACE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -99,7 +100,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in text_slices(batches):
+    for batch, texts in text_slices(batches, limit=SLICE):
         strings = texts.to_pylist()
         w, at = words(strings)
         cells, offsets = weighted_cells(strings, SHINGLE)
@@ -172,16 +173,16 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = column(batch, "a").to_pylist(), column(batch, "b").to_pylist()
-        ta, tb = column(batch, "text_a").to_pylist(), column(batch, "text_b").to_pylist()
+        ta, tb = column(batch, "text_a"), column(batch, "text_b")
         start = 0
         while start < len(a):
             texts: dict[bytes, str] = {}
             used, stop = 0, start
-            while stop < len(a) and (stop == start or used < VERIFY_CHARS):
-                for key, t in ((a[stop], ta[stop]), (b[stop], tb[stop])):
+            while stop < len(a) and (stop == start or used < SLICE):
+                for key, column_ in ((a[stop], ta), (b[stop], tb)):
                     if key not in texts:
-                        texts[key] = t
-                        used += len(t)
+                        texts[key] = column_[stop].as_py()
+                        used += len(texts[key])
                 stop += 1
             cells, offsets = weighted_cells(list(texts.values()), SHINGLE)
             place = {key: i for i, key in enumerate(texts)}
@@ -198,29 +199,55 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
+def class_texts(wanted: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """``ck, text``: the whole text of one document of each wanted class."""
+    reps = stored(classes.select("ck", F.col("rep.k").alias("k")).join(wanted, "ck"), f"{name}-wanted")
+    rows = docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text"))
+    return stored(maybe_member(rows, reps, "k").join(reps, "k").select("ck", "text"), f"{name}-texts")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-    """Pairs that reach the similarity; whole texts of one document per class."""
+    """Pairs that reach the similarity."""
     pairs = stored(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("ck")).union(pairs.select("b")).distinct()
-    reps = classes.select("ck", F.col("rep.k").alias("k")).join(wanted, "ck")
-    texts = docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text")).join(reps, "k").select("ck", "text")
-    texts = stored(texts, f"{name}-texts")
+    texts = class_texts(pairs.select(F.col("a").alias("ck")).union(pairs.select("b")).distinct(), docs, classes, name)
     both = (pairs.join(texts.select(F.col("ck").alias("a"), F.col("text").alias("text_a")), "a")
                  .join(texts.select(F.col("ck").alias("b"), F.col("text").alias("text_b")), "b"))
     return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a binary, b binary").distinct(), f"{name}-links")
 
 
-def _outside_main(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Classes of large entries outside the entry's main component, with all
-    classes of the entry in other components."""
-    m = large.join(found.withColumnRenamed("node", "ck"), "ck", "left").select("band", "v0", "ck", "n", F.coalesce("root", "ck").alias("root"))
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in text_slices(batches, limit=SLICE):
+        cells, offsets = weighted_cells(texts.to_pylist(), SHINGLE)
+        yield pa.RecordBatch.from_arrays([column(batch, "ck").cast(pa.binary()), pa.ListArray.from_arrays(
+            pa.array(offsets.astype(np.int32)), pa.array(cells.view(np.int64)))], ["ck", "cells"])
+
+
+def _alone(texts: DataFrame) -> DataFrame:
+    """``ck, u``: weight that no other of these classes shares."""
+    cells = texts.mapInArrow(_cells, "ck binary, cells array<long>").select("ck", F.explode("cells").alias("cell"))
+    once = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min("ck").alias("ck")).where("c = 1")
+    return once.groupBy("ck").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _outside_main(large: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes of large entries outside the entry's main component, with the
+    classes of the entry in other components, as far as the similarity is still
+    possible: two classes share at most what neither holds alone."""
+    u = _alone(class_texts(large.select("ck").distinct(), docs, classes, "dart-large"))
+    m = large.join(found.withColumnRenamed("node", "ck"), "ck", "left").join(u, "ck", "left")
+    m = m.select("band", "v0", "ck", "n", F.coalesce("root", "ck").alias("root"), F.coalesce("u", F.lit(0)).alias("u"))
     m = stored(m, "dart-large")
     main = m.groupBy("band", "v0", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band", "v0") \
         .agg(F.max(F.struct("c", "root")).alias("main"))
-    rest = m.join(main, ["band", "v0"]).where(F.col("root") != F.col("main.root"))
-    x = rest.select("band", "v0", F.col("ck").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = m.select("band", "v0", F.col("ck").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return _ordered(x.join(y, ["band", "v0"]).where("ra <> rb"))
+    # a partner has at least n - u in weight, so the similarity is at most (n - u) / n
+    able = m.where(F.col("n") - F.col("u") >= SIMILARITY * F.col("n"))
+    rest = able.join(main, ["band", "v0"]).where(F.col("root") != F.col("main.root"))
+    side = lambda df, x: df.select("band", "v0", *[F.col(c).alias(f"{c}{x}") for c in ("ck", "n", "root", "u")])
+    shared = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
+    possible = (F.col("roota") != F.col("rootb")) & (shared >= SIMILARITY * (F.col("na") + F.col("nb") - shared))
+    a, b = side(rest, "a"), side(able, "b").withColumnsRenamed({"band": "band_b", "v0": "v0_b"})
+    pairs = a.join(b, (F.col("band") == F.col("band_b")) & (F.col("v0") == F.col("v0_b")) & possible)
+    return _ordered(pairs.select(F.col("cka").alias("a"), F.col("ckb").alias("b"), "na", "nb"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,7 +260,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs, large = candidate_pairs(classes)
     links = verified(pairs, docs, classes, "dart-first")
     if large.limit(1).count():
-        more = verified(_outside_main(large, components(links, "dart-components")), docs, classes, "dart-rest")
+        more = verified(_outside_main(large, components(links, "dart-components"), docs, classes), docs, classes, "dart-rest")
         links = links.union(more)
     found = components(links, "dart-components")
     whole = classes.select("ck", "rep").join(found.withColumnRenamed("node", "ck"), "ck", "left") \
