@@ -46,8 +46,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     hits = simhash_windows.benchmark_hits(docs, common.table(spark, sf_dir, "benchmark"))
-    found = hits.select(F.col("k").alias("_sw_k")).distinct()
-    return docs.withColumn("_sw_k", common.row_key()).join(found, "_sw_k", "left_anti").select(*docs.columns)
+    found = common.stored(hits.select(F.col("k").alias("_sw_k")).distinct(), "contaminated")
+    flagged = common.member_flag(docs.withColumn("_sw_k", common.row_key()), found, "_sw_k")
+    # only the few rows that may hold an item meet the exact list
+    checked = flagged.where("_sw_maybe").join(found, "_sw_k", "left_anti")
+    return flagged.where("not _sw_maybe").select(*docs.columns).union(checked.select(*docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
