@@ -19,7 +19,7 @@ _SERIAL = itertools.count()
 # Texts of one slice handled at once inside a task (characters, not rows): the
 # working memory of the Python stages is a small multiple of this, plus the
 # longest single text.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

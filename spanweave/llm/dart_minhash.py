@@ -47,7 +47,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 SMALL = 40   # band entries up to this size yield all their pairs
 HUBS = 3
-SLICE = 2_000_000  # bytes of text hashed at once in a task; bounds the workers' memory
+SLICE = 1_000_000  # bytes of text hashed at once in a task; bounds the workers' memory
 
 _DART, _PLACE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from spanweave.llm.common import ragged_take
 
-CACHE = 600_000  # entries; about 200 bytes each, and most chunks are seen once anyway
+CACHE = 300_000  # entries; about 200 bytes each, and most chunks are seen once anyway
 
 
 class ChunkEncoder:

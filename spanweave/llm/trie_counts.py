@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanweave.llm.common import column, table, text_slices
 
 MARK = "▁"
-CACHE = 600_000
+CACHE = 300_000
 SCHEMA = "doc_id long, n_words long, n_tokens long"
 
 

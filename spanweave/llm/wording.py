@@ -39,7 +39,7 @@ def is_word_char(cps: np.ndarray) -> np.ndarray:
 def _grown(which: int, n: int) -> np.ndarray:
     p = _powers[which]
     if len(p) < n:
-        step = np.full(max(n, 2 * len(p)), (_BASE, _INVERSE)[which], np.uint64)
+        step = np.full(n + (1 << 16), (_BASE, _INVERSE)[which], np.uint64)
         step[0] = 1
         _powers[which] = p = np.cumprod(step)
     return p[:n]
