@@ -1,20 +1,25 @@
 """Benchmark decontamination by SimHash windows (operator 5), DataFrame functions only.
 
-1. Texts become arrays of word hashes.  A benchmark item of ``n`` words belongs
-   to the class of the widest window ``w`` in ``WIDTHS`` with ``2 w - 1 <= n``:
-   wherever such an item stands in a document, it covers at least one whole
-   window of the document's grid of adjacent ``w``-word windows.  Items give
-   the windows at all their places, documents those of the grid.
-2. A window's fingerprint is the bitwise majority of its word hashes, summed
-   for all 64 bits at once by full adders on 64-bit integers.
+1. Texts become arrays of word hashes.  The window width ``w`` holds
+   ``2 w - 1 <= SHINGLE``: wherever a shingle of an item stands in a document,
+   it covers at least one whole window of the document's grid of adjacent
+   ``w``-word windows.  Items give the windows at all their places, documents
+   those of the grid.
+2. A window's fingerprint is the bitwise majority of its word hashes (mixed
+   with the place in the window, so that a repeated word doesn't decide), taken
+   for all 64 bits at once on 64-bit integers.
 3. Fingerprints meet where one of ``RADIUS + 1`` blocks is equal, which no pair
    within ``RADIUS`` differing bits can avoid; the distance is then checked.
-4. A candidate (document, item, place) is verified exactly: the weight of the
-   item's five-word shingles that the document's region repeats, counted with
-   multiplicity, must reach ``SIMILARITY`` of the item's weight.
+4. A document within ``SIMILARITY`` of an item repeats that share of its
+   shingles; a grid window lies in at most ``SHINGLE - w + 1`` of them, which
+   says how many windows have to match.  Fewer end a (document, item) here.
+5. A candidate (document, item, place) is verified exactly: a whole shingle has
+   to stand at that place, and the weight of the item's five-word shingles that
+   the document's region repeats, counted with multiplicity, must reach
+   ``SIMILARITY`` of the item's weight.
 
-An edit spoils the windows it touches and the others still match, so an item
-is found while one of its windows in the document is within the radius.
+Edits spoil the shingles they touch; every shingle they leave proposes its
+place, so no item is lost whatever words were changed, put in or left out.
 
 The benchmark's windows are broadcast when their number is within
 ``BROADCAST_WINDOWS`` (counted first); a larger benchmark is joined by shuffle.
@@ -32,8 +37,9 @@ from pyspark.sql import functions as F
 
 from spanweave.llm.common import maybe_member, row_key, stored, table
 
-WIDTHS = (3, 7, 15)
 SHINGLE, SIMILARITY = 5, 0.8
+WIDTH = (SHINGLE + 1) // 2  # any shingle covers a whole window of the grid
+WIDTHS = (WIDTH,)
 RADIUS = 3
 BLOCK_BITS = 64 // (RADIUS + 1)
 BROADCAST_WINDOWS = 400_000
@@ -50,41 +56,18 @@ def _carry(a: Column, b: Column, c: Column) -> Column:
     return a.bitwiseAND(b).bitwiseOR(c.bitwiseAND(a.bitwiseOR(b)))
 
 
-def _sum(a: Column, b: Column, c: Column) -> Column:
-    return a.bitwiseXOR(b).bitwiseXOR(c)
-
-
-def _count7(h: list[Column]) -> tuple[Column, Column, Column]:
-    """Ones, twos and fours of the sum of seven bits."""
-    s1, s2 = _sum(*h[:3]), _sum(*h[3:6])
-    c1, c2, c3 = _carry(*h[:3]), _carry(*h[3:6]), _carry(s1, s2, h[6])
-    return _sum(s1, s2, h[6]), _sum(c1, c2, c3), _carry(c1, c2, c3)
+def majority(h: list[Column]) -> Column:
+    """Bitwise majority of 3 hashes."""
+    return _carry(*h)
 
 
-def majority(h: list[Column]) -> Column:
-    """Bitwise majority of 3, 7 or 15 hashes."""
-    if len(h) == 3:
-        return _carry(*h)
-    if len(h) == 7:
-        return _count7(h)[2]
-    a1, a2, a4 = _count7(h[:7])
-    b1, b2, b4 = _count7(h[7:14])
-    return _carry(a4, b4, _carry(a2, b2, _carry(a1, b1, h[14])))
-
-
-def _fingerprints(df: DataFrame, widths: list[int], grid: bool, keys: list[str]) -> DataFrame:
-    """``keys, place, width, fingerprint`` of the windows of all ``widths``: at
-    every place, or on the grid of adjacent windows.  One pass over the words."""
-    def windows(w: int) -> Column:
-        starts = F.sequence(F.lit(0), F.size("words") - w, F.lit(w if grid else 1))
-        found = F.transform(starts, lambda s: F.struct(F.lit(w).alias("width"), s.alias("place"), F.slice("words", s + 1, w).alias("win")))
-        return F.when(F.size("words") >= w, found).otherwise(F.array().cast("array<struct<width:int,place:int,win:array<bigint>>>"))
-
-    rows = df.select(*keys, F.explode(F.concat(*[windows(w) for w in widths])).alias("x"))
-    hashes = [F.get("x.win", F.lit(j)).alias(f"h{j}") for j in range(max(widths))]
-    rows = rows.select(*keys, F.col("x.place").alias("place"), F.col("x.width").alias("width"), *hashes)
-    of_width = [F.when(F.col("width") == w, majority([F.col(f"h{j}") for j in range(w)])) for w in widths]
-    return rows.select(*keys, "place", "width", F.coalesce(*of_width).alias("fingerprint"))
+def _fingerprints(df: DataFrame, grid: bool, keys: list[str]) -> DataFrame:
+    """``keys, place, fingerprint`` of the windows at every place, or on the grid
+    of adjacent windows."""
+    starts = F.sequence(F.lit(0), F.size("words") - WIDTH, F.lit(WIDTH if grid else 1))
+    found = F.transform(starts, lambda s: F.struct(s.alias("place"), F.slice("words", s + 1, WIDTH).alias("win")))
+    rows = df.select(*keys, F.explode(F.when(F.size("words") >= WIDTH, found)).alias("x"))
+    return rows.select(*keys, F.col("x.place").alias("place"), majority([F.xxhash64(F.get("x.win", F.lit(j)), F.lit(j)) for j in range(WIDTH)]).alias("fingerprint"))
 
 
 def _blocks(fingerprint: str = "fingerprint") -> Column:
@@ -104,38 +87,43 @@ def _shingles(df: DataFrame, words: str, keys: list[str]) -> DataFrame:
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified pairs ``k, item_key, item_id, similarity`` (``k``: row key)."""
     items = benchmark.select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", word_hashes().alias("words"))
-    width = F.lit(None).cast("int")
-    for w in WIDTHS:
-        width = F.when(F.size("words") >= 2 * w - 1, w).otherwise(width)
     items = items.where(F.size("words") >= SHINGLE).dropDuplicates(["item_key"])
-    items = stored(items.withColumn("own_width", width).withColumn("length", F.size("words")), "benchmark-items")
-    sizes = items.groupBy("own_width").agg(F.sum(F.col("length") - F.col("own_width") + 1).alias("n")).collect()  # at most len(WIDTHS) rows
-    used, n_windows = sorted(r.own_width for r in sizes), sum(r.n for r in sizes)
-    if not used:
+    items = stored(items.withColumn("length", F.size("words")), "benchmark-items")
+    n_windows = items.agg(F.sum(F.col("length") - WIDTH + 1)).first()[0]
+    if not n_windows:
         return docs.sparkSession.createDataFrame([], "k binary, item_key long, item_id long, similarity double")
     small = n_windows <= BROADCAST_WINDOWS
     side = F.broadcast if small else (lambda df: df)
 
-    theirs = _fingerprints(items, used, False, ["item_key", "length", "own_width"]).where("width = own_width")
-    theirs = theirs.select("item_key", "length", F.col("place").alias("item_place"), F.col("width").alias("item_width"),
-                           F.col("fingerprint").alias("item_fingerprint"), _blocks())
+    theirs = _fingerprints(items, False, ["item_key", "length"])
+    theirs = theirs.select("item_key", "length", F.col("place").alias("item_place"), F.col("fingerprint").alias("item_fingerprint"), _blocks())
     theirs = theirs.withColumnsRenamed({"block": "item_block", "value": "item_value"})
     texts = docs.select(row_key().alias("k"), word_hashes().alias("words"))
-    ours = _fingerprints(texts, used, True, ["k"]).select("k", "place", "width", "fingerprint", _blocks())
+    ours = _fingerprints(texts, True, ["k"]).select("k", "place", "fingerprint", _blocks())
     # the distance check runs inside the join, so chance meetings of a block are never materialised
     near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= RADIUS
-    meet = (F.col("width") == F.col("item_width")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")) & near
+    meet = (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")) & near
     hits = ours.join(side(theirs) if small else theirs.hint("shuffle_hash"), meet)
-    hits = hits.select("k", "item_key", "length", (F.col("place") - F.col("item_place")).alias("begin"))
-    found = stored(hits.distinct(), "benchmark-candidates")
+    # 1e-6: the share as a double may lie a little above the whole number it stands for
+    shared = F.ceil(F.lit(SIMILARITY) * (F.col("length") - SHINGLE + 1) - 1e-6)
+    hits = hits.select("k", "item_key", "length", "place", (F.col("place") - F.col("item_place")).alias("begin"))
+    hits = hits.groupBy("k", "item_key", "length").agg(F.collect_set("place").alias("places"), F.collect_set("begin").alias("begins"))
+    hits = hits.where(F.size("places") * (SHINGLE - WIDTH + 1) >= shared)
+    found = stored(hits.groupBy("k").agg(F.collect_list(F.struct("item_key", "length", "begins")).alias("found")), "benchmark-candidates")
 
     slack = F.ceil(F.col("length") / 4).cast("int")
     region = F.slice("words", F.greatest(F.col("begin") - slack, F.lit(0)) + 1,
                      F.col("length") + slack + F.least(slack, slack + F.col("begin")))
     keys = ["k", "item_key", "begin"]
     rows = docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text"))
-    regions = maybe_member(rows, found, "k").join(found, "k").select(*keys, "length", word_hashes().alias("words"))
-    regions = regions.select(*keys, region.alias("region")).dropDuplicates(keys)
+    # words are taken once a document, before its candidates are spread out
+    regions = maybe_member(rows, found, "k").dropDuplicates(["k"]).join(found, "k").select("k", word_hashes().alias("words"), "found")
+    regions = regions.select("k", "words", F.inline("found")).select("k", "words", "item_key", "length", F.explode("begins").alias("begin"))
+    # a place counts where a whole shingle of the item stands
+    first, last = F.greatest(F.lit(0), -F.col("begin")), F.col("length") - SHINGLE
+    stands = F.exists(F.sequence(first, last), lambda j: F.slice("words", F.col("begin") + j + 1, SHINGLE) == F.slice("item_words", j + 1, SHINGLE))
+    regions = regions.join(side(items.select("item_key", F.col("words").alias("item_words"))), "item_key")
+    regions = regions.where(F.when(first <= last, stands)).select(*keys, region.alias("region"))
     ours = _shingles(regions, "region", keys)
     theirs = _shingles(items, "words", ["item_key"]).withColumnRenamed("n", "item_n")
     weight = theirs.groupBy("item_key").agg(F.sum("item_n").alias("weight"))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,28 @@ def test_odd_rows(spark):
         spark.createDataFrame([(7, text), (7, text), (8, None), (None, text), (9, "a b")], "item_id long, text string")).collect())
     assert got == [(0, 2), (1, 0), (2, 0), (3, 2), (3, 2), (4, 2)]
     assert set(hits(spark, docs, [(1, None)]).values()) == {""}
+
+
+def similarity(region, item):
+    """Share of the item's shingles that the region repeats."""
+    def bag(w):
+        return Counter(tuple(w[i:i + S.SHINGLE]) for i in range(len(w) - S.SHINGLE + 1))
+    return sum((bag(region) & bag(item)).values()) / (len(item) - S.SHINGLE + 1)
+
+
+def test_items_with_changed_words(spark):
+    rng = random.Random(2)
+    items, docs, want = [], [], {}
+    for n in range(15, 60):
+        item = words(rng, n)
+        items.append((n, " ".join(item)))
+        edits = [(at,) for at in range(n)] + [tuple(rng.sample(range(n), 2)) for _ in range(12)] + [(0, 1), (n - 2, n - 1), (n // 2, n // 2 + 1)]
+        for e in edits:
+            # a changed word, an additional one, one left out
+            for new in (["changed"], None, []):
+                body = [x for j, w in enumerate(item) for x in ([w] if j not in e else [w, "added"] if new is None else new)]
+                d = len(docs)
+                docs.append((d, " ".join(words(rng, 20 + d % 16) + body + words(rng, 20)), 0))
+                want[d] = str(n) if similarity(body, item) >= S.SIMILARITY else ""
+    assert sum(w != "" for w in want.values()) > 1000
+    assert hits(spark, docs, items) == want
