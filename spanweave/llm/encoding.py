@@ -5,8 +5,8 @@ pre-token crosses a single space or newline that stands between two non-white
 characters.  So a text is split there, the chunks of a slice are
 dictionary-encoded in Arrow, and only chunks the worker hasn't seen go through
 the ``tokenizers`` library.  A text with any other white space next to a
-separator (runs, leading or trailing white space) is encoded whole by the
-library.  The cache is bounded by ``max_entries``; results never depend on it.
+separator (runs, leading or trailing white space), or with one of the
+vocabulary's added tokens in it, is encoded whole by the library.  The cache is bounded by ``max_entries``; results never depend on it.
 """
 
 from __future__ import annotations
@@ -23,14 +23,17 @@ CACHE = 300_000  # entries; about 200 bytes each, and most chunks are seen once
 class ChunkEncoder:
     """``spaced``: white space is part of the ids (byte-level vocabularies);
     otherwise it only separates words, and ASCII letters are folded early
-    (the vocabulary is lower case)."""
+    (the vocabulary is lower case).  ``added``: the vocabulary's added tokens
+    have their own ids in a text, as in the library's plain ``encode``;
+    otherwise such strings are ordinary text."""
 
-    def __init__(self, path: str, spaced: bool, max_entries: int = CACHE):
+    def __init__(self, path: str, spaced: bool, max_entries: int = CACHE, added: bool = False):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.spaced, self.max_entries = spaced, max_entries
         points = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.points = {c: ids[0] for c, ids in points.items() if len(ids) == 1}
@@ -118,7 +121,10 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the number of ids of each."""
-        n = len(texts)
+        n, given = len(texts), texts
+        holds = np.zeros(n, bool)
+        for token in self.added:
+            holds |= np.asarray(pc.match_substring(texts, token, ignore_case=True))
         if not self.spaced:
             texts = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
             lists = pc.split_pattern(texts, " ")
@@ -154,6 +160,7 @@ class ChunkEncoder:
             new = np.zeros(3 * d, np.int64)
             new[kinds] = np.arange(len(kinds))
             codes = new[codes]
+        unsafe = unsafe | holds
         starts = starts - starts[0]
         at = self._entries(keys)
         lens_of, from_of = self.ends[at + 1] - self.ends[at], self.ends[at]
@@ -165,7 +172,7 @@ class ChunkEncoder:
             ends = np.cumsum(counts)
             parts = np.split(ids, ends[:-1]) if n else []
             for i in np.flatnonzero(unsafe).tolist():
-                whole = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+                whole = self.tokenizer.encode(given[i].as_py(), add_special_tokens=False).ids
                 parts[i] = np.asarray(whole, np.uint32)
             counts = np.fromiter(map(len, parts), np.int64, n)
             ids = np.concatenate(parts)
@@ -184,5 +191,5 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 def encoder(path: str, spaced: bool) -> ChunkEncoder:
     """The worker's encoder for a vocabulary; kept between tasks."""
     if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = ChunkEncoder(path, spaced)
+        _ENCODERS[path, spaced] = ChunkEncoder(path, spaced, added=True)
     return _ENCODERS[path, spaced]

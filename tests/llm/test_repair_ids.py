@@ -50,6 +50,19 @@ def test_chunks_equal_whole_texts(name, spaced):
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+@pytest.mark.parametrize("name,spaced,ids", [("word_bpe_49k.json", False, [320, 49407, 321]), ("byte_bpe_50k.json", True, None)])
+def test_operators_encode_added_tokens_as_the_library(name, spaced, ids):
+    import public_tokenizers
+    path = public_tokenizers.path(name)
+    plain, enc = Tokenizer.from_file(path), E.encoder(path, spaced)
+    texts = ["a <|endoftext|> b", *TEXTS, "A<|startoftext|>B\nc", "x <|ENDOFTEXT|> y", "<|endoftext|>", "a < |endoftext|>"]
+    for _ in range(2):
+        got, counts = enc.encode(pa.array(texts, pa.large_string()))
+        got = [p.tolist() for p in np.split(got, np.cumsum(counts)[:-1])]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids is None or got[0] == ids
+
+
 def test_table_against_library(spark):
     import public_tokenizers
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
