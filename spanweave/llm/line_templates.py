@@ -6,6 +6,8 @@ the first ``DEPTH`` masked tokens.  Inside a leaf the remaining fields are
 generalised: a token that no other distinct line of the leaf has at its place
 is a variable field, and a line whose constant share reaches ``SHARE`` belongs
 to the template with those fields masked; any other line is its own template.
+Lines of which fewer tokens than ``SHARE`` are left by the masking (rows of
+numbers) say too little to stand for each other: they are equal only as written.
 A template recurs when its lines stand in ``MIN_DOCS`` documents (short
 templates, under ``SHORT`` tokens: ``SHORT_DOCS``).  Of a recurring template
 the first line (by document id, then place) stays and all others are dropped.
@@ -34,25 +36,39 @@ OTHER_BLANKS = ("\t", "\r", "\f")
 DIGIT_TOKEN = "(^|[ \\n])[^ 0-9\\n]*[0-9][^ \\n]*"
 
 
-def _masked(text: Column) -> Column:
-    """Runs of blanks as one space, tokens with a digit as ``<*>``.  Literal
-    searches, which cost little, keep the patterns to the texts that need them."""
+def _plain(text: Column) -> Column:
+    """Runs of blanks as one space.  Literal searches, which cost little, keep
+    the patterns to the texts that need them."""
     other = text.contains(OTHER_BLANKS[0]) | text.contains(OTHER_BLANKS[1]) | text.contains(OTHER_BLANKS[2])
     t = F.when(other, F.translate(text, "".join(OTHER_BLANKS), "   ")).otherwise(text)
-    t = F.when(t.contains("  "), F.regexp_replace(t, " +", " ")).otherwise(t)
+    return F.when(t.contains("  "), F.regexp_replace(t, " +", " ")).otherwise(t)
+
+
+def _masked(text: Column) -> Column:
+    """Runs of blanks as one space, tokens with a digit as ``<*>``."""
+    t = _plain(text)
     return F.when(text.rlike("[0-9]"), F.regexp_replace(t, DIGIT_TOKEN, "$1<*>")).otherwise(t)
 
 
+def _bare(m: str, n: str) -> Column:
+    """Whether fewer than ``SHARE`` of the tokens are left by the masking."""
+    masks = F.size(F.filter(F.split(m, " ", -1), lambda t: t == "<*>"))
+    return F.col(m).contains("<*>") & (F.col(n) - masks < F.ceil(F.lit(SHARE) * F.col(n)))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """Masked lines: ``k, doc_id, pos, m, n, leaf, lh``.  Texts are masked whole,
+    """Masked lines: ``k, doc_id, pos, m, n, leaf, lh, raw`` (``raw``: identity of
+    the line as written, where masking leaves too little of it).  Texts are masked whole,
     below the generator, so that no pushed-down condition repeats that work."""
-    masked = _masked(F.col("text").cast("string"))
-    lines = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(masked, "\n", -1)).alias("pos", "m"))
-    lines = lines.select("k", "doc_id", "pos", F.trim("m").alias("m"))
+    text = F.col("text").cast("string")
+    written = F.when(text.rlike("[0-9]"), F.split(_plain(text), "\n", -1)).otherwise(F.array().cast("array<string>"))
+    both = F.arrays_zip(F.split(_masked(text), "\n", -1).alias("m"), written.alias("w"))
+    lines = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(both).alias("pos", "x"))
+    lines = lines.select("k", "doc_id", "pos", F.trim("x.m").alias("m"), F.trim("x.w").alias("w"))
     n = F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1
     lines = lines.select("*", n.alias("n")).where(F.col("n") >= MIN_TOKENS)
     return lines.select("*", F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("m", " ", DEPTH)))).alias("leaf"),
-                        F.unhex(F.md5("m")).alias("lh"))
+                        F.unhex(F.md5("m")).alias("lh"), F.when(_bare("m", "n"), F.unhex(F.md5(F.concat(F.lit("raw "), "w")))).alias("raw"))
 
 
 def _generalised(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -63,27 +79,27 @@ def _generalised(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     wide = stored(wide, "wide-leaves")
     full = maybe_member(_lines(docs).where(F.col("n") > DEPTH).select("lh", "leaf", "n", "m"), wide, "leaf").join(wide, "leaf")
     full = stored(full.groupBy("lh", "leaf", "n").agg(F.min("m").alias("m")), "wide-lines")
-    tokens = full.select("lh", "leaf", "n", F.posexplode(F.split("m", " ", -1)).alias("at", "token"))
+    tokens = full.select("lh", "leaf", "n", _bare("m", "n").alias("bare"), F.posexplode(F.split("m", " ", -1)).alias("at", "token"))
     place = ["leaf", "at", "token"]
     constant = tokens.groupBy(*place).agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select(*place, F.lit(1).alias("same"))
     marked = tokens.join(constant, place, "left")
     whole = marked.groupBy("lh", "leaf").agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(F.col("same") == 1, F.col("token")).otherwise("<*>").alias("token")))).alias("t"),
-        F.count("same").alias("constant"), F.first("n").alias("n"))
+        F.count("same").alias("constant"), F.first("n").alias("n"), F.first("bare").alias("bare"))
     body = F.array_join(F.transform("t", lambda x: x["token"]), " ")
-    return (whole.where(F.col("constant") >= F.ceil(F.lit(SHARE) * F.col("n")))
+    return (whole.where((F.col("constant") >= F.ceil(F.lit(SHARE) * F.col("n"))) & ~F.col("bare"))
                  .select("lh", F.unhex(F.md5(F.concat(F.lit("template "), body))).alias("template")))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """Lines to drop: ``k, pos`` (``k`` is the document's row key)."""
-    light = stored(_lines(docs).select("k", "doc_id", "pos", "n", "leaf", "lh"), "line-keys")
-    distinct = stored(light.groupBy("lh").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("rows")), "distinct-lines")
+    light = stored(_lines(docs).select("k", "doc_id", "pos", "n", "leaf", "lh", "raw"), "line-keys")
+    distinct = stored(light.groupBy("lh", "raw").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("rows")), "distinct-lines")
     general = _generalised(docs, distinct)
     # a line that stands alone and has no variable field can't recur
-    again = distinct.where("rows > 1").select("lh").join(general, "lh", "full_outer").select("lh", F.coalesce("template", "lh").alias("template"))
+    again = distinct.where("rows > 1").select(F.coalesce("raw", "lh").alias("lh")).join(general, "lh", "full_outer").select("lh", F.coalesce("template", "lh").alias("template"))
     again = stored(again, "line-candidates")
-    lines = maybe_member(light.select("k", "doc_id", "pos", "n", "lh"), again, "lh").join(again, "lh").drop("lh")
+    lines = maybe_member(light.select("k", "doc_id", "pos", "n", F.coalesce("raw", "lh").alias("lh")), again, "lh").join(again, "lh").drop("lh")
     lines = stored(lines, "line-templates")
     first = F.min(F.struct("doc_id", "k", "pos")).alias("first")
     per_doc = lines.groupBy("template", "k").agg(first, F.first("n").alias("n"))
