@@ -70,6 +70,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def binary_parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string array in a row, and the bounds of its values."""
+    a = a.cast(pa.large_string())
+    offsets = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1 + a.offset)[a.offset:]
+    data = a.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
+
+
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Concatenate ``flat[s:s+n]`` for all (s, n)."""
     total = int(lens.sum())

@@ -19,6 +19,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTES = [mix(np.arange(256, dtype=np.uint64) + np.uint64(k)) | np.uint64(1) for k in (1 << 20, 1 << 40)]
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1] from 64-bit hashes."""
     return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0 ** -53
@@ -36,15 +39,33 @@ def is_word_char(cps: np.ndarray) -> np.ndarray:
     return _word_chars[0][cps]
 
 
+KEPT_POWERS = 1 << 20  # numbers of a kept table; a longer slice makes its own
+
+
 def _grown(which: int, n: int) -> np.ndarray:
     p = _powers[which]
     if len(p) < n:
-        step = np.full(n + (1 << 16), (_BASE, _INVERSE)[which], np.uint64)
+        step = np.full(max(n, min(2 * n, KEPT_POWERS)), (_BASE, _INVERSE)[which], np.uint64)
         step[0] = 1
-        _powers[which] = p = np.cumprod(step)
+        p = np.cumprod(step)
+        if len(p) <= KEPT_POWERS:
+            _powers[which] = p
     return p[:n]
 
 
+def poly_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the byte strings ``data[b[i]:b[i + 1]]``."""
+    low, high = int(bounds[0]), int(bounds[-1])
+    data, at = data[low:high], bounds - low
+    up, down = _grown(0, len(data)), _grown(1, len(data) + 1)[at[:-1]]
+    out = []
+    for table in _BYTES:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up, out=sums[1:])
+        out.append(mix((sums[at[1:]] - sums[at[:-1]]) * down))
+    return out[0], out[1]
+
+
 def _segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Polynomial prefix sums over the code points, word starts and ends, and
     where each text begins."""
