@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = ("repair_ids", "line_templates", "dart_minhash", "line_crf",
            "simhash_windows", "pii_anchors", "itq_embeddings", "nnls_packing", "noisy_toxicity",
-           "trie_counts")
+           "trie_counts", "source_divergence", "token_alignment", "url_markov")
 
 
 def load() -> tuple[dict, dict]:
