@@ -15,7 +15,7 @@ refers only to smaller symbols.
 
 Defined results: a null or empty text is a document with only its end id;
 documents with a null id come first; rows with equal ids stay separate
-documents, ordered by their text; an empty table gives an empty file.  Other
+documents, ordered by their texts' md5; an empty table gives an empty file.  Other
 columns are ignored.  The range shuffle moves each text once; starts come from
 a prefix sum over partition totals.
 """
@@ -36,10 +36,11 @@ from spanweave.llm.encoding import encoder, with_end
 
 END_ID = 1
 SHARD_IDS = 1 << 19   # a shard closes at the first document end past this many ids
-MIN_SHARE = 1 / 4096  # a pair is frequent from this share of a shard's ids on
-MIN_COUNT = 8         # and from this many occurrences on
+MIN_COUNT = 8         # a pair is frequent from this many occurrences on
+SIEVE_BITS = 20       # of the counters that pairs are sieved by before they are counted
 SHARD = ("part long, shard long, local_start long, n_ids long, base long, rules binary, rule_lengths binary, "
          "symbols binary, doc_ids array<long>, doc_lengths array<long>")
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 DECODED = "part long, doc_id long, local_start long, n_tokens long, ids binary"
 
 
@@ -51,19 +52,8 @@ class Grammar:
     symbols: np.ndarray
 
 
-def _occurrences(seq: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the chosen pairs and the pair of each; a run of one symbol
-    is paired from its start."""
-    rank = np.full(size, -1, np.int64)
-    order = np.argsort(left * size + right)
-    keys = (left * size + right)[order]
-    rank[left] = 0
-    at = np.flatnonzero(rank[seq[:-1]] == 0)
-    codes = seq[at] * size + seq[at + 1]
-    slot = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-    ok = keys[slot] == codes
-    at, which = at[ok], order[slot[ok]]
-    same = left[which] == right[which]
+def _without_overlaps(seq: np.ndarray, at: np.ndarray, which: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences that are replaced: a run of one symbol is paired from its start."""
     if same.any():
         p = at[same]
         new_run = np.concatenate(([True], (np.diff(p) != 1) | (np.diff(seq[p]) != 0)))
@@ -79,24 +69,20 @@ def compress(ids: np.ndarray, base: int) -> Grammar:
     seq = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     size = base
-    least = max(MIN_COUNT, int(len(ids) * MIN_SHARE))
+    least = MIN_COUNT
     while len(seq) > 1:
-        # a frequent pair has two frequent symbols: count among those, densely coded
-        often = np.bincount(seq, minlength=size) >= least
-        names = np.flatnonzero(often)
-        both = often[seq]
-        at = np.flatnonzero(both[:-1] & both[1:])
-        dense = np.cumsum(often) - 1
-        k = len(names)
-        codes, counts = np.unique((dense[seq[at]] * k + dense[seq[at + 1]]).astype(np.int32 if k < 46_000 else np.int64),
-                                  return_counts=True)
+        # pairs fall into counters; only those of a counter that reaches the least count can be frequent
+        codes = seq[:-1] * size + seq[1:]
+        slot = (codes.view(np.uint64) * _SPREAD >> np.uint64(64 - SIEVE_BITS)).astype(np.int32)
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << SIEVE_BITS) >= least)[slot])
+        codes, pair, counts = np.unique(codes[at], return_inverse=True, return_counts=True)
         frequent = np.flatnonzero(counts >= least)
         if not len(frequent):
             break
         frequent = frequent[np.lexsort((codes[frequent], -counts[frequent]))]
         # most frequent first; a symbol is only a left or only a right part in a round
         lefts, rights, alone, picked = set(), set(), set(), []
-        for a, b in zip(names[codes[frequent] // k].tolist(), names[codes[frequent] % k].tolist()):
+        for c, a, b in zip(frequent.tolist(), (codes[frequent] // size).tolist(), (codes[frequent] % size).tolist()):
             if a == b:
                 if a in lefts or a in rights or a in alone:
                     continue
@@ -106,9 +92,13 @@ def compress(ids: np.ndarray, base: int) -> Grammar:
                     continue
                 lefts.add(a)
                 rights.add(b)
-            picked.append((a, b))
-        pairs = np.array(picked, np.int64)
-        at, which = _occurrences(seq, pairs[:, 0], pairs[:, 1], size)
+            picked.append(c)
+        chosen = np.full(len(codes), -1)
+        chosen[picked] = np.arange(len(picked))
+        which = chosen[pair]
+        at, which = at[which >= 0], which[which >= 0]
+        pairs = np.stack([codes[picked] // size, codes[picked] % size], 1)
+        at, which = _without_overlaps(seq, at, which, (pairs[:, 0] == pairs[:, 1])[which])
         used, symbol = np.unique(which, return_inverse=True)
         rules.append(pairs[used])
         seq[at] = size + symbol
@@ -237,9 +227,11 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, spaced: bool = F
         if held:
             yield close()
 
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                   .repartitionByRange(F.col("doc_id").asc_nulls_first())
-                   .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
+    # rows of one id may be many: they are ranged by their texts' hashes too
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("hash", F.md5(F.coalesce("text", F.lit(""))))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return stored(ordered.mapInArrow(shards, SHARD), "id-shards")
 
 

@@ -41,7 +41,7 @@ TEXTS = ["", " a  b", "x\n\ny", "a \nb", "\n", " ", "don't it's I'LL be", "É Σ
 def test_chunks_equal_whole_texts(name, spaced):
     import public_tokenizers
     path = public_tokenizers.path(name)
-    enc = E.ChunkEncoder(path, spaced, max_entries=12)
+    enc = E.ChunkEncoder(path, spaced, max_bytes=1 << 14)
     plain = Tokenizer.from_file(path)
     plain.encode_special_tokens = True
     for _ in range(2):
