@@ -18,8 +18,8 @@
 
 ``CountVectorizer`` holds its vocabulary in the driver and in every executor.
 So it is fitted in slices of the term space with at most about ``MAX_TERMS``
-kept terms each; how many slices are needed follows from the exact document
-frequencies of one of ``SAMPLE_SHARE`` terms.  The result doesn't depend on it.
+kept terms each; how many slices are needed is estimated from one of
+``SAMPLE_SHARE`` documents.  The result doesn't depend on it.
 The number of sources of a language shows in the result's size (all pairs) and
 in a block (``BLOCK`` numbers per source).
 
@@ -49,22 +49,25 @@ MAX_VOCABULARY = 2**31 - 1
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MARK = "\u0001"  # between language and term; no term holds it
 MAX_TERMS = 1_000_000
-SAMPLE_SHARE = 64
+SAMPLE_SHARE = 16
 BLOCK = 512
 SUMMED = "lang string, source string, term long, n long"
 EVALUATED = "lang string, source string, other string, term long, value long"
 
 
-def terms(text: Column) -> Column:
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.split(low, SEPARATORS, -1), "")
+def _low(word: Column) -> Column:
+    """Only A-Z in lower case (``lower`` where a word has nothing else to lower)."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, upper, lower))
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
     """``lang, source, words`` (terms with their language in front)."""
     lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text"))
-    out = docs.select(lang.alias("lang"), source.alias("source"), terms(text).alias("words"))
-    return out.withColumn("words", F.transform("words", lambda w: F.concat("lang", F.lit(MARK), w)))
+    out = docs.select(lang.alias("lang"), source.alias("source"), text.alias("text"))
+    found = F.array_remove(F.split("text", SEPARATORS, -1), "")
+    return out.select("lang", "source", F.transform(found, lambda w: F.concat("lang", F.lit(MARK), _low(w))).alias("words"),
+                      F.length("text").alias("size"), F.xxhash64("text").alias("hash"))
 
 
 def _part(words: Column | str, parts: int, part: int) -> Column:
@@ -72,16 +75,21 @@ def _part(words: Column | str, parts: int, part: int) -> Column:
 
 
 def slices_needed(rows: DataFrame, min_docs: int, max_terms: int) -> int:
-    """Into how many slices the term space is cut (0: no term is kept at all in a
-    table too short for one)."""
-    size = rows.agg(F.sum(F.size("words")).alias("n")).first().n or 0
+    """Into how many slices the term space is cut (0: no term can be kept).
+
+    Every kept term stands in ``min_docs`` documents, which bounds their number
+    by the text's size; a large table is looked at in one of ``SAMPLE_SHARE``
+    documents: at least ``seen`` of the kept terms stand in two of those."""
+    size = rows.agg(F.sum((F.col("size") + 1) / 2).alias("n")).first().n or 0
     if size < min_docs:
         return 0
-    if size // min_docs <= max_terms:  # each kept term stands in min_docs documents
+    if size / min_docs <= max_terms:
         return 1
-    few = rows.select(F.explode(F.array_distinct(_part("words", SAMPLE_SHARE, 0))).alias("w"))
-    kept = few.groupBy("w").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= min_docs).count()
-    return max(1, math.ceil((kept + 3 * math.sqrt(kept)) * SAMPLE_SHARE / max_terms))
+    q = 1 - 1 / SAMPLE_SHARE
+    seen = 1 - q ** min_docs - min_docs * (1 - q) * q ** (min_docs - 1)
+    few = rows.where(F.pmod("hash", F.lit(SAMPLE_SHARE)) == 0).select(F.explode(F.array_distinct("words")).alias("w"))
+    twice = few.groupBy("w").agg(F.count(F.lit(1)).alias("d")).where("d > 1").count()
+    return max(1, math.ceil(twice / max(seen, 0.01) / max_terms))
 
 
 def _group_sums(vectors: DataFrame) -> DataFrame:
@@ -110,11 +118,12 @@ def _group_sums(vectors: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
-def group_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS) -> tuple[DataFrame, DataFrame]:
+def group_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Counts of kept terms ``lang, source, term, n`` and the vocabulary
     ``lang, term, word`` (``term``: a number)."""
     spark, rows = docs.sparkSession, documents_of(docs)
-    n_slices = slices_needed(rows, min_docs, max_terms)
+    n_slices = slices_needed(rows, min_docs, max_terms) if slices is None else slices
+    rows = rows.select("lang", "source", "words")
     sums, words, first = [], [], 0
     for i in range(n_slices):
         some = rows if n_slices == 1 else rows.withColumn("words", _part("words", n_slices, i))
@@ -194,11 +203,11 @@ def _evaluate(key: tuple, t: pa.Table) -> pa.Table:
                                  pa.array(x, pa.int64()), pa.array(v, pa.int64())], schema=_EVALUATED_ARROW)
 
 
-def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, max_terms: int = MAX_TERMS) -> DataFrame:
+def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, max_terms: int = MAX_TERMS, slices: int | None = None) -> DataFrame:
     """``lang, source, part, item, value, rank``: every other source of the
     language by divergence (``pair``), and the ``top`` terms a source has more
     of than its language (``term``)."""
-    counts, words = group_vectors(docs, min_docs, max_terms)
+    counts, words = group_vectors(docs, min_docs, max_terms, slices)
     groups = documents_of(docs).select("lang", "source").distinct()
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = stored(groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n")), "divergence-groups")
