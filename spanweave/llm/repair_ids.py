@@ -37,7 +37,7 @@ from spanweave.llm.encoding import encoder, with_end
 END_ID = 1
 SHARD_IDS = 1 << 19   # a shard closes at the first document end past this many ids
 MIN_COUNT = 8         # a pair is frequent from this many occurrences on
-SIEVE_BITS = 20       # of the counters that pairs are sieved by before they are counted
+SIEVE_BITS = 18       # of the counters that pairs are sieved by before they are counted
 SHARD = ("part long, shard long, local_start long, n_ids long, base long, rules binary, rule_lengths binary, "
          "symbols binary, doc_ids array<long>, doc_lengths array<long>")
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +73,7 @@ def compress(ids: np.ndarray, base: int) -> Grammar:
     while len(seq) > 1:
         # pairs fall into counters; only those of a counter that reaches the least count can be frequent
         codes = seq[:-1] * size + seq[1:]
-        slot = (codes.view(np.uint64) * _SPREAD >> np.uint64(64 - SIEVE_BITS)).astype(np.int32)
+        slot = (codes.view(np.uint64) * _SPREAD >> np.uint64(64 - SIEVE_BITS)).view(np.int64)
         at = np.flatnonzero((np.bincount(slot, minlength=1 << SIEVE_BITS) >= least)[slot])
         codes, pair, counts = np.unique(codes[at], return_inverse=True, return_counts=True)
         frequent = np.flatnonzero(counts >= least)
