@@ -126,10 +126,15 @@ def tasks_uniform_multi(spark: SparkSession, ranked_names: DataFrame, total_task
     return named.select("task_id", F.col("slot").cast("bigint").alias("slot"), "type", "name")
 
 
+def custom_id(task_id: Column) -> Column:
+    """the request id of a task."""
+    return F.format_string("req_%06d", task_id)
+
+
 def request_ids(tasks: DataFrame, chunk_size: int = 10) -> DataFrame:
     """``req_%06d`` ids, chunk number and chunk count."""
     n = tasks.agg(F.count(F.lit(1)).alias("_n"))
     return (tasks.crossJoin(F.broadcast(n))
-                 .select("task_id", F.format_string("req_%06d", F.col("task_id")).alias("custom_id"),
+                 .select("task_id", custom_id(F.col("task_id")).alias("custom_id"),
                          F.floor(F.col("task_id") / chunk_size).cast("bigint").alias("chunk"),
                          F.ceil(F.col("_n") / chunk_size).cast("bigint").alias("n_chunks")))

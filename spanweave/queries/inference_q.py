@@ -14,6 +14,7 @@ from spanweave import oracle as O
 from spanweave.catalog import register
 from spanweave.functions import prompts as PR
 from spanweave.operators import entities as ent
+from spanweave.operators import batching as BT
 from spanweave.operators import inference as INF
 from spanweave.operators import parsing as P
 from spanweave.operators import planning as PL
@@ -146,6 +147,19 @@ def run_inference(spark, sf):
     return r.select("task_id", "attempt", "ok", F.length("body").alias("body_len"))
 
 
+def _batch_client(folder):
+    return lambda attempt: BT.FolderBatchClient(folder, attempt)
+
+
+@register("run_inference_batch", _STUB + """
+SELECT task_id, CAST(CASE WHEN first_fails THEN 1 ELSE 0 END AS INTEGER) AS attempt, true AS ok, md5(body) AS body_md5,
+       CAST(length(p) // 4 AS BIGINT) AS input_tokens, CAST(length(body) // 4 AS BIGINT) AS output_tokens FROM bd""")
+def run_inference_batch(spark, sf):
+    path = scratch_path(spark, f"batches-{uuid.uuid4().hex}")
+    r = BT.run_batch_inference(_prompts(spark, sf), _batch_client(f"{path}/provider"), path, chunk_size=100)
+    return r.select("task_id", "attempt", "ok", F.md5("body").alias("body_md5"), "input_tokens", "output_tokens")
+
+
 def _rounds(spark, sf):
     path = scratch_path(spark, f"rounds-{uuid.uuid4().hex}")
     return INF.retry_rounds(_prompts(spark, sf), _stub, path, rounds=2, max_retries=1)

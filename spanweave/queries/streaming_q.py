@@ -11,7 +11,6 @@ from spanweave import oracle as O
 from spanweave.catalog import register
 from spanweave.operators import entities as ent
 from spanweave.queries.parsing_q import _BASE as _REPLY_BASE, _EXTRACT
-from spanweave.queries.runs_q import _RES
 from spanweave.session import scratch_path
 from spanweave.sources import fixtures as fx
 from spanweave.sources import replies as RP
@@ -52,11 +51,27 @@ def stream_responses(spark, sf):
     return spark.read.parquet(out).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("stream_runs", _RES + """
-SELECT CAST('2025-01-0' || (run_order % 3 + 1) AS DATE) AS day, status, CAST(count(*) AS BIGINT) AS runs FROM res GROUP BY 1, 2""")
+_LOG = """WITH log AS (
+  SELECT CASE WHEN substr(h, 1, 1) = '0' THEN 'failed' ELSE 'success' END AS status, day, day // 2 + CASE WHEN substr(h, 4, 1) IN ('e', 'f') THEN 2 ELSE 0 END AS wave,
+         TIMESTAMP '2025-01-01 00:00:00' + to_seconds(day * 86400 + (n * 37) % 86400) AS ts
+  FROM (SELECT h, n, CAST('0x' || substr(h, 2, 2) AS INTEGER) % 8 AS day
+        FROM (SELECT coalesce(length(text), 0) AS n, md5('run:' || CAST(doc_id AS VARCHAR)) AS h FROM documents))),
+mark AS (SELECT w.wave, (SELECT max(ts) FROM log b WHERE b.wave < w.wave) - INTERVAL 1 DAY AS late FROM (SELECT DISTINCT wave FROM log) w),
+judged AS (
+  SELECT l.*, DATE '2025-01-01' + l.day AS d, coalesce(TIMESTAMP '2025-01-01 00:00:00' + to_days(l.day + 1) <= m.late, false) AS dropped
+  FROM log l JOIN mark m USING (wave))"""
+
+
+@register("stream_runs", _LOG + """
+SELECT d AS day, status, count(*) FILTER (WHERE NOT dropped)::BIGINT AS runs, count(*) FILTER (WHERE dropped)::BIGINT AS late,
+       CAST(d AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM log) - INTERVAL 1 DAY AS closed
+FROM judged GROUP BY d, status""")
 def stream_runs(spark, sf):
     src, out, ck = _dirs(spark, "runs")
-    # one file per run, so that late stamps arrive in later batches as well
-    RS.results(spark, sf).select("model_key", "status", "timestamp").repartition(5, "model_key").write.json(src)
-    J.stream_runs(spark, src, out, ck)
-    return J.latest(spark, out)
+    log = RS.run_log(spark, sf)
+    # the log arrives wave after wave, late runs two waves after their day
+    for wave in range(RS.LOG_DAYS // RS.LOG_WAVE + 2):
+        log.where(F.col("wave") == wave).drop("wave").write.mode("append").json(src)
+        J.stream_runs(spark, src, out, ck)
+    counted = J.runs_per_window(spark, out, ck)
+    return J.late_runs(spark, src, counted).select(F.to_date("start").alias("day"), "status", "runs", "late", "closed")

@@ -64,6 +64,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "spanweave-tables", name)
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system, sorted; none where it doesn't exist."""
+    p, fs = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote."""
+    p, fs = _folder(spark, path)
+    fs.delete(p, True)
+
+
 _SHIPPED: set[str] = set()
 
 

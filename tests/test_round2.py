@@ -10,7 +10,6 @@ from spanweave.operators import corpus, fewshot, inference, planning, scoring, t
 from spanweave.plans.evaluate import evaluate_llm
 from spanweave.sources import results as R
 from spanweave.sources.corpus import read_corpus_lines
-from spanweave.streaming import jobs
 
 
 def spans(n, name_s="s", name_e="e"):
@@ -71,18 +70,6 @@ def test_run_documents(spark, tmp_path):
         R.merge_run_sets(spark, [str(tmp_path / "none")])
 
 
-def test_daily_runs_keep_every_day_and_late_runs(spark, tmp_path):
-    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    schema = "model_key string, status string, timestamp string"
-    day = lambda d: spark.createDataFrame([("m", "success", f"2025010{d}_120000")], schema)
-    for d in (1, 3):
-        day(d).write.mode("append").json(src)
-    jobs.stream_runs(spark, src, out, ck)
-    day(1).write.mode("append").json(src)
-    jobs.stream_runs(spark, src, out, ck)
-    assert {(str(r.day), r.runs) for r in jobs.latest(spark, out).collect()} == {("2025-01-01", 2), ("2025-01-03", 1)}
-
-
 class Counting(inference.StubExtractionClient):
     def __init__(self, path):
         super().__init__(fail_first=False)
