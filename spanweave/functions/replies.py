@@ -17,19 +17,22 @@ from spanweave.schema import ANNOTATION_CLOSE, ANNOTATION_OPEN, ANSWER_MARKER
 # Whitespace removed by Python's str.strip(): Java's \s plus the information
 # separators, NEL, NBSP and the Unicode spaces (fixed values).
 PY_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-# Nesting depth of arrays that the reply patterns follow (deeper brackets end a match).
-ARRAY_DEPTH = 8
+# Nesting depth of arrays that the reply patterns follow (an entity array needs three or four).
+ARRAY_DEPTH = 64
 FENCE_MARK, FENCE_TAG = "```", "json"
 
 
 def array_pattern(depth: int = ARRAY_DEPTH, possessive: bool = True) -> str:
     """Pattern of a bracketed array with at most ``depth`` levels: each level
-    wraps the one below.  Possessive quantifiers never backtrack."""
+    wraps the one below.  A bracket inside a JSON string is a character like any
+    other; an array with a string that doesn't end is none.  Possessive
+    quantifiers never backtrack."""
     p = "+" if possessive else ""
-    level = rf"\[[^\[\]]*{p}\]"
+    string = rf'"(?:[^"\\]+{p}|\\.)*{p}"'
+    level = rf'\[(?:[^\[\]"]+{p}|{string})*{p}\]'
     for _ in range(depth - 1):
-        level = rf"\[(?:[^\[\]]+{p}|{level})*{p}\]"
-    return level
+        level = rf'\[(?:[^\[\]"]+{p}|{string}|{level})*{p}\]'
+    return f"(?s:{level})"
 
 
 BALANCED = array_pattern()

@@ -2,11 +2,14 @@
 
 Every row gets an order key ``md5('<seed>:<id>')`` (ties broken by the id).
 "The first k rows of a seeded shuffle" is then "all rows whose (key, id) is at
-most the k-th smallest (key, id)".  The k-th smallest pair is found by
-histogram refinement on key prefixes: each round is one aggregate over the key
-column (at most 4,096 groups per open prefix, map-side combined), and the
-final bucket is collected only once it holds at most ``_LEAF`` rows.  Rows are
-never shuffled; the split itself is a projection that compares each row's key
+most the k-th smallest (key, id)".  Keys of distinct ids are uniform, so the
+row count says where the k-th smallest lies, give or take a few times
+``sqrt(n)`` rows: one aggregate counts what is below that bracket and, in it,
+the single keys (in a large table ``_PARTS`` parts of it, one of which the next
+job looks at).  That is two or three passes with the count.  A cut outside its
+bracket (an id that fills the table) is found by histogram refinement on key
+prefixes instead.  Either way rows are never shuffled and the driver sees a few
+thousand groups; the split itself is a projection that compares each row's key
 with the cut keys.  A global ``row_number`` would run in one task instead.
 """
 
@@ -22,6 +25,9 @@ from spanweave.schema import SPLITS
 
 _DIGITS = 3          # hex digits added per refinement round -> 4,096 buckets
 _LEAF = 4096         # collect a bucket once it is this small
+_PARTS = 4096        # parts of a bracket with more keys
+_SIGMAS = 6          # half the width of a bracket
+_BITS = 60           # of the key that brackets are made of
 _KEY, _ID = "_hkey", "_hid"
 
 
@@ -30,9 +36,73 @@ def hash_key(id_col: str | Column, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
-def kth_keys(df: DataFrame, id_col: str, seed: int | str, ranks: list[int]) -> dict[int, tuple]:
-    """Return ``{rank: (key, id)}`` of the rank-th smallest pair (1-based)."""
+def kth_keys(df: DataFrame, id_col: str, seed: int | str, ranks: list[int], n: int | None = None) -> dict[int, tuple]:
+    """Return ``{rank: (key, id)}`` of the rank-th smallest pair (1-based); ``n``:
+    the row count, where it is known."""
+    n = df.count() if n is None else n
+    wanted = sorted(r for r in set(ranks) if r > 0)
+    if wanted and wanted[-1] > n:
+        raise ValueError(f"rank {wanted[-1]} exceeds the row count")
     keyed = df.select(hash_key(id_col, seed).alias(_KEY), F.col(id_col).alias(_ID))
+    out = _in_brackets(keyed, wanted, n)
+    return out | _by_prefixes(keyed, [r for r in wanted if r not in out])
+
+
+def _brackets(ranks: list[int], n: int) -> list[list[int]]:
+    """Key ranges ``[low, high)`` that hold the ranks, overlapping ones as one."""
+    out: list[list[int]] = []
+    for r in ranks:
+        spread = _SIGMAS * math.sqrt(r * (n - r) / n) + 32
+        low, high = (min(max(int((r + x) / n * 2 ** _BITS), 0), 2 ** _BITS) for x in (-spread, spread))
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return out
+
+
+def _walk(groups: list[tuple], rank: int):
+    """The group that holds the rank, and the rank inside it."""
+    for *group, count in groups:
+        if rank <= count:
+            return (*group, rank)
+        rank -= count
+    return None
+
+
+def _in_brackets(keyed: DataFrame, ranks: list[int], n: int) -> dict[int, tuple]:
+    """Cut keys of the ranks that lie in their brackets."""
+    if not ranks:
+        return {}
+    place = F.conv(F.substring(_KEY, 1, _BITS // 4), 16, 10).cast("bigint")
+    brackets = _brackets(ranks, n)
+    fine = sum(high - low for low, high in brackets) / 2 ** _BITS * n <= _LEAF
+    # segment 2 i + 1 is bracket i, segment 2 i what lies before it
+    segment, part = F.lit(2 * len(brackets)), F.lit(None).cast("bigint")
+    for i, (low, high) in reversed(list(enumerate(brackets))):
+        segment = F.when(F.col("place") < low, 2 * i).when(F.col("place") < high, 2 * i + 1).otherwise(segment)
+        part = F.when((F.col("place") >= low) & (F.col("place") < high), F.floor((F.col("place") - low) / max((high - low) / _PARTS, 1))).otherwise(part)
+    rows = keyed.select("*", place.alias("place")).select(_KEY, _ID, segment.alias("segment"), part.alias("part"))
+    inside = F.col("segment") % 2 == 1
+    if fine:
+        found = rows.groupBy("segment", F.when(inside, F.col(_KEY)).alias(_KEY), F.when(inside, F.col(_ID)).alias(_ID))
+        groups = sorted(((r.segment, (r[_KEY], r[_ID]), r["count"]) for r in found.count().collect()), key=lambda g: (g[0], g[1] if g[0] % 2 else ()))
+        held = {r: _walk(groups, r) for r in ranks}
+        return {r: g[1] for r, g in held.items() if g and g[0] % 2}
+    groups = sorted((r.segment, -1 if r.part is None else r.part, r["count"]) for r in rows.groupBy("segment", "part").count().collect())
+    held = {r: g for r in ranks if (g := _walk(groups, r)) and g[0] % 2}
+    if not held:
+        return {}
+    some = sorted({g[:2] for g in held.values()})
+    chosen = rows.where(F.array_contains(F.array(*[F.lit(f"{s}:{p}") for s, p in some]), F.concat_ws(":", "segment", "part")))
+    leaf: dict[tuple, list] = {}
+    for r in chosen.groupBy("segment", "part", _KEY, _ID).count().collect():
+        leaf.setdefault((r.segment, r.part), []).append((r[_KEY], r[_ID], r["count"]))
+    return {r: _walk(sorted(leaf[g[:2]]), g[2])[:2] for r, g in held.items()}
+
+
+def _by_prefixes(keyed: DataFrame, ranks: list[int]) -> dict[int, tuple]:
+    """Cut keys by histogram refinement, whatever the keys' distribution."""
     out: dict[int, tuple] = {}
     pending = {r: ("", r) for r in sorted(set(ranks)) if r > 0}
     level = 0
@@ -87,14 +157,14 @@ def _le(key: Column, idc: Column, cut: tuple | None) -> Column:
 
 
 def split_by_counts(df: DataFrame, id_col: str, seed: int | str,
-                    counts: list[int], labels: list[str], col: str = "split") -> DataFrame:
+                    counts: list[int], labels: list[str], col: str = "split", n: int | None = None) -> DataFrame:
     """Label the first counts[0] rows of the seeded order labels[0], the next
     counts[1] labels[1], ..., the rest labels[-1]."""
     cum, ranks = 0, []
     for c in counts:
         cum += c
         ranks.append(cum)
-    cuts = kth_keys(df, id_col, seed, ranks)
+    cuts = kth_keys(df, id_col, seed, ranks, n)
     key = hash_key(id_col, seed)
     expr = None
     for r, label in zip(ranks, labels):
@@ -111,7 +181,7 @@ def exact_split(df: DataFrame, id_col: str = "sample_id", seed: int | str = 42,
     n = df.count()
     n_train = int(n * train)
     n_val = int(n * val)
-    return split_by_counts(df, id_col, seed, [n_train, n_val], list(SPLITS), col)
+    return split_by_counts(df, id_col, seed, [n_train, n_val], list(SPLITS), col, n)
 
 
 def holdout_split(df: DataFrame, id_col: str, seed: int | str = 42,
@@ -119,7 +189,7 @@ def holdout_split(df: DataFrame, id_col: str, seed: int | str = 42,
     """Seeded 90/10 split, ``test = ceil(test_size * n)``."""
     n = df.count()
     n_test = int(math.ceil(test_size * n)) if n else 0
-    return split_by_counts(df, id_col, seed, [n - n_test], ["train", "test"], col)
+    return split_by_counts(df, id_col, seed, [n - n_test], ["train", "test"], col, n)
 
 
 def first_k(df: DataFrame, id_col: str, seed: int | str, k: int) -> DataFrame:
@@ -132,7 +202,7 @@ def first_k(df: DataFrame, id_col: str, seed: int | str, k: int) -> DataFrame:
     n = df.count()
     if k >= n:
         return df
-    cut = kth_keys(df, id_col, seed, [k])[k]
+    cut = kth_keys(df, id_col, seed, [k], n)[k]
     return df.where(_le(hash_key(id_col, seed), F.col(id_col), cut))
 
 

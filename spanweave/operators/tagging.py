@@ -5,8 +5,11 @@ no character explode, no shuffle.
 
 * ``bio_tags`` (card C3) sorts the spans of a row by start and emits gap, span,
   gap as ``array_repeat`` pieces in one sweep.  Only rows whose spans overlap
-  resolve the overlaps (later entity wins, W9) on the elementary intervals
-  between span boundaries, which is quadratic in the entities of that row.
+  resolve the overlaps (later entity wins, W9): a span is the union of two
+  windows whose length is a power of two; the last entity of every window is
+  handed down to its two halves, from the longest windows to single characters.
+  That is linear in the text for each power of two up to the longest span, and
+  sorts the spans once, however they overlap.
 * ``bio_to_spans`` (card C4, lenient chunk rules) pairs the k-th chunk start
   with the k-th chunk end, both found by one pass over the tag array.
 """
@@ -57,15 +60,18 @@ def bio_tags_expr(entities: str = "ents", length: str = "length(text)") -> Colum
     lambda variables so nothing is recomputed per element.
     """
     sp = _clean_spans(entities, "n")
-    bounds = ("array_sort(array_distinct(concat(array(0, n), "
-              "flatten(transform(sp, x -> array(x.s, x.e))))))")
-    seg = ("transform(sequence(0, size(bd) - 2), j -> named_struct('a', bd[j], 'z', bd[j + 1], "
-           "'o', try_element_at(filter(sp, x -> x.s <= bd[j] AND x.e >= bd[j + 1]), -1)))")
-    piece = ("CASE WHEN g.o IS NULL THEN array_repeat('O', g.z - g.a) "
-             "WHEN g.a = g.o.s AND g.o.b THEN concat(array(concat('B-', g.o.t)), "
-             "array_repeat(concat('I-', g.o.t), g.z - g.a - 1)) "
-             "ELSE array_repeat(concat('I-', g.o.t), g.z - g.a) END")
-    overlapping = f"transform(array({bounds}), bd -> flatten(transform({seg}, g -> {piece})))[0]"
+    # the last entity that owns each character
+    windows = ("flatten(transform(sp, (x, j) -> transform(array(length(bin(x.e - x.s)) - 1), p -> array("
+               "named_struct('p', p, 'i', x.s, 'j', j), named_struct('p', p, 'i', x.e - shiftleft(1, p), 'j', j)))[0]))")
+    last = "filter(sw, (x, q) -> q = size(sw) - 1 OR sw[q + 1].p <> x.p OR sw[q + 1].i <> x.i)"
+    own = ("concat(flatten(transform(lv, (x, q) -> concat(array_repeat(-1, x.i - CASE WHEN q = 0 THEN 0 ELSE lv[q - 1].i + 1 END), array(x.j)))), "
+           "array_repeat(-1, n - CASE WHEN size(lv) = 0 THEN 0 ELSE lv[size(lv) - 1].i + 1 END))")
+    down = (f"transform(array(filter(lw, x -> x.p = p)), lv -> transform({own}, (v, i) -> "
+            "greatest(v, acc[i], CASE WHEN i >= shiftleft(1, p) THEN acc[i - shiftleft(1, p)] ELSE -1 END)))[0]")
+    owners = (f"transform(array(sort_array({windows})), sw -> transform(array({last}), lw -> "
+              f"aggregate(sequence(lw[size(lw) - 1].p, 0, -1), array_repeat(-1, n), (acc, p) -> {down}))[0])[0]")
+    overlapping = (f"transform({owners}, (k, i) -> CASE WHEN k < 0 THEN 'O' WHEN sp[k].b AND sp[k].s = i THEN concat('B-', sp[k].t) "
+                   "ELSE concat('I-', sp[k].t) END)")
     # spans in order of their start: the gap before each, the span, the gap at the end
     gap = "array_repeat('O', x.s - CASE WHEN i = 0 THEN 0 ELSE so[i - 1].e END)"
     own = ("CASE WHEN x.b THEN concat(array(concat('B-', x.t)), array_repeat(concat('I-', x.t), x.e - x.s - 1)) "

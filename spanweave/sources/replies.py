@@ -5,7 +5,8 @@ by ``doc_id % 8`` so that every parser branch is exercised on real text:
 
 0 bare array, 1 code fence, 2 a stray ``[1]`` before the array, 3 after the
 answer marker, 4 cut by 3 characters, 5 ``[]``, 6 extra invalid elements
-(unknown type, out-of-range span, short span, bare string), 7 an annotation
+(unknown type, out-of-range span, short span, bare string, brackets in a name,
+an array twenty levels deep), 7 an annotation
 tag pair around ``{"text", "entities"}`` whose offsets are partly wrong.
 
 Replies are built inside each row from the gold array: no shuffle.
@@ -26,7 +27,8 @@ CITATION = "See [1].\n"
 ANSWER_PREFIX = "回答: "
 EXTRA_ELEMENTS = ('{"type":"unknown","text":"x","span":[0,1]},'
                   '{"type":"person","text":"x","span":[0,%d]},'
-                  '{"type":"person","text":"x","span":[3]},"bare"')
+                  '{"type":"person","text":"x","span":[3]},"bare",'
+                  '{"type":"work","text":"] [ \\"]","span":[0,2]},' + "[" * 20 + "]" * 20)
 MISSING_ENTITY = '{"type":"work","name":"ZZZZ","start":0,"end":4}'
 EMPTY_ENTITY = '{"type":"person","name":"","start":0,"end":0}'
 

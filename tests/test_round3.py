@@ -1,0 +1,94 @@
+"""Cost and exactness of what round 3 changed: sampling passes, overlaps,
+reply arrays, line ids, running scores, cover, metrics, reports."""
+
+import hashlib
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanweave.functions import replies as R
+from spanweave.operators import sampling, tagging
+from spanweave.operators import parsing as P
+
+
+def jobs_of(spark, action):
+    """Spark jobs that an action starts."""
+    import uuid
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "count")
+    try:
+        out = action()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def order(ids, seed):
+    return sorted(((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i) for i in ids))
+
+
+@pytest.mark.parametrize("n,rows", [(5000, None), (200_000, None), (1, None), (40, None), (0, [7] * 3000 + list(range(100))), (0, [3] * 9000)])
+def test_cut_keys_in_two_passes(spark, monkeypatch, n, rows):
+    ids = list(range(n)) if rows is None else rows
+    df = spark.createDataFrame([(i,) for i in ids], "i long") if rows is not None else spark.range(n).withColumnRenamed("id", "i")
+    df = df.coalesce(2)
+    want = order(ids, 42)
+    ranks = sorted({1, max(len(ids) // 2, 1), max(int(len(ids) * 0.8), 1), len(ids)})
+    for leaf in (4096, 50):
+        monkeypatch.setattr(sampling, "_LEAF", leaf)
+        got = sampling.kth_keys(df, "i", 42, ranks, len(ids))
+        assert got == {r: want[r - 1] for r in ranks}
+    with pytest.raises(ValueError):
+        sampling.kth_keys(df, "i", 42, [len(ids) + 1], len(ids))
+
+
+def test_split_starts_few_jobs(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "sample_id").withColumn("sample_id", F.col("sample_id") * 3)
+    out, jobs = jobs_of(spark, lambda: sampling.exact_split(df))
+    assert jobs <= 4  # the count and one aggregate (each may run its shuffle as a job of its own)
+    sizes = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert sizes == {"train": 16_000, "validation": 2000, "test": 2000}
+
+
+def overlapping(n):
+    return F.expr(f"transform(sequence(0, {n} - 1), i -> named_struct('type', 'a', 'start', i * 10, 'end', i * 10 + 25))")
+
+
+def test_overlapping_spans_cost_in_proportion(spark):
+    took = {}
+    for n in (1000, 8000):
+        df = spark.range(1).select(overlapping(n).alias("ents"), F.lit(n * 10 + 25).alias("n"))
+        for _ in range(2):
+            t = time.perf_counter()
+            df.select(tagging.bio_tags_expr("ents", "n")).write.format("noop").mode("overwrite").save()
+            took[n] = time.perf_counter() - t
+    assert took[8000] < 10 * max(took[1000], 0.15)
+
+
+def test_overlapping_spans_equal_painting(spark):
+    r = random.Random(1)
+    rows = [([(r.choice("abc"), r.randint(-5, 42), r.randint(-5, 45)) for _ in range(r.randint(0, 9))], r.randint(0, 40)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "ents array<struct<type:string,start:int,end:int>>, n int")
+    for (ents, n), (got,) in zip(rows, df.select(tagging.bio_tags_expr("ents", "n")).collect()):
+        want = ["O"] * n
+        for t, s, e in ents:
+            for i in range(max(s, 0), min(e, n)):
+                want[i] = ("B-" if i == s else "I-") + t
+        assert got == want
+
+
+def test_arrays_of_replies(spark):
+    deep = "[" * 20 + "1" + "]" * 20
+    named = '[{"type":"person","text":"a ] b [","span":[0,7]}]'
+    replies = [deep, named, f"see [1] and {named}", f'unbalanced [ then {named}', f'回答: {deep} {named}', '["no end]', 'x "quoted [" text [2]',
+               '["a\\"]"] [3]', "[" * 64 + "]" * 64, "[" * 65 + "]" * 65, "", "[\n[1],\n\"]\"\n]"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(replies)], "i int, r string")
+    first = [x for (x,) in df.orderBy("i").select(R.first_array(F.col("r"))).collect()]
+    assert first[:9] == [deep, named, "[1]", named, deep, None, '[2]', '["a\\"]"]', replies[8]]
+    assert first[10] is None and first[11] == replies[11]
+    last = [x for (x,) in df.orderBy("i").select(R.answer_array(F.col("r"))).collect()]
+    assert last[2] == named and last[4] == deep and last[7] == "[3]"
+    got = P.parse_entities(df.where("i in (1, 2, 3)").withColumn("t", F.lit("a ] b [ c")), "r", "t", ["person"]).collect()
+    assert [[(e.text, e.start, e.end) for e in x.entities] for x in got] == [[("a ] b [", 0, 7)]] * 3
