@@ -78,12 +78,13 @@ def top_bottom_types(results: DataFrame, model_key: str, k: int = 2, by: str = "
 
 
 def summary_table(results: DataFrame) -> DataFrame:
-    """L4: runs by F1 desc with derived flags."""
+    """L4: runs by F1 desc with derived flags and sample counts."""
     f = with_flags(results)
-    return (f.select("model_key", F.col("flags.display_name").alias("display_name"),
+    return (f.select("model_key", F.col("flags.display_name").alias("display_name"), "model_name",
                      F.col("flags.model_type").alias("model_type"), F.col("flags.use_crf").alias("use_crf"),
                      F.col("flags.is_large").alias("is_large"), "family",
-                     *[metric(m).alias(m) for m in METRICS], "training_time", "run_order")
+                     *[metric(m).alias(m) for m in METRICS], "training_time",
+                     F.col("num_samples.train").alias("num_train_samples"), F.col("num_samples.test").alias("num_test_samples"), "run_order")
              .orderBy(F.desc("f1"), "run_order"))
 
 
@@ -105,11 +106,18 @@ def improvement_pct(this: Column, other: Column) -> Column:
     return F.when(other > 0, (this - other) / other * 100).otherwise(F.lit(0.0))
 
 
+def _only(results: DataFrame, key: str) -> DataFrame:
+    """The run of a key; running it fails where several runs have the key."""
+    row = F.struct(*results.columns)
+    one = results.where(F.col("model_key") == key).agg(F.count(F.lit(1)).alias("n"), F.max_by(row, "run_order").alias("r")).where("n > 0")
+    repeated = F.raise_error(F.concat(F.lit(f"several runs have the key {key}: "), F.col("n").cast("string")))
+    return one.select(F.when(F.col("n") == 1, F.col("r")).otherwise(repeated.cast(results.select(row.alias("r")).schema["r"].dataType)).alias("r")).select("r.*")
+
+
 def compare_runs(results: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """Two runs side by side per metric: values, difference, improvement
     of a over b, plus the training time difference."""
-    a = results.where(F.col("model_key") == key_a)
-    b = results.where(F.col("model_key") == key_b)
+    a, b = _only(results, key_a), _only(results, key_b)
     j = a.alias("a").crossJoin(b.alias("b"))  # one row on each side
     rows = []
     for m in METRICS:

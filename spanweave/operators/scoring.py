@@ -120,6 +120,43 @@ def prf_overall(matches: DataFrame, digits: int | None = 6) -> DataFrame:
     return _round(micro.unionByName(macro).unionByName(weighted), digits)
 
 
+METRIC_ROWS = "level string, name string, precision double, recall double, f1 double, support bigint"
+
+
+def metrics(gold: DataFrame, pred: DataFrame, sample_col: str = "doc_id", digits: int | None = 6) -> DataFrame:
+    """The whole report of predicted spans in one call: a row per type (level
+    ``type``) and the micro, macro and weighted averages (level ``average``).
+
+    Spans are matched by one grouping of both tables, and the types' and the
+    overall counts come from it together (grouping sets); the averages are made
+    of those few rows.  Spans are a set per sample; without any the averages
+    are 0."""
+    keys = [sample_col, *KEY]
+    sides = gold.select(*keys, F.lit(1).alias("g"), F.lit(0).alias("p")).union(pred.select(*keys, F.lit(0), F.lit(1)))
+    spans = sides.groupBy(*keys).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    counts = spans.groupingSets([[F.col("type")], []], "type").agg(
+        F.grouping("type").alias("all"), F.coalesce(F.sum(F.col("g") * F.col("p")), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum("p"), F.lit(0)).alias("n_pred"), F.coalesce(F.sum("g"), F.lit(0)).alias("support"))
+    scored = counts.select("all", "type", *_prf(F.col("tp"), F.col("n_pred"), F.col("support")), "support")
+    row = F.struct("type", "precision", "recall", "f1", F.col("support").cast("double").alias("support"))
+    few = scored.agg(F.collect_list(F.when(F.col("all") == 0, row)).alias("types"), F.max(F.when(F.col("all") == 1, row)).alias("micro"))
+    total = lambda f: F.aggregate("types", F.lit(0.0), lambda acc, x: acc + f(x))
+    over = lambda num, den: F.coalesce(F.try_divide(num, den), F.lit(0.0))
+    support, n = total(lambda x: x["support"]), F.size("types").cast("double")
+
+    def as_row(level: str, name, values: list, support) -> Column:
+        named = [v.alias(m) for v, m in zip(values, ("precision", "recall", "f1"))]
+        return F.struct(F.lit(level).alias("level"), name.alias("name"), *named, support.cast("bigint").alias("support"))
+
+    three = ("precision", "recall", "f1")
+    averages = F.array(
+        as_row("average", F.lit("micro avg"), [F.coalesce(F.col("micro")[m], F.lit(0.0)) for m in three], support),
+        as_row("average", F.lit("macro avg"), [over(total(lambda x, m=m: x[m]), n) for m in three], support),
+        as_row("average", F.lit("weighted avg"), [over(total(lambda x, m=m: x[m] * x["support"]), support) for m in three], support))
+    types = F.transform("types", lambda x: as_row("type", x["type"], [x[m] for m in three], x["support"]))
+    return _round(few.select(F.inline(F.concat(types, averages))), digits)
+
+
 def surface_sets(gold: DataFrame, pred: DataFrame, sample_col: str = "doc_id",
                  gold_surface: str = "name", pred_surface: str = "name") -> DataFrame:
     """``true & pred``, ``pred - true``, ``true - pred`` of distinct

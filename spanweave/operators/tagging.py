@@ -161,16 +161,9 @@ def mask_ignored(df: DataFrame, labels_col: str = "labels", preds_col: str = "pr
     return keep_if(out, F.size(labels_col) > 0)
 
 
-def ids_to_labels(ids: Column, vocab_map: Column) -> Column:
-    """P10: id -> label through a (broadcast, literal) map; unknown ids become
-    ``UNK-<id>``."""
-    return F.transform(ids, lambda i: F.coalesce(F.element_at(vocab_map, i),
-                                                 F.concat(F.lit("UNK-"), i.cast("string"))))
-
-
-def vocab_map(vocab: DataFrame) -> Column:
-    """The vocabulary as a literal map column: two labels per type, fixed by the
-    tag set of a model, so its size is bounded by that."""
-    rows = vocab.select("label_id", "label").collect()
-    return F.create_map(*[x for r in rows for x in (F.lit(int(r[0])), F.lit(r[1]))]) if rows \
-        else F.create_map().cast("map<int,string>")
+def ids_to_labels(df: DataFrame, vocab: DataFrame, ids_col: str, out_col: str = "labels") -> DataFrame:
+    """P10: id -> label; unknown ids become ``UNK-<id>``.  The vocabulary (two
+    labels per type of a model's tag set) is one row with a map, joined to all."""
+    names = vocab.agg(F.map_from_entries(F.collect_list(F.struct(F.col("label_id").cast("long"), "label"))).alias("_vocab"))
+    label = F.transform(ids_col, lambda i: F.coalesce(F.try_element_at("_vocab", i.cast("long")), F.concat(F.lit("UNK-"), i.cast("string"))))
+    return df.crossJoin(F.broadcast(names)).withColumn(out_col, label).drop("_vocab")

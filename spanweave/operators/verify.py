@@ -22,8 +22,7 @@ def distribution_diff(real: DataFrame, generated: DataFrame) -> DataFrame:
     in the generated set are not listed but count in its total."""
     g = generated_distribution(generated)
     r = real.select("type", F.col("ratio").alias("real_ratio"))
-    j = r.join(F.broadcast(g.select("type", F.col("n").alias("gen_n"), F.col("ratio").alias("gen_ratio"))),
-               "type", "left")
+    j = r.join(g.select("type", F.col("n").alias("gen_n"), F.col("ratio").alias("gen_ratio")), "type", "left")
     return j.select("type", "real_ratio", F.coalesce("gen_n", F.lit(0)).cast("bigint").alias("gen_n"),
                     F.coalesce("gen_ratio", F.lit(0.0)).alias("gen_ratio"),
                     (F.coalesce("gen_ratio", F.lit(0.0)) - F.col("real_ratio")).alias("diff"))

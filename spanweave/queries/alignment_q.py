@@ -107,5 +107,5 @@ SELECT CASE lid {_UNK} ELSE 'UNK-' || lid END AS label, CAST(count(*) AS BIGINT)
 def ids_to_labels(spark, sf):
     vocab = spark.createDataFrame([(i, lab) for i, lab in enumerate(KNOWN_LABELS)], "label_id int, label string")
     r = TG.mask_ignored(_rows(spark, sf).select("doc_id", F.col("gold_labels").alias("labels"), "preds"))
-    lab = r.select(F.explode(TG.ids_to_labels(F.col("preds"), TG.vocab_map(vocab))).alias("label"))
+    lab = TG.ids_to_labels(r, vocab, "preds", "names").select(F.explode("names").alias("label"))
     return lab.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -148,7 +148,7 @@ def row_text(spark, sf):
 
 
 _LINES = """lines AS (
-  SELECT doc_id * 100000 + pos AS line_id, line FROM (
+  SELECT doc_id * 1000000000 + pos AS line_id, line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents))"""
 _LRANK = """lr AS (SELECT line_id, line, row_number() OVER (ORDER BY md5(concat('42:', CAST(line_id AS VARCHAR))), line_id) AS rn,

@@ -15,7 +15,7 @@ MAX_LEN = 128
 _ENDS = "('。', '．', '.', '！', '!', '？', '?', '」', '』', chr(10))"
 
 _SEG_SQL = f"""WITH lines AS (
-  SELECT doc_id * 100000 + pos AS line_id, line, length(line) AS n FROM (
+  SELECT doc_id * 1000000000 + pos AS line_id, line, length(line) AS n FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
 pts AS (

@@ -49,22 +49,28 @@ def merge_run_sets(spark, sf):
 
 
 @register("comparison_table", _RES + """
-SELECT model_key AS "Model", round(precision, 6) AS "Precision", round(recall, 6) AS "Recall", round(f1, 6) AS "F1",
-       training_time AS "Training Time (s)" FROM ok""")
+SELECT CAST(row_number() OVER (ORDER BY f1 DESC, run_order) - 1 AS BIGINT) AS place, model_key AS "Model", model_name AS "Model Full Name",
+       round(f1, 6) AS "F1", round(precision, 6) AS "Precision", round(recall, 6) AS "Recall", round(accuracy, 6) AS "Accuracy",
+       training_time AS "Training Time (s)", n_train AS "Training Samples", n_test AS "Test Samples" FROM ok""")
 def comparison_table(spark, sf):
-    c = RF.comparison_table(RS.results(spark, sf))
-    return c.select("Model", *[F.round(x, 6).alias(x) for x in ("Precision", "Recall", "F1")], "Training Time (s)")
+    """The written file, read back: its rows are in order."""
+    path = scratch_path(spark, f"comparison-{uuid.uuid4().hex}")
+    r = RS.results(spark, sf)
+    RF.export_comparison(r, path)
+    back = spark.read.option("header", True).schema(RF.comparison_table(r).schema).csv(path)
+    place = F.monotonically_increasing_id().alias("place")   # one file, one task
+    return back.select(place, "Model", "Model Full Name", *[F.round(x, 6).alias(x) for x in ("F1", "Precision", "Recall", "Accuracy")],
+                       "Training Time (s)", "Training Samples", "Test Samples")
 
 
-@register("export_summary", _RES + "SELECT model_key, round(f1, 6) AS f1 FROM ok")
+@register("export_summary", _RES + """
+SELECT model_key, display_name, round(f1, 6) AS f1, training_time, n_train AS num_train_samples, n_test AS num_test_samples FROM fl WHERE status = 'success'""")
 def export_summary(spark, sf):
     path = scratch_path(spark, f"summary-{uuid.uuid4().hex}")
-    RF.export_summary(RN.summary_table(RN.successful_runs(RS.results(spark, sf))), path)
-    back = spark.read.option("header", True).schema(
-        "model_key string, display_name string, model_type string, use_crf boolean, is_large boolean, "
-        "family string, precision double, recall double, f1 double, training_time double, run_order int"
-    ).csv(f"{path}/csv")
-    return back.select("model_key", F.round("f1", 6).alias("f1"))
+    summary = RN.summary_table(RN.successful_runs(RS.results(spark, sf)))
+    RF.export_summary(summary, path)
+    back = spark.read.option("header", True).schema(summary.schema).csv(f"{path}/csv")
+    return back.select("model_key", "display_name", F.round("f1", 6).alias("f1"), "training_time", "num_train_samples", "num_test_samples")
 
 
 @register("stage_time_total", _RES + "SELECT model_key, training_time AS total_time FROM res")
@@ -77,15 +83,34 @@ def stage_time_total(spark, sf):
     return RN.stage_time_total(stages)
 
 
-@register("full_report", _RES + """
-SELECT t AS "table", CAST(n AS BIGINT) AS rows, c AS content FROM (
-  SELECT 'summary' AS t, count(*) AS n, md5(string_agg(model_key, ',' ORDER BY model_key)) AS c FROM ok
-  UNION ALL SELECT 'ranking_' || m, count(*), md5(string_agg(model_key, ',' ORDER BY model_key)) FROM ok, (SELECT unnest(['f1', 'precision', 'recall']) AS m) GROUP BY m
-  UNION ALL SELECT 'time_ranking', count(*), md5(string_agg(model_key, ',' ORDER BY model_key)) FROM ok
-  UNION ALL SELECT 'radar', count(*), md5(string_agg(type, ',' ORDER BY type)) FROM (SELECT DISTINCT type FROM rt)
-  UNION ALL SELECT 'best_per_type', count(*), md5(string_agg(type || ':' || model_key, ',' ORDER BY type)) FROM (
-    SELECT *, row_number() OVER (PARTITION BY type ORDER BY f1 DESC, run_order) AS rk FROM rt) WHERE rk = 1
-  UNION ALL SELECT 'pr_points', count(*), md5(string_agg(type || ':' || model_key, ',' ORDER BY type, model_key)) FROM rt)""")
+def _num(c: str) -> str:
+    return f"printf('%.6f', round({c}, 6))"
+
+
+def _digest(name: str, source: str, row: list[str], order: str) -> str:
+    return (f"SELECT '{name}' AS \"table\", count(*) AS rows, md5(string_agg(concat_ws('|', {', '.join(row)}), chr(10) ORDER BY {order})) AS content FROM {source}")
+
+
+_M3 = [_num(m) for m in ("precision", "recall", "f1")]
+_REPORT = [
+    _digest("summary", "(SELECT * FROM fl WHERE status = 'success')",
+            ["model_key", "display_name", "model_name", "model_type", "CAST(use_crf AS VARCHAR)", "CAST(is_large AS VARCHAR)", "family", *_M3,
+             _num("training_time"), "CAST(n_train AS VARCHAR)", "CAST(n_test AS VARCHAR)"], "f1 DESC, run_order"),
+    _digest("comparison", "ok", ["model_key", "model_name", *[_num(m) for m in ("f1", "precision", "recall", "accuracy", "training_time")],
+                                 "CAST(n_train AS VARCHAR)", "CAST(n_test AS VARCHAR)"], "f1 DESC, model_key"),
+    *[_digest(f"ranking_{m}", f"(SELECT *, row_number() OVER (ORDER BY {m} DESC, run_order) AS rank FROM ok)",
+              ["CAST(rank AS VARCHAR)", "model_key", _num(m)], "rank") for m in ("f1", "precision", "recall")],
+    _digest("time_ranking", "(SELECT *, row_number() OVER (ORDER BY training_time, run_order) AS rank FROM ok)",
+            ["CAST(rank AS VARCHAR)", "model_key", _num("training_time")], "rank"),
+    _digest("radar", "(SELECT type, " + ", ".join(f"coalesce(max(f1) FILTER (WHERE model_key = '{k}'), 0.0) AS \"{k}\"" for k in _OK_KEYS)
+            + " FROM rt GROUP BY type)", ["type", *[_num(f'"{k}"') for k in _OK_KEYS]], "type"),
+    _digest("best_per_type", "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY f1 DESC, run_order) AS rk FROM rt) WHERE rk = 1)",
+            ["type", "model_key", _num("f1")], "type"),
+    _digest("pr_points", "rt", ["type", "model_key", *_M3], "type, model_key"),
+]
+
+
+@register("full_report", _RES + "\nUNION ALL ".join(_REPORT))
 def full_report(spark, sf):
     path = scratch_path(spark, f"report-{uuid.uuid4().hex}")
     return report(RS.results(spark, sf), path, _OK_KEYS).select("table", "rows", "content")
@@ -96,13 +121,13 @@ ag AS (SELECT model_key, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
               sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
               sum(f1 * support) / sum(support) AS wf FROM rt GROUP BY model_key),
 fin AS (
-  SELECT r.model_key, r.run_order, r.precision, r.recall, r.f1, a.mp, a.mr, a.mf, a.wp, a.wr, a.wf FROM res r
+  SELECT r.model_key, r.run_order, r.precision, r.recall, r.f1, r.accuracy, a.mp, a.mr, a.mf, a.wp, a.wr, a.wf FROM res r
   LEFT JOIN ag a USING (model_key))
 SELECT model_key,
   round(CASE WHEN mp IS NULL THEN precision WHEN run_order % 2 = 0 THEN wp ELSE mp END, 6) AS precision,
   round(CASE WHEN mp IS NULL THEN recall WHEN run_order % 2 = 0 THEN wr ELSE mr END, 6) AS recall,
   round(CASE WHEN mp IS NULL THEN f1 WHEN run_order % 2 = 0 THEN wf ELSE mf END, 6) AS f1,
-  CAST(NULL AS DOUBLE) AS accuracy, CASE WHEN mp IS NULL THEN 'eval' ELSE 'stage' END AS source
+  round(accuracy, 6) AS accuracy, CASE WHEN mp IS NULL THEN 'eval' ELSE 'stage' END AS source
 FROM fin""")
 def final_stage_metrics(spark, sf):
     r = RS.results(spark, sf)
@@ -118,4 +143,4 @@ def final_stage_metrics(spark, sf):
                    .unionByName(weighted.join(even, "model_key", "left_semi").withColumn("stage", F.lit(2))))
     out = RN.final_stage_metrics(r, stages)
     return out.select("model_key", *[F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")],
-                      "accuracy", "source")
+                      F.round("accuracy", 6).alias("accuracy"), "source")

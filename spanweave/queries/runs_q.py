@@ -6,11 +6,37 @@ from pyspark.sql import functions as F
 
 from spanweave import oracle as O
 from spanweave.catalog import register
+from spanweave.functions import models as MD
 from spanweave.operators import runs as RN
 from spanweave.sources import runs as RS
 
+
+
+def _rules(key: str, name: str, crf: str) -> str:
+    """The name rules (F9, F10) as SQL columns."""
+    k, n = f"lower({key})", f"lower({name})"
+    llama = f"regexp_matches({k} || ' ' || {n}, 'llama|rinna|gpt-neox|elyza')"
+    bilstm = f"({k} LIKE '%bilstm%' OR {n} LIKE '%bilstm%')"
+    remote = f"regexp_matches({k}, 'chatgpt|claude|remote')"
+    large = f"({n} LIKE '%large%' OR {k} LIKE '%large%')"
+    return f"""({crf} OR {k} LIKE '%\\_crf%' ESCAPE '\\') AS use_crf, {large} AS is_large,
+         CASE WHEN {bilstm} THEN 'bilstm' WHEN {remote} THEN 'remote_llm' WHEN {llama} THEN 'llama' ELSE 'bert' END AS model_type,
+         {key} || CASE WHEN {large} AND {k} NOT LIKE '%large%' THEN '-large' ELSE '' END
+               || CASE WHEN {crf} AND NOT regexp_matches({k}, '[_-]crf') THEN '-crf' ELSE '' END
+               || CASE WHEN {bilstm} AND {k} NOT LIKE '%bilstm%' THEN ' [BiLSTM]'
+                       WHEN {llama} AND NOT regexp_matches({k}, 'llama|rinna') THEN ' [LLM]'
+                       WHEN {remote} AND {k} NOT LIKE '%remote%' THEN ' [API]' ELSE '' END AS display_name,
+         CASE WHEN {n} LIKE '%bert%' THEN
+                CASE WHEN {n} LIKE '%deberta%' THEN 'deberta' WHEN {n} LIKE '%roberta%' THEN 'roberta'
+                     WHEN {n} LIKE '%albert%' THEN 'albert' ELSE 'bert' END
+              WHEN {n} LIKE '%xlnet%' THEN 'xlnet' WHEN {n} LIKE '%luke%' THEN 'luke' WHEN {n} LIKE '%bilstm%' THEN 'bilstm'
+              WHEN regexp_matches({n}, 'rinna|gpt-neox') THEN 'rinna' WHEN regexp_matches({n}, 'elyza|llama') THEN 'llama'
+              WHEN regexp_matches({n}, 'gpt-4|chatgpt') THEN 'chatgpt' WHEN {n} LIKE '%claude%' THEN 'claude' WHEN {n} LIKE '%gpt%' THEN 'gpt'
+              ELSE substr(replace(string_split({name}, '/')[-1], '-', '_'), 1, 20) END AS family"""
+
+
 _C = O.cand_ctes()
-_RES = O.with_(_C, f"""runs AS (SELECT * FROM (VALUES {RS.runs_sql_values()}) t(model_key, model_name, drop_below, run_order))""", """rg AS (
+_RES = O.with_(_C, f"""runs AS (SELECT * FROM (VALUES {RS.runs_sql_values()}) t(model_key, model_name, drop_below, run_order, hp_crf))""", """rg AS (
   SELECT r.model_key, r.drop_below, g.doc_id, g.type, g.s, g.e,
          md5(r.model_key || ':' || CAST(g.doc_id AS VARCHAR) || ':' || CAST(g.s AS VARCHAR)) AS h
   FROM gold g CROSS JOIN runs r)""", """rp AS (
@@ -24,33 +50,19 @@ _RES = O.with_(_C, f"""runs AS (SELECT * FROM (VALUES {RS.runs_sql_values()}) t(
   SELECT model_key, type, count(*) FILTER (WHERE outcome = 'tp') AS tp,
          count(*) FILTER (WHERE outcome IN ('tp', 'fp')) AS n_pred, count(*) FILTER (WHERE outcome IN ('tp', 'fn')) AS support
   FROM rm GROUP BY model_key, type)""", f"""res AS (
-  SELECT r.model_key, r.model_name, r.run_order,
-         CASE WHEN r.model_key IN ('bilstm_crf') THEN 'failed' ELSE 'success' END AS status,
-         100.0 * (r.run_order + 5) + r.run_order AS training_time,
+  SELECT r.model_key, r.model_name || '-v' || CAST(t.tp % 7 AS VARCHAR) AS model_name, r.run_order, r.hp_crf,
+         CASE WHEN r.model_key IN ('bilstm_crf') THEN 'failed' ELSE 'success' END AS status, t.n_pred % 9 + 1 AS day,
+         CAST(t.n_pred AS DOUBLE) / 8 + (t.support - t.tp) % 1024 AS training_time,
+         CAST(floor((SELECT count(*) FROM documents) * 0.8::DOUBLE) AS BIGINT) AS n_train,
+         CAST((SELECT count(*) FROM documents) - floor((SELECT count(*) FROM documents) * 0.8::DOUBLE)
+              - floor((SELECT count(*) FROM documents) * 0.1::DOUBLE) AS BIGINT) AS n_test,
          {O.ratio('t.tp', 't.n_pred')} AS precision, {O.ratio('t.tp', 't.support')} AS recall,
-         {O.ratio('2 * t.tp', 't.n_pred + t.support')} AS f1
+         {O.ratio('2 * t.tp', 't.n_pred + t.support')} AS f1, {O.ratio('t.tp', 't.n_pred + t.support - t.tp')} AS accuracy
   FROM runs r JOIN (SELECT model_key, sum(tp) AS tp, sum(n_pred) AS n_pred, sum(support) AS support FROM rtc GROUP BY model_key) t
     USING (model_key))""", f"""ok AS (SELECT * FROM res WHERE status = 'success')""", f"""rt AS (
   SELECT c.model_key, o.run_order, c.type, {O.ratio('tp', 'n_pred')} AS precision, {O.ratio('tp', 'support')} AS recall,
          {O.ratio('2 * tp', 'n_pred + support')} AS f1, CAST(support AS BIGINT) AS support
-  FROM rtc c JOIN ok o USING (model_key))""", """fl AS (
-  SELECT *, model_key LIKE '%\\_crf%' ESCAPE '\\' AS use_crf,
-         (lower(model_name) LIKE '%large%' OR lower(model_key) LIKE '%large%') AS is_large,
-         CASE WHEN lower(model_key) LIKE '%bilstm%' OR lower(model_name) LIKE '%bilstm%' THEN 'bilstm'
-              WHEN lower(model_key) LIKE '%chatgpt%' OR lower(model_key) LIKE '%claude%' OR lower(model_key) LIKE '%remote%' THEN 'remote_llm'
-              WHEN regexp_matches(lower(model_key) || ' ' || lower(model_name), 'llama|rinna|gpt-neox|elyza') THEN 'llama'
-              ELSE 'bert' END AS model_type,
-         CASE WHEN lower(model_name) LIKE '%bert%' THEN
-                CASE WHEN lower(model_name) LIKE '%deberta%' THEN 'deberta' WHEN lower(model_name) LIKE '%roberta%' THEN 'roberta'
-                     WHEN lower(model_name) LIKE '%albert%' THEN 'albert' ELSE 'bert' END
-              WHEN lower(model_name) LIKE '%xlnet%' THEN 'xlnet' WHEN lower(model_name) LIKE '%luke%' THEN 'luke'
-              WHEN lower(model_name) LIKE '%bilstm%' THEN 'bilstm'
-              WHEN lower(model_name) LIKE '%rinna%' OR lower(model_name) LIKE '%gpt-neox%' THEN 'rinna'
-              WHEN lower(model_name) LIKE '%elyza%' OR lower(model_name) LIKE '%llama%' THEN 'llama'
-              WHEN lower(model_name) LIKE '%gpt-4%' OR lower(model_name) LIKE '%chatgpt%' THEN 'chatgpt'
-              WHEN lower(model_name) LIKE '%claude%' THEN 'claude' WHEN lower(model_name) LIKE '%gpt%' THEN 'gpt'
-              ELSE substr(replace(string_split(model_name, '/')[-1], '-', '_'), 1, 20) END AS family
-  FROM res)""")
+  FROM rtc c JOIN ok o USING (model_key))""", "fl AS (SELECT *, " + _rules("model_key", "model_name", "hp_crf") + " FROM res)")
 _R6 = "round({c}, 6) AS {c}"
 
 
@@ -105,13 +117,14 @@ def top_bottom_types(spark, sf):
 
 
 @register("summary_table", _RES + """
-SELECT model_key, model_key AS display_name, model_type, use_crf, is_large, family,
-       round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, training_time
+SELECT model_key, display_name, model_name, model_type, use_crf, is_large, family,
+       round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, training_time,
+       n_train AS num_train_samples, n_test AS num_test_samples
 FROM fl WHERE status = 'success'""")
 def summary_table(spark, sf):
     s = RN.summary_table(_ok(spark, sf))
-    return s.select("model_key", "display_name", "model_type", "use_crf", "is_large", "family",
-                    *_r6("precision", "recall", "f1"), "training_time")
+    return s.select("model_key", "display_name", "model_name", "model_type", "use_crf", "is_large", "family",
+                    *_r6("precision", "recall", "f1"), "training_time", "num_train_samples", "num_test_samples")
 
 
 @register("crf_split_topk", _RES + """
@@ -134,15 +147,27 @@ def time_ranking(spark, sf):
     return RN.time_ranking(_ok(spark, sf)).select("model_key", "training_time", F.col("rank").cast("bigint"))
 
 
-@register("model_family", _RES + "SELECT model_key, model_name, family FROM fl")
+_NAMES = f"""WITH h AS (
+  SELECT doc_id, regexp_extract(coalesce(text, ''), '^[A-Za-z]*') AS word, md5('name:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+m AS (SELECT [{", ".join(f"'{m}'" for m in RS.NAME_MARKS)}] AS marks),
+named AS (
+  SELECT doc_id, word || marks[CAST('0x' || substr(h, 1, 2) AS INTEGER) % {len(RS.NAME_MARKS)} + 1] AS model_key, substr(h, 7, 1) < '8' AS hp_crf,
+         'org/' || marks[CAST('0x' || substr(h, 3, 2) AS INTEGER) % {len(RS.NAME_MARKS)} + 1] || '-' || word
+                || marks[CAST('0x' || substr(h, 5, 2) AS INTEGER) % {len(RS.NAME_MARKS)} + 1] AS model_name FROM h, m)
+SELECT """ + "{cols} FROM (SELECT *, " + _rules("model_key", "model_name", "hp_crf") + " FROM named)"
+
+
+@register("model_family", _NAMES.replace("{cols}", "doc_id, model_name, family"))
 def model_family(spark, sf):
-    return RN.with_flags(RS.results(spark, sf)).select("model_key", "model_name", "family")
+    n = RS.model_names(spark, sf)
+    return n.select("doc_id", "model_name", MD.model_family(F.col("model_name")).alias("family"))
 
 
-@register("run_flags", _RES + "SELECT model_key, use_crf, is_large, model_type, model_key AS display_name FROM fl")
+@register("run_flags", _NAMES.replace("{cols}", "doc_id, model_key, use_crf, is_large, model_type, display_name"))
 def run_flags(spark, sf):
-    f = RN.with_flags(RS.results(spark, sf))
-    return f.select("model_key", "flags.use_crf", "flags.is_large", "flags.model_type", "flags.display_name")
+    n = RS.model_names(spark, sf)
+    f = n.withColumn("flags", MD.run_flags(F.col("model_key"), F.col("model_name"), F.col("use_crf")))
+    return f.select("doc_id", "model_key", "flags.use_crf", "flags.is_large", "flags.model_type", "flags.display_name")
 
 
 _CMP = _RES + """, a AS (SELECT * FROM res WHERE model_key = 'bert'), b AS (SELECT * FROM res WHERE model_key = 'bert_crf'),

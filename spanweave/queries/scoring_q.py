@@ -48,6 +48,12 @@ def prf_overall(spark, sf):
     return scoring.prf_overall(scoring.match_arrays(fx.annotated(spark, sf)))
 
 
+@register("metrics", _PRF_SQL.replace("SELECT type, tp, n_pred, support,", "SELECT 'type' AS level, type AS name, support,")
+          + "\nUNION ALL SELECT 'average', avg_type, support, precision, recall, f1 FROM (" + _OVERALL_SQL + ")")
+def metrics(spark, sf):
+    return scoring.metrics(fx.gold_rows(spark, sf), fx.pred_rows(spark, sf))
+
+
 @register("type_confusion", O.with_(_BASE) + """
 SELECT coalesce(g.type, 'NONE') AS gold_type, coalesce(p.type, 'NONE') AS pred_type, count(*) AS n
 FROM (SELECT DISTINCT doc_id, s, e, type FROM gold) g

@@ -75,6 +75,13 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def stamp(spark: SparkSession, path: str) -> str:
+    """What a file or folder looks like now: newest change, files, bytes."""
+    p, fs = _folder(spark, path)
+    files = list(fs.listStatus(p)) if fs.exists(p) else []
+    return f"{max((f.getModificationTime() for f in files), default=0)}-{len(files)}-{sum(f.getLen() for f in files)}"
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library wrote."""
     p, fs = _folder(spark, path)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from spanweave.functions.replies import py_strip
 from spanweave.sources.tables import spread, table
 
-LINE_ID_STRIDE = 100000
+LINE_ID_STRIDE = 1_000_000_000  # more lines than a text can have
+SPREAD = 10_000  # equal lines that one row stands for on its way to another task
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document: ``line_id = doc_id * 100000 + line_no``."""
+    """Lines of every document: ``line_id = doc_id * LINE_ID_STRIDE + line_no``."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     e = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
     return e.select((F.col("doc_id") * LINE_ID_STRIDE + F.col("pos")).alias("line_id"), "text")
@@ -36,7 +37,10 @@ def read_corpus_lines(spark: SparkSession, path: str, key: str = "aug") -> DataF
     if first is not None and first["json"]:
         lines = lines.select("file", val.alias("value")).where(py_strip(F.col("value")) != "")
     lines = lines.select("file", py_strip(F.col("value")).alias("text"))
-    # equal lines of a file are interchangeable: fold them, number them inside the row, spread them again
-    folded = lines.groupBy("file", "text").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    numbered = folded.select("file", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    # equal lines of a file are interchangeable: fold them and number them; a line
+    # that is very common goes on as many rows, dealt over the tasks
+    folded = lines.groupBy("file", "text").agg(F.count(F.lit(1)).alias("n"))
+    parts = folded.select("file", "text", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SPREAD))).alias("part"))
+    dealt = parts.repartition(F.xxhash64("file", "text", "part"))
+    numbered = dealt.select("file", "text", F.explode(F.sequence(F.col("part") * SPREAD, F.least(F.col("n"), (F.col("part") + 1) * SPREAD) - 1)).alias("i"))
     return numbered.select(F.xxhash64("file", "text", "i").alias("line_id"), "text")

@@ -19,6 +19,8 @@ window: the work is one pass over each document in the partition that read it.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,7 +136,8 @@ _TABLES: dict[tuple, str] = {}
 
 
 def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """Write a derived table once per application and read it back.
+    """Write a derived table once per application and state of the documents,
+    and read it back (``key``: name, folder of the tables, ...).
 
     Derived inputs (annotations, replies) are what a real deployment keeps on
     disk; writing them under the cluster's shared checkpoint folder cuts the
@@ -143,9 +146,9 @@ def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
     the interpreted lambdas of the operator under test).
     """
     import hashlib
-    from spanweave.session import scratch_path
+    from spanweave.session import scratch_path, stamp
     app = spark.sparkContext.applicationId
-    full = (app, *key)
+    full = (app, *key, stamp(spark, os.path.join(key[1], "documents.parquet")))
     path = _TABLES.get(full)
     if path is None:
         tag = hashlib.md5(repr(full).encode()).hexdigest()[:16]

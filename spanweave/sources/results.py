@@ -57,12 +57,17 @@ def merge_run_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def comparison_table(results: DataFrame) -> DataFrame:
-    """The comparison columns of successful runs under their report names."""
-    n = F.col("num_samples") if "num_samples" in results.columns else F.lit(None).cast("struct<train:long,val:long,test:long>")
-    return results.where("status = 'success'").select(
-        F.col("model_key").alias("Model"), F.col("model_name").alias("Model Name"), F.col("metrics.precision").alias("Precision"),
-        F.col("metrics.recall").alias("Recall"), F.col("metrics.f1").alias("F1"), F.col("metrics.accuracy").alias("Accuracy"),
-        F.col("training_time").alias("Training Time (s)"), n["train"].alias("Train Samples"), n["test"].alias("Test Samples"))
+    """The comparison report of successful runs, best F1 first (ties in
+    input order), under its column names."""
+    return results.where("status = 'success'").orderBy(F.desc("metrics.f1"), "run_order").select(
+        F.col("model_key").alias("Model"), F.col("model_name").alias("Model Full Name"), F.col("metrics.f1").alias("F1"),
+        F.col("metrics.precision").alias("Precision"), F.col("metrics.recall").alias("Recall"), F.col("metrics.accuracy").alias("Accuracy"),
+        F.col("training_time").alias("Training Time (s)"), F.col("num_samples.train").alias("Training Samples"), F.col("num_samples.test").alias("Test Samples"))
+
+
+def export_comparison(results: DataFrame, path: str) -> None:
+    """The comparison report as one CSV file in its order (a row per run)."""
+    comparison_table(results).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_summary(summary: DataFrame, path: str) -> None:

@@ -1,11 +1,12 @@
 """Run results derived from the annotated documents.
 
-Ten simulated model runs are scored against the gold annotations of every
+Simulated model runs, named so that every name rule applies, are scored against the gold annotations of every
 document.  Run k drops a gold span when ``md5('<key>:<doc>:<s>')`` starts
 below its threshold and relabels it to ``person`` when the third hex digit is
 ``0``.  Each run yields one RESULT row with micro metrics and per-type metrics;
-``bilstm_crf`` is recorded as a failed run.  The run fan-out happens inside
-each document row (an array of the ten runs), then counts are aggregated per
+``bilstm_crf`` is recorded as a failed run.  Times, stamps, versions in the names
+and sample counts follow the counted spans and documents.  The run fan-out
+happens inside each document row (an array of the runs), then counts are aggregated per
 (run, type) with map-side partial aggregation.
 """
 
@@ -18,30 +19,39 @@ from spanweave.operators.scoring import match_arrays
 from spanweave.sources import fixtures as fx
 from spanweave.sources.tables import table
 
-# Fixed run table: key, model name, drop threshold (2 hex digits), run id.
+# Fixed run table: key, model name, drop threshold (2 hex digits), run id, the CRF hyperparameter.
 RUNS = (
-    ("bert", "org/bert-base-model", "08", 0),
-    ("bert_crf", "org/bert-base-model", "10", 1),
-    ("bert_large", "org/bert-large-model", "18", 2),
-    ("roberta", "org/roberta-base-model", "20", 3),
-    ("luke", "org/luke-base-model", "28", 4),
-    ("albert", "org/albert-base-model", "30", 5),
-    ("deberta", "org/deberta-v2-base-model", "38", 6),
-    ("bilstm", "bilstm", "40", 7),
-    ("bilstm_crf", "bilstm", "48", 8),
-    ("remote-llm-a", "remote-llm-a", "50", 9),
+    ("bert", "org/bert-base-model", "08", 0, False),
+    ("bert_crf", "org/bert-base-model", "10", 1, True),
+    ("bert_large", "org/bert-large-model", "18", 2, False),
+    ("roberta", "org/roberta-base-model", "20", 3, False),
+    ("luke", "org/luke-base-model", "28", 4, True),
+    ("albert", "org/Albert-Large-model", "30", 5, True),
+    ("deberta", "org/deberta-v2-base-model", "38", 6, False),
+    ("bilstm", "bilstm", "40", 7, False),
+    ("bilstm_crf", "bilstm", "48", 8, True),
+    ("remote-llm-a", "remote-llm-a", "50", 9, False),
+    ("seq", "org/char-BiLSTM", "0c", 10, False),
+    ("xl-crf", "org/xlnet-base", "14", 11, True),
+    ("big", "org/gpt-neox-large", "1c", 12, False),
+    ("rinna", "org/rinna-3b", "24", 13, False),
+    ("local", "org/ELYZA-7b-Llama", "2c", 14, False),
+    ("chatgpt-5shot", "gpt-4-turbo", "34", 15, False),
+    ("claude", "claude-sonnet", "3c", 16, False),
+    ("small", "org/gpt2-medium", "44", 17, False),
+    ("own", "org/sub/Some-Other-Encoder-With-A-Long-Name", "4c", 18, False),
 )
 FAILED = ("bilstm_crf",)
 
 
 def runs_sql_values() -> str:
-    return ", ".join(f"('{k}', '{n}', '{d}', {i})" for k, n, d, i in RUNS)
+    return ", ".join(f"('{k}', '{n}', '{d}', {i}, {str(c).lower()})" for k, n, d, i, c in RUNS)
 
 
 def run_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``model_key, type, tp, n_pred, support`` for every run."""
     a = fx.annotated(spark, sf_dir).select("doc_id", "gold")
-    runs = F.array(*[F.struct(F.lit(k).alias("model_key"), F.lit(d).alias("drop_below")) for k, _, d, _ in RUNS])
+    runs = F.array(*[F.struct(F.lit(k).alias("model_key"), F.lit(d).alias("drop_below")) for k, _, d, *_ in RUNS])
     per = a.select("doc_id", "gold", F.explode(runs).alias("r"))
     h = "md5(concat(r.model_key, ':', CAST(doc_id AS STRING), ':', CAST(x.s AS STRING)))"
     pred = F.expr(f"transform(filter(gold, x -> substr({h}, 1, 2) >= r.drop_below), x -> named_struct("
@@ -75,6 +85,22 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.floor(F.col("day") / LOG_WAVE) + F.when(late, 2).otherwise(0)).cast("int").alias("wave"))
 
 
+NAME_MARKS = ("bert", "Roberta", "xlnet", "luke", "bilstm", "rinna", "gpt-neox", "elyza", "LLAMA", "gpt-4", "chatgpt", "claude", "gpt", "large",
+              "deberta", "albert", "remote", "_crf", "-crf", "")
+
+
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model key and name per document, made of its first word and of marks that
+    the id's hash picks: ``doc_id, model_key, model_name, use_crf``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]", 2)[0].alias("word"))
+    h = F.md5(F.concat(F.lit("name:"), F.col("doc_id").cast("string")))
+    marks = F.array(*[F.lit(m) for m in NAME_MARKS])
+    mark = lambda at: F.element_at(marks, F.conv(F.substring("h", at, 2), 16, 10).cast("int") % len(NAME_MARKS) + 1)
+    d = d.select("doc_id", "word", h.alias("h"))
+    return d.select("doc_id", F.concat("word", mark(1)).alias("model_key"), F.concat(F.lit("org/"), mark(3), F.lit("-"), "word", mark(5)).alias("model_name"),
+                    (F.substring("h", 7, 1) < "8").alias("use_crf"))
+
+
 def _ratio(n, d):
     return F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(0.0))
 
@@ -93,21 +119,23 @@ def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
     agg = per_type.groupBy("model_key").agg(F.map_from_entries(F.collect_list(F.struct("type", "m"))).alias("metrics_per_type"))
     micro = c.groupBy("model_key").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"),
                                        F.sum("support").alias("support"))
-    meta = spark.createDataFrame([(k, n, i) for k, n, _, i in RUNS], "model_key string, model_name string, run_order int")
-    j = F.broadcast(meta).join(micro, "model_key").join(agg, "model_key")
+    meta = spark.createDataFrame([(k, n, i, c) for k, n, _, i, c in RUNS], "model_key string, model_name string, run_order int, crf boolean")
+    docs = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("docs"))   # one row
+    j = F.broadcast(meta).join(micro, "model_key").join(agg, "model_key").crossJoin(F.broadcast(docs))
     failed = F.col("model_key").isin(*FAILED)
-    crf = F.col("model_key").endswith("_crf")
+    train, val = (F.floor(F.col("docs") * share).cast("long") for share in (0.8, 0.1))
     return j.select(
-        "model_name", "model_key",
+        F.concat("model_name", F.format_string("-v%d", F.col("tp") % 7)).alias("model_name"), "model_key",
         F.when(failed, "failed").otherwise("success").alias("status"),
-        F.format_string("2025010%d_120000", F.col("run_order") % 3 + 1).alias("timestamp"),
+        F.format_string("2025010%d_120000", F.col("n_pred") % 9 + 1).alias("timestamp"),
         F.concat(F.lit("runs/"), F.col("model_key")).alias("output_dir"),
-        F.to_json(F.struct(crf.alias("use_crf"), F.lit(16).alias("batch_size"))).alias("hyperparameters"),
-        (F.lit(100.0) * (F.col("run_order") + 5) + F.col("run_order")).alias("training_time"),
+        F.to_json(F.struct(F.col("crf").alias("use_crf"), F.lit(16).alias("batch_size"))).alias("hyperparameters"),
+        (F.col("n_pred") / F.lit(8.0) + (F.col("support") - F.col("tp")) % 1024).alias("training_time"),
+        F.struct(train.alias("train"), val.alias("val"), (F.col("docs") - train - val).alias("test")).alias("num_samples"),
         F.struct(_ratio(F.col("tp"), F.col("n_pred")).alias("precision"),
                  _ratio(F.col("tp"), F.col("support")).alias("recall"),
                  _ratio(2 * F.col("tp"), F.col("n_pred") + F.col("support")).alias("f1"),
-                 F.lit(None).cast("double").alias("accuracy")).alias("metrics"),
+                 _ratio(F.col("tp"), F.col("n_pred") + F.col("support") - F.col("tp")).alias("accuracy")).alias("metrics"),
         F.when(~failed, F.col("metrics_per_type")).alias("metrics_per_type"),
         F.when(failed, F.lit("simulated failure")).alias("error"),
         "run_order")

@@ -23,6 +23,6 @@ def test_argmax_mask_and_ids(spark):
                                                         [0.0, 0.0, 0.0]])], "labels array<int>, scores array<array<double>>")
     out = TG.mask_ignored(df.withColumn("preds", AL.argmax_labels(F.col("scores"))), "labels", "preds").first()
     assert out["labels"] == [1, 0] and out["preds"] == [1, 0]
-    m = F.create_map(F.lit(0), F.lit("O"))
-    got = df.select(TG.ids_to_labels(F.array(F.lit(0), F.lit(7)), m)).first()[0]
-    assert got == ["O", "UNK-7"]
+    vocab = spark.createDataFrame([(0, "O")], "label_id int, label string")
+    got = TG.ids_to_labels(df.withColumn("ids", F.array(F.lit(0), F.lit(7))), vocab, "ids").first()
+    assert got["labels"] == ["O", "UNK-7"] and got["ids"] == [0, 7]

@@ -8,9 +8,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from spanweave.functions import models
 from spanweave.functions import replies as R
-from spanweave.operators import sampling, tagging
+from spanweave.operators import fewshot, runs, sampling, scoring, tagging
 from spanweave.operators import parsing as P
+from spanweave.plans.report import _entry
+from spanweave.sources import corpus
 
 
 def jobs_of(spark, action):
@@ -92,3 +95,106 @@ def test_arrays_of_replies(spark):
     assert last[2] == named and last[4] == deep and last[7] == "[3]"
     got = P.parse_entities(df.where("i in (1, 2, 3)").withColumn("t", F.lit("a ] b [ c")), "r", "t", ["person"]).collect()
     assert [[(e.text, e.start, e.end) for e in x.entities] for x in got] == [[("a ] b [", 0, 7)]] * 3
+
+
+def typed(spark, n, types):
+    """Samples with sparse ids; every one has the type 'all'."""
+    few = F.transform(F.array(*[F.lit(t) for t in types]), lambda t: F.when(F.pmod(F.xxhash64("id", t), F.lit(3)) == 0, t))
+    ents = F.transform(F.concat(F.array(F.lit("all")), F.filter(few, lambda t: t.isNotNull())), lambda t: F.struct(t.alias("type")))
+    return spark.range(n).select((F.col("id") * F.col("id")).alias("sample_id"), ents.alias("entities"))
+
+
+def test_running_score_windows_are_bounded(spark):
+    df = typed(spark, 20_000, "ab")
+    per = fewshot.type_occurrences(df, rows_per_task=1000)
+    sizes = [r["count"] for r in per.groupBy("b", "type").count().collect()]
+    assert max(sizes) <= 1500 and len({r.b for r in per.select("b").distinct().collect()}) >= 20
+    got = {r.sample_id: r.score for r in fewshot.running_type_score(df, rows_per_task=1000).collect()}
+    seen, want = {}, {}
+    for r in sorted(df.collect()):
+        for e in r.entities:
+            seen[e.type] = seen.get(e.type, 0) + 1
+        want[r.sample_id] = sum(seen[e.type] for e in r.entities)
+    assert got == want
+
+
+def test_cover_over_many_type_sets(spark):
+    df = typed(spark, 3000, "abcdefghij").cache()
+    assert df.select(F.array_sort(F.transform("entities", lambda e: e["type"])).alias("t")).distinct().count() > 500
+    rows = sorted(df.collect())
+    score = {r.sample_id: r.score for r in fewshot.running_type_score(df).collect()}
+    freq = {}
+    for r in rows:
+        for e in r.entities:
+            freq[e.type] = freq.get(e.type, 0) + 1
+    covered, want = set(), []
+    for t in sorted(freq, key=lambda t: (-freq[t], t)):
+        if t not in covered and len(want) < 6:
+            pick = min((r for r in rows if t in {e.type for e in r.entities}), key=lambda r: (-score[r.sample_id], r.sample_id))
+            want.append(pick.sample_id)
+            covered |= {e.type for e in pick.entities}
+    got = fewshot.few_shot_stratified(df, 6).collect()
+    assert sorted(r.sample_id for r in got if r.phase == "cover") == sorted(want) and len(got) == 6
+
+
+def test_a_very_common_line_is_dealt_over_tasks(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("same line\n" * 1_000_000 + "other\n")
+    lines = corpus.read_corpus_lines(spark, str(tmp_path / "c.txt"))
+    assert lines.select("line_id").distinct().count() == 1_000_001
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 4 and max(tasks) < 500_000
+
+
+def test_line_ids_of_long_documents_differ(spark):
+    assert corpus.LINE_ID_STRIDE > 2**29
+
+
+SPANS = "doc_id long, type string, s int, e int"
+
+
+def test_metrics_equal_the_two_reports(spark):
+    gold = [(1, "a", 0, 2), (1, "b", 3, 4), (1, "b", 3, 4), (2, "a", 0, 1), (None, "c", 0, 1)]
+    pred = [(1, "a", 0, 2), (1, "b", 3, 5), (2, "a", 0, 1), (2, "d", 7, 9)]
+    for g, p in ((gold, pred), (gold, []), ([], []), ([], pred)):
+        g, p = spark.createDataFrame(g, SPANS), spark.createDataFrame(p, SPANS)
+        rows = scoring.metrics(g, p).collect()
+        m = scoring.span_match(g.where("doc_id is not null"), p) if g.where("doc_id is null").isEmpty() else None
+        if m is not None:
+            per = {(r.type, r.precision, r.recall, r.f1, r.support) for r in scoring.prf_by_type(m).collect()}
+            assert {tuple(r)[1:] for r in rows if r.level == "type"} == per
+            assert [tuple(r)[1:] for r in rows if r.level == "average"] == [tuple(r) for r in scoring.prf_overall(m).collect()]
+    plan = scoring.metrics(g, p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(doc_id") == 1  # the spans move once
+
+
+def test_a_swapped_rank_changes_the_digest(spark):
+    rows = [(1, "x", 0.9), (2, "y", 0.8), (3, "z", 0.7)]
+    digest = lambda rows: _entry("t", spark.createDataFrame(rows, "rank int, model_key string, f1 double"), ["rank"]).first().content
+    assert digest(rows) == digest(rows[::-1])
+    assert digest(rows) != digest([(1, "y", 0.8), (2, "x", 0.9), (3, "z", 0.7)])
+    assert digest(rows) != digest([(1, "x", 0.9), (2, "y", 0.81), (3, "z", 0.7)])
+
+
+RESULTS = "model_key string, run_order int, training_time double, metrics struct<precision:double,recall:double,f1:double>"
+
+
+def test_repeated_run_keys_fail(spark):
+    rows = [("a", 0, 1.0, (0.5, 0.5, 0.5)), ("b", 1, 2.0, (0.4, 0.4, 0.4)), ("b", 2, 2.0, (0.4, 0.4, 0.4))]
+    df = spark.createDataFrame(rows, RESULTS)
+    with pytest.raises(Exception, match="several runs have the key b"):
+        runs.compare_runs(df, "a", "b").collect()
+    assert len(runs.compare_runs(df.where("run_order < 2"), "a", "b").collect()) == 4
+    assert runs.compare_runs(df, "a", "none").collect() == []
+
+
+@pytest.mark.parametrize("key,name,crf,shown", [
+    ("m", "org/bert-large", False, "m-large"), ("m", "org/bert", True, "m-crf"), ("m-crf", "org/bert", True, "m-crf"), ("m_CRF", "x", False, "m_CRF"),
+    ("m", "char-BiLSTM", False, "m [BiLSTM]"), ("neo", "org/gpt-neox", False, "neo [LLM]"), ("rinna", "x", False, "rinna"),
+    ("claude", "c", False, "claude [API]"), ("remote-1", "c", False, "remote-1"), ("m", "large-llama", True, "m-large-crf [LLM]"), (None, None, None, "")])
+def test_display_names(spark, key, name, crf, shown):
+    df = spark.createDataFrame([(key, name, crf)], "k string, n string, c boolean")
+    assert df.select(models.run_flags(F.col("k"), F.col("n"), F.col("c")).alias("f")).first().f.display_name == shown
