@@ -2,20 +2,28 @@
 
 A line is reduced to its tokens (runs of blanks are one separator); tokens with
 a digit are masked.  The tree has a fixed depth: a leaf is the token count and
-the first ``DEPTH`` masked tokens.  Inside a leaf the remaining fields are
-generalised: a token that no other distinct line of the leaf has at its place
-is a variable field, and a line whose constant share reaches ``SHARE`` belongs
-to the template with those fields masked; any other line is its own template.
+the first ``DEPTH`` masked tokens.  Inside a leaf a place is looked at as a
+whole, over its distinct lines: the most frequent value of every place makes
+the leaf's template, and every line that agrees with it in ``SHARE`` of the
+places belongs to it; where such a line differs stands a variable field,
+however often its values repeat.  The lines that are left go on as a leaf of
+their own.  A leaf without two lines of its template is split at the place with
+the fewest values, where two or more lines share a value on average (several
+kinds of lines are mixed there); a leaf that can't be split is done.  So every
+round takes lines away or splits leaves, until no leaf is left.
+
 Lines of which fewer tokens than ``SHARE`` are left by the masking (rows of
 numbers) say too little to stand for each other: they are equal only as written.
 A template recurs when its lines stand in ``MIN_DOCS`` documents (short
 templates, under ``SHORT`` tokens: ``SHORT_DOCS``).  Of a recurring template
 the first line (by document id, then place) stays and all others are dropped.
 
-Work is linear in the lines: identical masked lines are folded before any token
-is looked at, tokens are only spread out for leaves with several distinct
-lines, and every aggregate combines on the map side, so a line that stands in a
-third of all documents costs no task more than the others.
+Texts are masked once; lines are written with their masked text.  Identical
+masked lines are folded before any token is looked at, tokens are only spread
+out for leaves with several distinct lines, and every aggregate combines on the
+map side.  What is decided is decided per distinct line; lines that stand more
+than ``HOT`` times (at most one in ``HOT`` of all lines) are found by a
+broadcast of those, so no task gets all of a common line.
 
 Defined results: lines under ``MIN_TOKENS`` tokens (blank ones too) are never
 dropped; null and empty texts come back as they are; rows equal in id and text
@@ -25,13 +33,16 @@ table stays empty; other columns are ignored by the decision.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import maybe_member, row_key, stored, table
+from spanweave.llm.common import row_key, stored, table
 
 DEPTH, SHARE = 4, 0.8
 MIN_DOCS, SHORT, SHORT_DOCS, MIN_TOKENS = 2, 8, 5, 3
+HOT = 10_000
 OTHER_BLANKS = ("\t", "\r", "\f")
 DIGIT_TOKEN = "(^|[ \\n])[^ 0-9\\n]*[0-9][^ \\n]*"
 
@@ -57,55 +68,90 @@ def _bare(m: str, n: str) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Masked lines: ``k, doc_id, pos, m, n, leaf, lh, raw`` (``raw``: identity of
-    the line as written, where masking leaves too little of it).  Texts are masked whole,
-    below the generator, so that no pushed-down condition repeats that work."""
+    """Lines: ``k, doc_id, pos, n, leaf, lh`` (identity of the masked line, or of
+    the line as written where masking leaves too little of it) and ``m``, the
+    masked line where it can be of a template with variable fields.  Texts are
+    masked whole, below the generator, so that no pushed-down condition repeats
+    that work."""
     text = F.col("text").cast("string")
     written = F.when(text.rlike("[0-9]"), F.split(_plain(text), "\n", -1)).otherwise(F.array().cast("array<string>"))
     both = F.arrays_zip(F.split(_masked(text), "\n", -1).alias("m"), written.alias("w"))
     lines = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(both).alias("pos", "x"))
-    lines = lines.select("k", "doc_id", "pos", F.trim("x.m").alias("m"), F.trim("x.w").alias("w"))
+    lines = lines.select("k", "doc_id", "pos", F.trim("x.m").alias("m"), F.trim(F.coalesce("x.w", "x.m")).alias("w"))
     n = F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1
-    lines = lines.select("*", n.alias("n")).where(F.col("n") >= MIN_TOKENS)
-    return lines.select("*", F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("m", " ", DEPTH)))).alias("leaf"),
-                        F.unhex(F.md5("m")).alias("lh"), F.when(_bare("m", "n"), F.unhex(F.md5(F.concat(F.lit("raw "), "w")))).alias("raw"))
-
-
-def _generalised(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Templates of lines with variable fields: ``lh, template``.  Tokens are only
-    spread out for the lines of leaves with several distinct lines, and a bitmap
-    of bounded size keeps the other lines from being shuffled."""
-    wide = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("leaf")
-    wide = stored(wide, "wide-leaves")
-    full = maybe_member(_lines(docs).where(F.col("n") > DEPTH).select("lh", "leaf", "n", "m"), wide, "leaf").join(wide, "leaf")
-    full = stored(full.groupBy("lh", "leaf", "n").agg(F.min("m").alias("m")), "wide-lines")
-    tokens = full.select("lh", "leaf", "n", _bare("m", "n").alias("bare"), F.posexplode(F.split("m", " ", -1)).alias("at", "token"))
-    place = ["leaf", "at", "token"]
-    constant = tokens.groupBy(*place).agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select(*place, F.lit(1).alias("same"))
-    marked = tokens.join(constant, place, "left")
-    whole = marked.groupBy("lh", "leaf").agg(
-        F.sort_array(F.collect_list(F.struct("at", F.when(F.col("same") == 1, F.col("token")).otherwise("<*>").alias("token")))).alias("t"),
-        F.count("same").alias("constant"), F.first("n").alias("n"), F.first("bare").alias("bare"))
-    body = F.array_join(F.transform("t", lambda x: x["token"]), " ")
-    return (whole.where((F.col("constant") >= F.ceil(F.lit(SHARE) * F.col("n"))) & ~F.col("bare"))
-                 .select("lh", F.unhex(F.md5(F.concat(F.lit("template "), body))).alias("template")))
+    lines = lines.select("*", n.alias("n")).where(F.col("n") >= MIN_TOKENS).withColumn("bare", _bare("m", "n"))
+    leaf = F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), F.substring_index("m", " ", DEPTH))))
+    own = F.unhex(F.md5(F.when(F.col("bare"), F.concat(F.lit("raw "), "w")).otherwise(F.concat(F.lit("line "), "m"))))
+    return lines.select("k", "doc_id", "pos", "n", leaf.alias("leaf"), own.alias("lh"), F.when(~F.col("bare") & (F.col("n") > DEPTH), F.col("m")).alias("m"))
+
+
+def _split_leaf(*parts: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts])))
+
+
+def _round(active: DataFrame) -> DataFrame:
+    """One look at every leaf: lines with ``ok`` (they agree with the template)
+    and ``matched`` (how many of the leaf do), and where to split the leaf."""
+    place = ["leaf", "at"]
+    values = active.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy(*place, "token").agg(F.count(F.lit(1)).alias("c"))
+    places = values.groupBy(*place).agg(F.max(F.struct("c", "token"))["token"].alias("mode"), F.count(F.lit(1)).alias("values"), F.sum("c").alias("lines"))
+    few = F.when((F.col("values") > 1) & (2 * F.col("values") <= F.col("lines")), F.struct("values", "at"))
+    leaves = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "mode"))).alias("modes"), F.min(few)["at"].alias("split"))
+    joined = active.join(leaves, "leaf")
+    agree = F.size(F.filter(F.zip_with("tokens", "modes", lambda t, m: t == m["mode"]), lambda x: x))
+    ok = agree >= F.ceil(F.lit(SHARE) * F.size("tokens"))
+    judged = joined.select("lh", "leaf", "tokens", "split", ok.alias("ok"))
+    matched = judged.groupBy("leaf").agg(F.count_if("ok").alias("matched"))
+    return judged.join(matched, "leaf")
+
+
+def _generalised(lines: DataFrame, distinct: DataFrame) -> DataFrame | None:
+    """Templates of lines with variable fields: ``lh, template``."""
+    wide = stored(distinct.where("general").groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("leaf"), "wide-leaves")
+    body = lines.where(F.col("m").isNotNull()).join(wide, "leaf", "left_semi").groupBy("lh", "leaf").agg(F.min("m").alias("m"))
+    active = stored(body.select("lh", "leaf", F.split("m", " ", -1).alias("tokens")), "wide-lines")
+    found = []
+    while not active.isEmpty():
+        judged = stored(_round(active), "judged-lines")
+        found.append(judged.where("ok and matched > 1").select("lh", _split_leaf(F.lit("template"), F.hex("leaf")).alias("template")))
+        left = judged.where("not (ok and matched > 1) and (matched > 1 or split is not null)")
+        leaf = F.when(F.col("matched") > 1, _split_leaf(F.hex("leaf"), F.lit("rest"))).otherwise(
+            _split_leaf(F.hex("leaf"), F.col("split"), F.try_element_at("tokens", F.col("split") + 1)))
+        left = stored(left.select("lh", leaf.alias("leaf"), "tokens"), "leaf-lines")
+        several = left.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("leaf")
+        active = stored(left.join(several, "leaf", "left_semi"), "wide-lines")
+    return reduce(DataFrame.union, found) if found else None
+
+
+def _of_lines(lines: DataFrame, decided: DataFrame) -> DataFrame:
+    """Lines with what was decided for their ``lh`` (``decided`` has ``rows``, how
+    often the line stands)."""
+    hot = F.broadcast(decided.where(F.col("rows") > HOT).drop("rows"))
+    common = lines.join(hot, "lh")
+    return common.union(lines.join(hot.select("lh"), "lh", "left_anti").join(decided.where(F.col("rows") <= HOT).drop("rows"), "lh"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """Lines to drop: ``k, pos`` (``k`` is the document's row key)."""
-    light = stored(_lines(docs).select("k", "doc_id", "pos", "n", "leaf", "lh", "raw"), "line-keys")
-    distinct = stored(light.groupBy("lh", "raw").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("rows")), "distinct-lines")
-    general = _generalised(docs, distinct)
-    # a line that stands alone and has no variable field can't recur
-    again = distinct.where("rows > 1").select(F.coalesce("raw", "lh").alias("lh")).join(general, "lh", "full_outer").select("lh", F.coalesce("template", "lh").alias("template"))
-    again = stored(again, "line-candidates")
-    lines = maybe_member(light.select("k", "doc_id", "pos", "n", F.coalesce("raw", "lh").alias("lh")), again, "lh").join(again, "lh").drop("lh")
-    lines = stored(lines, "line-templates")
+    lines = stored(_lines(docs), "masked-lines")
+    light = lines.drop("m")
+    distinct = stored(lines.groupBy("lh").agg(F.first("leaf").alias("leaf"), F.max(F.col("m").isNotNull()).alias("general"),
+                                              F.count(F.lit(1)).alias("rows")), "distinct-lines")
+    general = _generalised(lines, distinct)
+    # a line that stands alone and is of no template can't recur
+    if general is None:
+        decided = distinct.where("rows > 1").select("lh", "rows", F.col("lh").alias("template"))
+    else:
+        decided = distinct.select("lh", "rows").join(general, "lh", "left").where("rows > 1 or template is not null") \
+            .select("lh", "rows", F.coalesce("template", "lh").alias("template"))
+    decided = stored(decided, "line-candidates")
+    some = stored(_of_lines(light.select("k", "doc_id", "pos", "n", "lh"), decided), "line-templates")
     first = F.min(F.struct("doc_id", "k", "pos")).alias("first")
-    per_doc = lines.groupBy("template", "k").agg(first, F.first("n").alias("n"))
+    per_doc = some.groupBy("template", "k").agg(first, F.first("n").alias("n"))
     recurring = (per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"), F.first("n").alias("n"))
                  .where(F.col("docs") >= F.when(F.col("n") < SHORT, SHORT_DOCS).otherwise(MIN_DOCS)).select("template", "first"))
-    return lines.join(recurring, "template").where((F.col("k") != F.col("first.k")) | (F.col("pos") != F.col("first.pos"))).select("k", "pos")
+    drop = stored(decided.join(recurring, "template").select("lh", "rows", "first"), "recurring-lines")
+    return _of_lines(some.select("k", "pos", "lh"), drop).where((F.col("k") != F.col("first.k")) | (F.col("pos") != F.col("first.pos"))).select("k", "pos")
 
 
 def drop_templates(docs: DataFrame) -> DataFrame:
@@ -129,26 +175,46 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_templates(docs).select("doc_id", "text", "lines_kept", "lines_dropped")
 
 
+SQL_ROUNDS = 4  # as many as the SQL writes out; the operator goes on until no leaf is left
+
+
+def _round_sql(i: int) -> str:
+    """Leaves of round ``i`` (``act{i}``: leaf, n, m, toks) judged; ``act{i + 1}``: what is left."""
+    return f"""
+val{i} AS (SELECT leaf, spot, token, count(*) AS c FROM (
+  SELECT leaf, unnest(toks) AS token, generate_subscripts(toks, 1) AS spot FROM act{i}) GROUP BY ALL),
+plc{i} AS (SELECT leaf, spot, max({{'c': c, 'token': token}}).token AS mode, count(*) AS vals, sum(c) AS lines FROM val{i} GROUP BY leaf, spot),
+lf{i} AS (SELECT leaf, list(mode ORDER BY spot) AS modes, min(CASE WHEN vals > 1 AND 2 * vals <= lines THEN {{'v': vals, 's': spot}} END).s AS cut FROM plc{i} GROUP BY leaf),
+jd{i} AS (
+  SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY leaf) AS matched FROM (
+    SELECT a.*, l.cut, len(list_filter(list_zip(a.toks, l.modes), lambda z: z[1] = z[2])) >= ceil({SHARE} * len(a.toks)) AS ok FROM act{i} a JOIN lf{i} l USING (leaf))),
+act{i + 1} AS (
+  SELECT leaf, m, toks FROM (
+    SELECT *, count(*) OVER (PARTITION BY leaf) AS lines FROM (
+      SELECT CASE WHEN matched > 1 THEN leaf || '/rest' ELSE leaf || '/' || cut || '=' || toks[cut] END AS leaf, m, toks
+      FROM jd{i} WHERE NOT (ok AND matched > 1) AND (matched > 1 OR cut IS NOT NULL))) WHERE lines > 1),"""
+
+
 _LINES_SQL = f"""
 lines AS (
-  SELECT doc_id, pos, m, array_length(string_split(m, ' ')) AS n FROM (
-    SELECT doc_id, pos, regexp_replace(trim(regexp_replace(line, '[ \\t\\r\\f]+', ' ', 'g')), '(^| )[^ 0-9]*[0-9][^ ]*', '\\1<*>', 'g') AS m
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents))
-),
-deep AS (SELECT doc_id, pos, m, n, n || ' ' || array_to_string(string_split(m, ' ')[1:{DEPTH}], ' ') AS leaf FROM lines WHERE n >= {MIN_TOKENS}),
-one AS (SELECT DISTINCT leaf, n, m FROM deep),
-tok AS (SELECT leaf, n, m, unnest(string_split(m, ' ')) AS token, generate_subscripts(string_split(m, ' '), 1) AS spot FROM one WHERE n > {DEPTH}),
-con AS (SELECT leaf, spot, token FROM tok GROUP BY ALL HAVING count(*) > 1),
-tpl AS (
-  SELECT t.leaf, t.m, string_agg(CASE WHEN c.token IS NULL THEN '<*>' ELSE t.token END, ' ' ORDER BY t.spot) AS body
-  FROM tok t LEFT JOIN con c ON t.leaf = c.leaf AND t.spot = c.spot AND t.token = c.token
-  GROUP BY t.leaf, t.m, t.n HAVING count(c.token) >= ceil({SHARE} * t.n)
+  SELECT doc_id, pos, w, m, toks, len(toks) AS n, len(list_filter(toks, lambda t: t = '<*>')) AS masks FROM (
+    SELECT doc_id, pos, w, m, string_split(m, ' ') AS toks FROM (
+      SELECT doc_id, pos, w, regexp_replace(w, '(^| )[^ 0-9]*[0-9][^ ]*', '\\1<*>', 'g') AS m FROM (
+        SELECT doc_id, pos, trim(regexp_replace(line, '[ \\t\\r\\f]+', ' ', 'g')) AS w
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents))))
 ),
-named AS (
-  SELECT d.doc_id, d.pos, d.n, CASE WHEN p.body IS NULL THEN 'line ' || d.m ELSE 'template ' || p.body END AS template
-  FROM deep d LEFT JOIN tpl p ON d.leaf = p.leaf AND d.m = p.m
+deep AS (
+  SELECT doc_id, pos, m, toks, n, masks > 0 AND n - masks < ceil({SHARE} * n) AS bare,
+         CASE WHEN masks > 0 AND n - masks < ceil({SHARE} * n) THEN 'raw ' || w ELSE 'line ' || m END AS own,
+         n || ' ' || array_to_string(toks[1:{DEPTH}], ' ') AS leaf
+  FROM lines WHERE n >= {MIN_TOKENS}
 ),
-rec AS (
+act0 AS (SELECT leaf, m, toks FROM (SELECT *, count(*) OVER (PARTITION BY leaf) AS lines FROM (
+  SELECT DISTINCT leaf, m, toks FROM deep WHERE NOT bare AND n > {DEPTH})) WHERE lines > 1),"""
+_LINES_SQL += "".join(_round_sql(i) for i in range(SQL_ROUNDS)) + """
+tpl AS (""" + " UNION ALL ".join(f"SELECT m, 'template ' || leaf AS template FROM jd{i} WHERE ok AND matched > 1" for i in range(SQL_ROUNDS)) + """),
+named AS (SELECT d.doc_id, d.pos, d.n, coalesce(p.template, d.own) AS template FROM deep d LEFT JOIN tpl p ON NOT d.bare AND d.m = p.m),
+""" + f"""rec AS (
   SELECT template, min(doc_id) AS first_doc FROM named GROUP BY template
   HAVING count(DISTINCT doc_id) >= CASE WHEN min(n) < {SHORT} THEN {SHORT_DOCS} ELSE {MIN_DOCS} END
 ),

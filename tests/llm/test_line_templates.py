@@ -1,3 +1,8 @@
+import random
+
+import duckdb
+import pandas as pd
+
 from spanweave.llm import line_templates as L
 
 
@@ -46,3 +51,50 @@ def test_rows_of_numbers_stay(spark):
     line = "the backup of all tables ended well after {} seconds"
     got = run(spark, [(1, rows[0]), (2, rows[0].replace(" ", "  ")), (3, line.format(17)), (4, line.format(18))])
     assert [r[3] for r in got] == [0, 1, 0, 1]
+
+
+JOB = "service started job for {} on host {} at noon today ok"
+GRID = [JOB.format(u, h) for u in ("alice", "bob", "carol") for h in ("red", "blue", "green")]
+OTHER = [f"service started job for {a} reasons nobody could {b} in this {a} {b}" for a, b in zip("pqrstu", "uvwxyz")]
+WORDS = ["service started job for " + " ".join(random.Random(i).choices("abcdefghijklmn", k=7)) for i in range(30)]
+
+
+def dropped(spark, lines):
+    return {lines[r[0]] for r in run(spark, list(enumerate(lines))) if r[3]}
+
+
+def test_values_may_repeat(spark):
+    assert len(dropped(spark, GRID)) == 8
+    assert len(dropped(spark, [JOB.format(f"user{c}", f"host{c}") for c in "abcdefghi"])) == 8
+
+
+def test_more_lines_never_lower_what_is_dropped(spark):
+    few = [JOB.format("alice", "red"), JOB.format("bob", "blue"), JOB.format("carol", "green")]
+    before = len(dropped(spark, few))
+    assert before == 2
+    for more in (GRID, GRID * 2, OTHER, WORDS, OTHER + WORDS, GRID + OTHER + WORDS):
+        rows = few + list(more)
+        got = run(spark, list(enumerate(rows)))
+        assert sum(r[3] for r in got if rows[r[0]] in few) >= before, more
+    # two kinds of lines in one leaf, as many of each
+    mixed = [line for pair in zip(GRID, [f"service started job for {u} was not found in {h} at all" for u in ("x", "y", "z") for h in ("k", "l", "m")]) for line in pair]
+    assert sum(r[3] for r in run(spark, list(enumerate(mixed)))) == 16
+
+
+def test_common_lines_by_broadcast(spark, monkeypatch):
+    rows = [(i, f"{LONG}\nown line number {'abcdefghij'[i % 10] * (i // 10 + 1)} of this text here") for i in range(40)]
+    want = run(spark, rows)
+    monkeypatch.setattr(L, "HOT", 5)
+    assert run(spark, rows) == want and sum(r[3] for r in want) >= 39
+
+
+def test_sql_holds_every_rule(spark):
+    rows = ["12 7.5 2024-01-01 88 19 22 41 7", "99 1.2 2019-03-07 11 12 13 14 15", "12  7.5 2024-01-01 88 19 22 41 7", "a <*> b c <*>", "a <*> b c <*>", None, "",
+            "run 1 took 5 s and 3 MB here", "run 2 took 6 s and 4 MB there", f"{LONG}\n\n{LONG}", "the backup of all tables ended well after 17 seconds",
+            "the backup of all tables ended well after 18 seconds"] + GRID + OTHER + WORDS + [line.replace("started", "ended") for line in GRID[::2]]
+    docs = pd.DataFrame({"doc_id": range(len(rows)), "text": rows})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = sorted(con.sql(L.ORACLE_SQL).fetchall())
+    got = L.drop_templates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r.lines_kept, r.lines_dropped) for r in got) == want
