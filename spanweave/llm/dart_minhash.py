@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import column, maybe_member, row_key, stored, table, text_slices
+from spanweave.llm.common import column, row_key, stored, table, text_slices
 from spanweave.llm.components import components
 from spanweave.llm.wording import mix, unit, weighted_cells, words
 
@@ -203,7 +203,7 @@ def class_texts(wanted: DataFrame, docs: DataFrame, classes: DataFrame, name: st
     """``ck, text``: the whole text of one document of each wanted class."""
     reps = stored(classes.select("ck", F.col("rep.k").alias("k")).join(wanted, "ck"), f"{name}-wanted")
     rows = docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text"))
-    return stored(maybe_member(rows, reps, "k").join(reps, "k").select("ck", "text"), f"{name}-texts")
+    return stored(rows.join(reps, "k").select("ck", "text"), f"{name}-texts")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
@@ -216,16 +216,20 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct cells of a slice's classes, how many hold each, and one of those:
+    what near copies share goes on once a slice."""
     for batch, texts in text_slices(batches, limit=SLICE):
         cells, offsets = weighted_cells(texts.to_pylist(), SHINGLE)
-        yield pa.RecordBatch.from_arrays([column(batch, "ck").cast(pa.binary()), pa.ListArray.from_arrays(
-            pa.array(offsets.astype(np.int32)), pa.array(cells.view(np.int64)))], ["ck", "cells"])
+        cell, first, count = np.unique(cells, return_index=True, return_counts=True)
+        owner = np.searchsorted(offsets, first, "right") - 1
+        yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(count.astype(np.int64)),
+                                          column(batch, "ck").cast(pa.binary()).take(pa.array(owner))], ["cell", "c", "ck"])
 
 
 def _alone(texts: DataFrame) -> DataFrame:
     """``ck, u``: weight that no other of these classes shares."""
-    cells = texts.mapInArrow(_cells, "ck binary, cells array<long>").select("ck", F.explode("cells").alias("cell"))
-    once = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min("ck").alias("ck")).where("c = 1")
+    cells = texts.mapInArrow(_cells, "cell long, c long, ck binary")
+    once = cells.groupBy("cell").agg(F.sum("c").alias("c"), F.min("ck").alias("ck")).where("c = 1")
     return once.groupBy("ck").agg(F.count(F.lit(1)).alias("u"))
 
 

@@ -2,13 +2,16 @@
 
 1. A character trigram model is counted over all texts (partial counts per
    task, summed in a shuffle over at most ``N_CLASSES ** 3`` codes).
-2. A text is cut at white space.  Chunks that look disguised (leetspeak,
-   letters joined by dots or dashes, letters repeated three times or more) and
-   runs of four or more one-letter chunks become character lattices: a symbol
-   may stand for letters, a separator or a repeated letter may vanish.  The
-   best path under the character model and the channel's costs replaces them.
-   Any other chunk has a one-path lattice and stays as it is.  Every distinct
-   chunk of a slice of texts is looked at once.
+2. A text is cut at white space.  In a chunk, runs of letters and leetspeak
+   symbols, joined by separators or not, become character lattices wherever a
+   symbol stands next to a letter (or symbols stand for a whole word), a
+   separator joins letters, or a letter is doubled; so do runs of three or more
+   one-letter chunks.  A symbol may stand for letters, a separator or a repeated
+   letter may vanish (a separator between longer parts rather divides them).
+   The best path under the character model and the channel's costs replaces the
+   run; other runs have one path.  Runs with few paths are scored together, all
+   paths of all of them at once; the others one by one, by Viterbi.  What a
+   chunk gives as evidence is kept by the worker, within ``CACHE_BYTES``.
 3. Restored texts are scored by words and word beginnings that are
    significantly more frequent in toxic documents (exact binomial tail with a
    Bonferroni bound), combined by a logistic fit.
@@ -37,7 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import wording
-from spanweave.llm.common import column, ragged_take, stored, table, text_slices
+from spanweave.llm.common import binary_parts, column, stored, table, text_slices
+from spanweave.llm.encoding import LONGEST, ChunkIndex, Ragged
 from spanweave.llm.line_crf import held_out, training_sample
 
 SAMPLE = 16_000
@@ -54,15 +58,18 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
         "@": "a", "$": "s", "!": "i", "+": "t", "€": "e", "£": "l"}
 SEPARATORS = " .-_*"
 # Costs of the channel, in nats.
-COST_SYMBOL, COST_SYMBOL_LOST, COST_REPEAT, COST_BREAK = 1.0, 9.0, 0.4, 4.0
+COST_SYMBOL, COST_SYMBOL_LOST, COST_REPEAT, COST_BREAK, COST_JOIN = 1.0, 9.0, 0.4, 4.0, 2.0
 
-RUN = 4  # one-letter chunks in a row that count as one spaced-out word
+RUN = 3          # one-letter chunks in a row that count as one spaced-out word
+PATHS = 128      # of a lattice that is scored path by path
+CACHE_BYTES = 96 << 20  # of a worker's chunks
 
 _L, _S = r"[^\W\d_]", "[" + re.escape("".join(LEET)) + "]"
-_DISGUISED = re.compile(
-    rf"(?:{_L}|{_S})(?:[.\-_*]{{1,2}}(?:{_L}|{_S})){{3,}}(?![^\W_])"                    # joined by separators
-    rf"|(?:{_L}|{_S})*(?:{_L}{_S}+{_L}|(?<!\w){_S}{{1,2}}{_L}{{2}})(?:{_L}|{_S})*"      # leetspeak
-    rf"|{_L}*({_L})\1\1{_L}*")                                                          # repetition
+_ANY = f"(?:{_L}|{_S})"
+_RUN = re.compile(rf"{_ANY}+(?:[.\-_*]{{1,2}}{_ANY}+)*")
+# what may make a run a lattice: a doubled letter, a symbol, a separator between letters or symbols
+_SUSPECT = re.compile(rf"({_L})\1|{_S}|{_ANY}[.\-_*]{{1,2}}{_ANY}")
+_DISGUISED = re.compile(rf"({_L})\1|{_L}{_S}|{_S}{_L}|{_ANY}[.\-_*]{{1,2}}{_ANY}|[@$€£!+]{{2}}")
 
 
 _tables: list[np.ndarray] = []
@@ -120,6 +127,9 @@ def _options(span: str, i: int) -> list[tuple[str, float]]:
             out.append(("", COST_REPEAT))
         return out
     if c in SEPARATORS:
+        long = lambda part: len(part) > 1 and part.isalpha()
+        if long(span[max(i - 2, 0):i]) and long(span[i + 1:i + 3]):
+            return [("", COST_JOIN), (" ", 0.0)]
         return [("", 0.0), (" ", COST_BREAK)]
     return [(c, 0.0), ("", COST_REPEAT)] if i and span[i - 1] == c else [(c, 0.0)]
 
@@ -148,49 +158,144 @@ def decode(span: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-class Restorer:
-    """Restored chunks, each distinct span decoded once."""
-
-    def __init__(self, model: np.ndarray):
-        self.model, self.seen = model, {}
-
-    def span(self, s: str) -> str:
-        if s not in self.seen:
-            if len(self.seen) >= SPAN_CACHE:
-                self.seen.clear()
-            self.seen[s] = decode(s, self.model)
-        return self.seen[s]
+def _paths(span: str) -> list[tuple[str, float]] | None:
+    """All paths of a lattice as (text, cost); none where there are too many."""
+    out, plain = [("", 0.0)], 0
+    for i in range(len(span)):
+        options = _options(span, i)
+        if len(options) > 1:
+            head = span[plain:i]
+            if len(out) * len(options) > PATHS:
+                return None
+            out = [(s + head + c, p + price) for s, p in out for c, price in options]
+            plain = i + 1
+    return [(s + span[plain:], p) for s, p in out]
+
+
+def decode_all(spans: list[str], model: np.ndarray) -> list[str]:
+    """``decode`` of many spans: the paths of all small lattices are scored at once."""
+    found = [_paths(x) for x in spans]
+    small = [i for i, f in enumerate(found) if f is not None]
+    out = [decode(x, model) if f is None else "" for x, f in zip(spans, found)]
+    paths = [p for i in small for p in found[i]]
+    if paths:
+        lens = np.fromiter((len(t) for t, _ in paths), np.int64, len(paths))
+        c = _class_table()[wording.code_points("\n\n" + "\n\n".join(t for t, _ in paths) + "\n\n")].astype(np.int64)
+        n = lens + 1  # trigrams of a path: from the boundary before it to the one behind
+        first = np.cumsum(lens + 2) - lens - 2
+        at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        cost = -np.add.reduceat(model[c[at], c[at + 1], c[at + 2]].astype(np.float64), np.cumsum(n) - n)
+        cost += np.fromiter((p for _, p in paths), np.float64, len(paths))
+        begin = 0
+        for i in small:
+            end = begin + len(found[i])
+            out[i] = paths[begin + int(np.argmin(cost[begin:end]))][0]
+            begin = end
+    return out
+
+
+def _spans(chunk: str) -> list[tuple[int, int]]:
+    """Where a lower-cased chunk's lattices begin and end."""
+    out = []
+    for m in _RUN.finditer(chunk):
+        run = m.group().rstrip("!") if m.group()[:2].isalpha() else m.group()  # exclamation marks behind a word
+        if _DISGUISED.search(run):
+            out.append((m.start(), m.start() + len(run)))
+    return out
 
-    def chunk(self, chunk: str) -> str:
-        low = chunk.lower()
-        return _DISGUISED.sub(lambda m: self.span(m.group()), low) if _DISGUISED.search(low) else low
 
-    def chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(text, chunk) occurrences and the restored distinct chunks."""
+class Restorer:
+    """Restored chunks and their evidence (``only``: of these sorted hashes).
+    What a distinct chunk gives is kept, within ``max_bytes``."""
+
+    def __init__(self, model: np.ndarray, only: np.ndarray | None = None, max_bytes: int = CACHE_BYTES):
+        self.model, self.only, self.max_bytes = model, only, max_bytes
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index, self.hits, self.letter = ChunkIndex(), Ragged(np.uint64), np.zeros(0, np.uint32)
+        self.runs: dict[str, np.ndarray] = {}
+
+    def restored(self, chunks: list[str]) -> list[str]:
+        """The chunks in lower case, their lattices decoded."""
+        low = [c.lower() for c in chunks]
+        where = {i: sp for i, c in enumerate(low) if _SUSPECT.search(c) and (sp := _spans(c))}
+        spans = list(dict.fromkeys(low[i][s:e] for i, sp in where.items() for s, e in sp))
+        best = dict(zip(spans, decode_all(spans, self.model)))
+        for i, sp in where.items():
+            text, parts, at = low[i], [], 0
+            for s, e in sp:
+                parts += [text[at:s], best[text[s:e]]]
+                at = e
+            low[i] = "".join([*parts, text[at:]])
+        return low
+
+    def _evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence of restored texts in a row, and how much each has."""
+        h, at = chunk_evidence(texts)
+        if self.only is not None:
+            hit = np.zeros(len(h), bool)
+            if len(self.only) and len(h):
+                hit = self.only[np.minimum(np.searchsorted(self.only, h), len(self.only) - 1)] == h
+            at = np.concatenate(([0], np.cumsum(hit)))[at]
+            h = h[hit]
+        return h, np.diff(at)
+
+    def _entries(self, distinct: pa.Array) -> np.ndarray:
+        data, bounds = binary_parts(distinct)
+        first, second = wording.poly_hashes(data, bounds)
+        if self.index.first.nbytes * 2.5 + self.hits.nbytes() + self.letter.nbytes > self.max_bytes:
+            self._reset()
+        at = self.index.find(first, second).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            chunks = distinct.take(pa.array(missing)).to_pylist()
+            at[missing] = self.hits.append(*self._evidence(self.restored(chunks)))
+            letters = (ord(c) if len(c) == 1 and (c.isalpha() or c in LEET) else 0 for c in chunks)
+            self.letter = np.concatenate([self.letter, np.fromiter(letters, np.uint32, len(chunks))])
+            kept = missing[np.diff(bounds)[missing] <= LONGEST]
+            self.index.add(first[kept], second[kept], at[kept].astype(np.int32))
+        return at
+
+    def _run(self, letters: np.ndarray) -> np.ndarray:
+        """Evidence of a spaced-out word."""
+        span = " ".join(map(chr, letters.tolist())).lower()
+        if span not in self.runs:
+            if len(self.runs) >= SPAN_CACHE:
+                self.runs.clear()
+            self.runs[span] = self._evidence(decode_all([span], self.model))[0]
+        return self.runs[span]
+
+    def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, hash) pairs of the restored texts."""
         lists = pc.utf8_split_whitespace(texts)
         ends = np.asarray(lists.offsets).astype(np.int64)
         ends -= ends[0]
         coded = lists.flatten().dictionary_encode()
-        codes = np.asarray(coded.indices).astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
+        entry = self._entries(coded.dictionary)[np.asarray(coded.indices)]
         owner = np.repeat(np.arange(len(texts)), np.diff(ends))
-        restored = [self.chunk(c) for c in distinct]
-        single = np.fromiter((len(c) == 1 and (c.isalpha() or c in LEET) for c in distinct), bool, len(distinct))
-        flag = single[codes]
-        edge = np.ones(len(codes) + 1, bool)  # where a run of one-letter chunks can't go on
+        letter = self.letter[entry]
+        flag = letter > 0
+        edge = np.ones(len(entry) + 1, bool)  # where a run of one-letter chunks can't go on
         edge[1:-1] = (flag[1:] != flag[:-1]) | (owner[1:] != owner[:-1])
         bounds = np.flatnonzero(edge)
-        extra: dict[str, int] = {}
-        keep = np.ones(len(codes), bool)
-        more_owner, more_code = [], []
-        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if flag.any() else ():
-            if j - i >= RUN and flag[i]:
+        run = np.flatnonzero((np.diff(bounds) >= RUN) & flag[bounds[:-1]]) if len(entry) else np.zeros(0, np.int64)
+        got, n = self.hits.take(entry)
+        if len(run):
+            keep = np.ones(len(entry), bool)
+            more = []
+            for i, j in zip(bounds[run].tolist(), bounds[run + 1].tolist()):
                 keep[i:j] = False
-                text = self.span(" ".join(distinct[c] for c in codes[i:j].tolist()).lower())
-                more_owner.append(int(owner[i]))
-                more_code.append(extra.setdefault(text, len(distinct) + len(extra)))
-        return (np.concatenate([owner[keep], np.array(more_owner, np.int64)]),
-                np.concatenate([codes[keep], np.array(more_code, np.int64)]), restored + list(extra))
+                more.append((int(owner[i]), self._run(letter[i:j])))
+            got = np.concatenate([got[np.repeat(keep, n)], *(h for _, h in more)])
+            owner = np.concatenate([np.repeat(owner[keep], n[keep]), *(np.full(len(h), o) for o, h in more)])
+        else:
+            owner = np.repeat(owner, n)
+        order = np.lexsort((got, owner))
+        owner, got = owner[order], got[order]
+        keep = np.ones(len(got), bool)
+        keep[1:] = (got[1:] != got[:-1]) | (owner[1:] != owner[:-1])
+        return owner[keep], got[keep]
 
 
 def chunk_evidence(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,29 +311,6 @@ def chunk_evidence(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return parts[order], np.searchsorted(owner[order], np.arange(len(chunks) + 1))
 
 
-def evidence(texts: pa.Array, restore: Restorer, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, hash) pairs of the restored texts; ``only``: of these
-    sorted hashes."""
-    owner, codes, chunks = restore.chunks(texts)
-    h, at = chunk_evidence(chunks)
-    if only is not None:
-        hit = np.zeros(len(h), bool)
-        if len(only) and len(h):
-            hit = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h
-        sums = np.concatenate(([0], np.cumsum(hit)))
-        h, at = h[hit], sums[at]
-    n = np.diff(at)[codes]
-    some = n > 0
-    owner, codes, n = owner[some], codes[some], n[some]
-    got = ragged_take(h, at[codes], n)
-    owner = np.repeat(owner, n)
-    order = np.lexsort((got, owner))
-    owner, got = owner[order], got[order]
-    keep = np.ones(len(got), bool)
-    keep[1:] = (got[1:] != got[:-1]) | (owner[1:] != owner[:-1])
-    return owner[keep], got[keep]
-
-
 @dataclass
 class Scorer:
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted
@@ -237,7 +319,7 @@ class Scorer:
     constant: float | None = 0.0
 
     def features(self, texts: pa.Array, restore: Restorer) -> np.ndarray:
-        owner, h = evidence(texts, restore, self.hashes)
+        owner, h = restore.evidence(texts)
         x = np.zeros((len(texts), 3))
         x[:, 0] = 1
         if len(h):
@@ -278,7 +360,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(model)
         for batch, texts in text_slices(batches):
-            owner, h = evidence(texts, restore)
+            owner, h = restore.evidence(texts)
             label = np.asarray(column(batch, "label").cast(pa.int64()))
             u, back = np.unique(h, return_inverse=True)
             toxic = np.bincount(back, weights=label[owner], minlength=len(u)).astype(np.int64)
@@ -301,7 +383,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
     scorer = select_with(a, n_toxic, n_clean, often)
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model)
+        restore = Restorer(model, scorer.hashes)
         for batch, texts in text_slices(batches):
             x = scorer.features(texts, restore)
             yield pa.RecordBatch.from_arrays([column(batch, "label").cast(pa.int32()), pa.array(x[:, 1]), pa.array(x[:, 2])],
@@ -338,7 +420,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 
 def toxicity_scores(docs: DataFrame, model: np.ndarray, scorer: Scorer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(model)
+        restore = Restorer(model, scorer.hashes)
         for batch, texts in text_slices(batches):
             s = scorer.scores(texts, restore)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(s, pa.float64())], ["doc_id", "score"])

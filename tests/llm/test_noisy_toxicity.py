@@ -31,12 +31,41 @@ def test_viterbi_against_all_paths(span, model):
     assert paths[N.decode(span, model)] == pytest.approx(min(paths.values()), abs=1e-4)
 
 
+def test_paths_scored_at_once_equal_viterbi(model):
+    spans = ["1d10t", "s.t.u", "booook", "l0o0s", "0", "hat3", "a$$", "@$$", "stuppid", "well-known", "stu-pid", "letter", "mm.ii", "x" * 9, "+1+1"]
+    assert N.decode_all(spans, model) == [N.decode(x, model) for x in spans]
+    assert N._paths("$" * 40) is None and N.decode_all(["$" * 40], model) == [N.decode("$" * 40, model)]
+
+
 def test_restored_chunks(model):
     r = N.Restorer(model)
-    texts = ["what a m0r0n this i d i o t is", "letter coffee", None or "", "s.t.u.p.i.d looooser"]
-    owner, codes, chunks = r.chunks(pa.array(texts, pa.large_string()))
-    got = [{chunks[c] for o, c in zip(owner, codes) if o == i} - {""} for i in range(len(texts))]
-    assert got == [{"what", "a", "moron", "this", "idiot", "is"}, {"letter", "coffee"}, set(), {"stupid", "loser"}]
+    assert r.restored(["what", "m0r0n", "Letter", "coffee!", "s.t.u.p.i.d", "looooser", "2024"]) == ["what", "moron", "letter", "coffee!", "stupid", "loser", "2024"]
+    texts = ["what a m0r0n this i d i o t is", "letter coffee", "", "s.t.u.p.i.d looooser", "a s s x"]
+    owner, got = r.evidence(pa.array(texts, pa.large_string()))
+    plain = ["what a moron this idiot is", "letter coffee", "", "stupid loser", ""]
+    for i, t in enumerate(plain[:4]):
+        want = np.unique(N.chunk_evidence(t.split() or [""])[0])
+        assert got[owner == i].tolist() == want.tolist()
+
+
+@pytest.fixture(scope="module")
+def toxic_model():
+    words = "hate hater dude dumb ass asses foo fool stupid idiot the that here hat had and ate mass class all letter"
+    return N.smoothed(N.trigram_counts([(words + " ") * 300]).reshape((N.N_CLASSES,) * 3).astype(float))
+
+
+@pytest.mark.parametrize("shown,meant", [("hat3", "hate"), ("du3", "due"), ("a$$", "ass"), ("@$$", "ass"), ("f.o.o", "foo"), ("stuppid", "stupid"),
+                                         ("1d1ot", "idiot"), ("stu-pid", "stupid"), ("stupid!!", "stupid!!"), ("class", "class"), ("3", "3"), ("hat", "hat")])
+def test_disguised_words(toxic_model, shown, meant):
+    assert N.Restorer(toxic_model).restored([shown]) == [meant]
+
+
+def test_results_do_not_depend_on_what_is_kept(model):
+    texts = pa.array(["m0r0n letter a s s", "booook s.t.u m0r0n", None, "x" * 2000 + " m0r0n"] * 3, pa.large_string()).fill_null("")
+    one, two = N.Restorer(model), N.Restorer(model, max_bytes=0)
+    for _ in range(2):
+        a, b = one.evidence(texts), two.evidence(texts)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
 
 
 def test_long_chunk(model):
