@@ -1,12 +1,16 @@
 """Near-duplicate vectors through iterative quantisation (operator 7).
 
 1. Exact copies (same label, same components) become one class.
-2. Iterative quantisation learns a rotation of the centred vectors on a bounded
+2. Iterative quantisation learns rotations of the centred vectors on a bounded
    sample (the ``SAMPLE`` smallest content hashes), so that the signs of the
    rotated components are balanced binary codes; every class is encoded.
-3. Multi-index Hamming tables: the code is cut into ``BLOCKS`` blocks, and two
-   classes of one label meet in every table where a block agrees.  All pairs
-   within Hamming distance ``BLOCKS - 1`` meet, farther ones mostly do.
+3. Multi-index Hamming tables: the code is cut into blocks, and two classes of
+   one label meet in every table where a block agrees.  A block is as long as
+   the label is large (about ``MEMBERS`` classes share its value by chance), and
+   there are as many tables as a pair at the threshold needs to meet in one of
+   them but for ``MISSED`` of the pairs.  Longer blocks need more tables, but the
+   pairs that are compared grow little faster than the vectors (as the power
+   1.2, not 2).
 4. A table entry with many members is cut into chunks by content hash; each
    pair of chunks is a tile of bounded size, so no task holds a whole hot
    entry.  A tile reranks with the original vectors (cosine in double
@@ -25,6 +29,7 @@ largest; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +43,25 @@ from spanweave.llm.components import components
 COSINE = 0.93
 SAMPLE = 10_000
 ITERATIONS = 50
-BITS, BLOCKS = 64, 8
+BITS = 64        # of one rotation
+MEMBERS = 16     # classes that share a block's value by chance, about
+SHORTEST = 8     # bits of a block
+MISSED = 0.015   # pairs at the threshold that no table brings together
 TILE = 1500  # members of a chunk of a table entry
 
 
-def fit_rotation(x: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
+def tables(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """Bits of a block and number of blocks for a label of ``n`` classes."""
+    width = min(max(SHORTEST, math.ceil(math.log2(max(n, 1) / MEMBERS))), 32)
+    meet = (1 - math.acos(min(max(cosine, -1.0), 1.0)) / math.pi) ** width
+    return width, max(1, math.ceil(math.log(MISSED) / math.log(1 - meet))) if meet < 1 else 1
+
+
+def fit_rotation(x: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection (dimension x bits) of iterative quantisation."""
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     mean = x.mean(0)
-    rng = np.random.default_rng(7)
+    rng = np.random.default_rng(seed)
     _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
     axes = axes[:, ::-1][:, :bits]
     if axes.shape[1] < bits:  # short vectors: further random directions
@@ -63,7 +78,26 @@ def fit_rotation(x: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS)
 def codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     mean, projection = model
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    return np.packbits((x - mean) @ projection >= 0, axis=1)
+    return (x - mean) @ projection >= 0
+
+
+class Rotations:
+    """As many rotations of a vector length as codes need, fitted on demand."""
+
+    def __init__(self, dim: int, sample: np.ndarray | None):
+        self.dim, self.sample, self.fitted = dim, sample, []
+
+    def blocks(self, x: np.ndarray, width: int, count: int) -> np.ndarray:
+        """Values of the blocks, one row per vector."""
+        while len(self.fitted) * BITS < width * count:
+            seed = 7 + len(self.fitted)
+            if self.sample is None:  # a length the sample hasn't seen
+                self.fitted.append((np.zeros(self.dim), np.random.default_rng(seed * 1000 + self.dim).normal(size=(self.dim, BITS))))
+            else:
+                self.fitted.append(fit_rotation(self.sample, seed=seed))
+        need = math.ceil(width * count / BITS)
+        bits = np.concatenate([codes(x, m) for m in self.fitted[:need]], 1)[:, :width * count].reshape(len(x), count, width)
+        return (bits @ (1 << np.arange(width, dtype=np.int64))).astype(np.uint32)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +108,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = vec = dim = None
             if label is not None and e and None not in e:
                 v = np.array(e, np.float64) + 0.0
-                if np.isfinite(v).all() and v.any() and np.isfinite(v @ v) and v @ v > 0:
-                    vec, dim = v.tobytes(), len(e)
-                    key = hashlib.md5(f"{label}:".encode() + vec).digest()
+                if np.isfinite(v).all() and v.any():
+                    key = hashlib.md5(f"{label}:".encode() + v.tobytes()).digest()
+                    v = v / np.abs(v).max()  # no square leaves the range of doubles
+                    vec, dim = (v / np.abs(v).max()).tobytes(), len(e)
             keys.append(key)
             vecs.append(vec)
             dims.append(dim)
@@ -123,7 +158,7 @@ def _tiles(cosine: float):
         def links(t: pa.Table) -> list:
             head = {k: t.column(k)[0].as_py() for k in ("dim", "block", "a", "b")}
             x = _matrix(t.column("vec").to_pylist(), head["dim"])
-            code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
+            code = np.frombuffer(b"".join(t.column("code").to_pylist()), "<u4").reshape(len(x), -1)
             return link_tile(t.column("key").to_pylist(), x, code, np.asarray(t.column("n")), np.asarray(t.column("chunk")),
                              head["a"], head["b"], head["block"], cosine)
 
@@ -161,40 +196,55 @@ def _tiles(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
-    """One row per vector: ``vec_id, n_links, component_id, kept``."""
-    vecs = stored(vectors.select("vec_id", "label", "embedding")
-                  .mapInArrow(_read, "vec_id long, label string, key binary, dim int, vec binary"), "vectors")
-    usable = vecs.where(F.col("key").isNotNull())
-    models = {}
+def encoded_classes(usable: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
+    """Classes of equal vectors with their code (block values, unsigned 32-bit):
+    ``key, label, dim, vec, n, least_id, code, blocks``; written once."""
     by_dim: dict[int, list] = {}
     for r in usable.select("key", "dim", "vec").orderBy("key").limit(sample).collect():  # at most ``sample`` rows
         by_dim.setdefault(r.dim, []).append(r.vec)
-    for dim, rows in by_dim.items():
-        models[dim] = fit_rotation(_matrix(rows, dim))
+    samples = {dim: _matrix(rows, dim) for dim, rows in by_dim.items()}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotations: dict[int, Rotations] = {}
         for batch in batches:
             out: list = [None] * batch.num_rows
-            dims, vec = np.asarray(column(batch, "dim")), column(batch, "vec").to_pylist()
-            for dim in np.unique(dims).tolist():
-                if dim not in models:  # a length the sample hasn't seen
-                    models[dim] = (np.zeros(dim), np.random.default_rng(dim).normal(size=(dim, BITS)))
-                at = np.flatnonzero(dims == dim)
-                for i, c in zip(at.tolist(), codes(_matrix([vec[i] for i in at.tolist()], dim), models[dim])):
-                    out[i] = c.tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "code"])
+            dims, size, vec = np.asarray(column(batch, "dim")), np.asarray(column(batch, "size")), column(batch, "vec").to_pylist()
+            shapes = [tables(int(n), cosine) for n in size]
+            for dim, shape in set(zip(dims.tolist(), shapes)):
+                at = [i for i in range(len(shapes)) if dims[i] == dim and shapes[i] == shape]
+                rotation = rotations.setdefault(dim, Rotations(dim, samples.get(dim)))
+                for i, values in zip(at, rotation.blocks(_matrix([vec[i] for i in at], dim), *shape)):
+                    out[i] = values
+            kept = [c for c in batch.schema.names if c != "size"]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array([v.astype("<u4").tobytes() for v in out], pa.binary()),
+                                              pa.array([v.tolist() for v in out], pa.list_(pa.int64()))], [*kept, "code", "blocks"])
 
     classes = usable.groupBy("key").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"),
                                         F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least_id"))
-    classes = stored(classes.mapInArrow(encode, "key binary, label string, dim int, vec binary, n long, least_id long, code binary"),
-                     "vector-classes")
+    classes = stored(classes, "vector-keys")
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
+    rows = classes.join(sizes, ["label", "dim"]).select("key", "label", "dim", "vec", "n", "least_id", "size")
+    return stored(rows.mapInArrow(encode, "key binary, label string, dim int, vec binary, n long, least_id long, code binary, blocks array<long>"),
+                  "vector-classes")
+
 
-    blocks = F.posexplode(F.array(*[F.substring("code", i + 1, 1) for i in range(BLOCKS)])).alias("block", "value")
+def table_members(classes: DataFrame, tile: int = TILE) -> tuple[DataFrame, list[str]]:
+    """Classes in the table entries that have others too, with the entry's
+    ``members`` and ``chunks``; and the entry's columns."""
+    blocks = F.posexplode("blocks").alias("block", "value")
     bucket = ["label", "dim", "block", "value"]
     sizes = classes.select("label", "dim", blocks).groupBy(*bucket).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = classes.select("key", "label", "dim", "vec", "n", "code", blocks)
-    members = members.join(sizes.select(*bucket, F.ceil(F.col("members") / tile).cast("int").alias("chunks")), bucket)
+    return members.join(sizes.select(*bucket, "members", F.ceil(F.col("members") / tile).cast("int").alias("chunks")), bucket), bucket
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
+    """One row per vector: ``vec_id, n_links, component_id, kept``."""
+    vecs = stored(vectors.select("vec_id", "label", "embedding")
+                  .mapInArrow(_read, "vec_id long, label string, key binary, dim int, vec binary"), "vectors")
+    usable = vecs.where(F.col("key").isNotNull())
+    classes = encoded_classes(usable, cosine, sample)
+    members, bucket = table_members(classes, tile)
     members = members.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     spread = members.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     spread = spread.select(*bucket, F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"),

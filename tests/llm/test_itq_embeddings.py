@@ -62,3 +62,28 @@ def test_components_of_chains_and_rings(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (41, 40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 42)}, 101: 100, 102: 100}
+
+
+def test_extreme_lengths_link(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 0.0], 0), (4, [1e-200, 0.0], 0), (5, [5e-324, 5e-324], 0), (6, [1.0, 1.0], 0),
+            (7, [1e308, -1e308], 0), (8, [-1.0, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in Q.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (1, 3), 4: (1, 3), 5: (3, 1), 6: (3, 1), 7: (0, 7), 8: (0, 8)}
+
+
+def test_compared_pairs_grow_little_faster_than_the_vectors(spark):
+    rng = np.random.default_rng(3)
+    pairs = {}
+    for n in (4000, 32_000):
+        rows = [(f"{i:08d}".encode(), "0", 64, rng.normal(size=64).tobytes(), i) for i in range(n)]
+        usable = spark.createDataFrame(rows, "key binary, label string, dim int, vec binary, vec_id long")
+        entries, bucket = Q.table_members(Q.encoded_classes(usable, sample=2000))
+        pairs[n] = sum(r["count"] ** 2 for r in entries.groupBy(*bucket).count().collect())
+    assert pairs[32_000] / pairs[4000] <= 8 ** 1.25
+
+
+def test_tables_bring_pairs_at_the_threshold_together():
+    for n in (10, 5000, 10**6, 10**9):
+        width, count = Q.tables(n)
+        meet = (1 - np.arccos(Q.COSINE) / np.pi) ** width
+        assert (1 - meet) ** count <= Q.MISSED and width * count < 4000
