@@ -10,8 +10,8 @@
    coordinate is still empty, so the work is a few darts per coordinate and one
    hash per element, however heavy the document.
 3. ``BANDS`` bands of ``ROWS`` coordinates meet in a join.  A band entry with
-   few classes yields all its pairs.  A larger one links every class to a few
-   hubs and is split further by the following bands.  Later, classes of a large
+   few classes yields all its pairs.  A larger one links every class to a
+   hub and is split further by the following bands.  Later, classes of a large
    entry outside its main component are compared with all of the entry that
    they can still be similar to, given the weight that each holds alone (the
    exact way for what the hubs missed); nothing is capped.
@@ -39,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import column, row_key, stored, table, text_slices
+from spanweave.llm.common import column, maybe_member, row_key, stored, table, text_slices
 from spanweave.llm.components import components
 from spanweave.llm.wording import mix, unit, weighted_cells, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 SMALL = 40   # band entries up to this size yield all their pairs
-HUBS = 3
+HUBS = 1
 SLICE = 1_000_000  # bytes of text hashed at once in a task; bounds the workers' memory
 
 _DART, _PLACE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -203,7 +203,7 @@ def class_texts(wanted: DataFrame, docs: DataFrame, classes: DataFrame, name: st
     """``ck, text``: the whole text of one document of each wanted class."""
     reps = stored(classes.select("ck", F.col("rep.k").alias("k")).join(wanted, "ck"), f"{name}-wanted")
     rows = docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text"))
-    return stored(rows.join(reps, "k").select("ck", "text"), f"{name}-texts")
+    return stored(maybe_member(rows, reps, "k").join(reps, "k").select("ck", "text"), f"{name}-texts")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
