@@ -38,13 +38,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import row_key, stored, table
+from spanweave.llm.common import maybe_member, row_key, stored, table
 
 DEPTH, SHARE = 4, 0.8
 MIN_DOCS, SHORT, SHORT_DOCS, MIN_TOKENS = 2, 8, 5, 3
 HOT = 10_000
 OTHER_BLANKS = ("\t", "\r", "\f")
-DIGIT_TOKEN = "(^|[ \\n])[^ 0-9\\n]*[0-9][^ \\n]*"
+DIGIT_TOKEN = "(^|[ \\n])[^ 0-9\\n]*+[0-9][^ \\n]*+"
 
 
 def _plain(text: Column) -> Column:
@@ -108,7 +108,7 @@ def _round(active: DataFrame) -> DataFrame:
 def _generalised(lines: DataFrame, distinct: DataFrame) -> DataFrame | None:
     """Templates of lines with variable fields: ``lh, template``."""
     wide = stored(distinct.where("general").groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("leaf"), "wide-leaves")
-    body = lines.where(F.col("m").isNotNull()).join(wide, "leaf", "left_semi").groupBy("lh", "leaf").agg(F.min("m").alias("m"))
+    body = maybe_member(lines.where(F.col("m").isNotNull()).select("lh", "leaf", "m"), wide, "leaf").join(wide, "leaf", "left_semi").groupBy("lh", "leaf").agg(F.min("m").alias("m"))
     active = stored(body.select("lh", "leaf", F.split("m", " ", -1).alias("tokens")), "wide-lines")
     found = []
     while not active.isEmpty():
