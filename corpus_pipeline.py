@@ -69,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scope(spark):  # what a stage writes on its way goes with it
+            docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.session import scratch_path
+from spanweave.session import remove, scratch_path
 
 _SERIAL = itertools.count()
 
@@ -26,13 +27,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_MADE: list[list[str]] = []  # tables of the open scopes
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables written inside, at the end (a result that
+    outlives the scope is written with ``keep``)."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove(spark, path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table under the shared checkpoint folder and read it back.
 
     Cuts lineage: a lost executor re-reads committed files instead of
     re-running what came before."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{os.getpid()}-{next(_SERIAL)}")
+    if _MADE and not keep:
+        _MADE[-1].append(path)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

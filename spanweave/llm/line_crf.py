@@ -240,12 +240,14 @@ def held_out(modulus: int, remainder: int):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, learn, sample: int) -> DataFrame:
-    """At most ``sample`` labelled ids that may be learnt from, by hash of the
-    id, with their whole texts: ``text, label``."""
+    """At most ``sample`` labelled documents that may be learnt from, by hash of
+    the id, with their whole texts: ``text, label``."""
     chosen = (labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & learn)
               .groupBy("doc_id").agg(F.min("label").alias("label"))
               .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # of rows that share an id one is learnt from, so the sample is bounded in rows
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
