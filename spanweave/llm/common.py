@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -67,6 +69,16 @@ def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
                                   F.coalesce(F.col(text).cast("string"), F.lit("")))))
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system: a worker lives on, and
+    so do the workers next to it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim is not None:
+            trim(0)
+
+
 def text_slices(batches, text: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut Arrow batches into runs of rows holding at most ``limit`` bytes of
     text (a longer single text is a run of its own); null texts become empty."""
@@ -82,6 +94,7 @@ def text_slices(batches, text: str = "text", limit: int = SLICE_CHARS) -> Iterat
                 start, used = i, 0
             used += n
         yield batch.slice(start), col.slice(start)
+    give_back()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

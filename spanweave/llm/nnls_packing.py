@@ -42,6 +42,7 @@ WINDOW = 1024
 END_ID = 0
 TRIPLE_LENGTHS = 48  # triples are drawn from this many surplus lengths
 ROUNDS = 400         # of the projected gradient
+ROWS = 1000          # documents whose pieces are made at once
 ENCODED = "part long, doc_id long, n_tokens long, tail int, tail_rank long, full_before long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -202,7 +203,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, sp
                          & (F.col("rank") < F.col("to_rank")), "left")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
             names = ("doc_id", "n_tokens", "tail", "rank", "full_before", "full_offset", "from_rank", "first_sequence", "slot_offset", "ids")
             for doc, n, tail, rank, f0, f1, slot, seq, off, raw in zip(*(column(batch, x).to_pylist() for x in names)):
