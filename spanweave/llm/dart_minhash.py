@@ -9,12 +9,13 @@
    ``(K ln K + 2 K) / total weight`` are looked at, twice as far where a
    coordinate is still empty, so the work is a few darts per coordinate and one
    hash per element, however heavy the document.
-3. ``BANDS`` bands of ``ROWS`` coordinates meet in a join.  A band entry with
-   few classes yields all its pairs.  A larger one links every class to a
-   hub and is split further by the following bands.  Later, classes of a large
-   entry outside its main component are compared with all of the entry that
-   they can still be similar to, given the weight that each holds alone (the
-   exact way for what the hubs missed); nothing is capped.
+3. ``BANDS`` bands of ``ROWS`` coordinates meet in a join.  Every class of a band
+   entry is compared with the entry's hub; a large entry is split further by the
+   following bands, with a hub in each part.  What those links leave in different
+   components is then looked at exactly: all pairs of small entries, and the
+   classes of a large entry outside its main component with all of the entry
+   that they can still be similar to, given the weight that each holds alone;
+   nothing is capped.
 4. Pairs are verified exactly: weighted Jaccard similarity of at least
    ``SIMILARITY``; then components by alternating stars.
 
@@ -33,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ from spanweave.llm.wording import mix, unit, weighted_cells, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-SMALL = 40   # band entries up to this size yield all their pairs
+SMALL = 40   # band entries up to this size yield all their pairs that aren't linked yet
 HUBS = 1
 SLICE = 1_000_000  # bytes of text hashed at once in a task; bounds the workers' memory
 
@@ -120,12 +122,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return stored(out, "dart-signatures")
 
 
-def _all_pairs(members: DataFrame, key: list[str]) -> DataFrame:
-    """All pairs of entries of at most ``SMALL`` classes."""
-    lists = members.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ck", "n"))).alias("l"))
-    pairs = F.expr("flatten(transform(sequence(1, size(l) - 1), i -> transform(slice(l, i + 1, size(l)), "
-                   "y -> struct(l[i - 1] AS x, y AS y))))")
-    return lists.where(F.size("l") > 1).select(F.explode(pairs).alias("p")).select(
+def _all_pairs(members: DataFrame, key: list[str], found: DataFrame) -> DataFrame:
+    """All pairs of entries of at most ``SMALL`` classes that lie in different
+    components (``found``: node, root)."""
+    rows = members.join(found.withColumnRenamed("node", "ck"), "ck", "left").select(*key, "ck", "n", F.coalesce("root", "ck").alias("root"))
+    lists = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ck", "n", "root"))).alias("l"), F.min("root").alias("low"), F.max("root").alias("high"))
+    pairs = F.expr("filter(flatten(transform(sequence(1, size(l) - 1), i -> transform(slice(l, i + 1, size(l)), "
+                   "y -> struct(l[i - 1] AS x, y AS y)))), p -> p.x.root <> p.y.root)")
+    return lists.where("low <> high").select(F.explode(pairs).alias("p")).select(
         F.col("p.x.ck").alias("a"), F.col("p.y.ck").alias("b"), F.col("p.x.n").alias("na"), F.col("p.y.n").alias("nb"))
 
 
@@ -142,26 +146,17 @@ def _entries(members: DataFrame, key: list[str]) -> DataFrame:
     return members.drop("size", "hubs").join(sizes, key)
 
 
-def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs ``a < b`` to verify, and the members of large entries."""
+def candidate_entries(classes: DataFrame) -> list[tuple[DataFrame, list[str]]]:
+    """Members of the entries with several classes, and the entries' columns: by
+    one band, and for large entries by two and three bands that follow each other."""
     bands = F.array(*[F.struct(F.lit(i).alias("band"), *[F.col("bands")[(i + j) % BANDS].alias(f"v{j}") for j in range(3)])
                       for i in range(BANDS)])
     members = classes.select("ck", "n", F.inline(bands))
-    key, level, parts = ["band", "v0"], _entries(members, ["band", "v0"]), []
-    level = stored(level, "dart-entries")
-    large_entries = None
+    out, key = [], ["band", "v0"]
     for depth in range(3):
-        small, large = level.where(F.col("size") <= SMALL), level.where(F.col("size") > SMALL)
-        parts += [_all_pairs(small, key), _hub_pairs(large)]
-        if large_entries is None:
-            large_entries = large
-        if depth < 2:
-            key = [*key, f"v{depth + 1}"]
-            level = _entries(large, key)
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.union(p)
-    return _ordered(pairs), large_entries.select("band", "v0", "ck", "n")
+        out.append((stored(_entries(members, key), "dart-entries"), key))
+        members, key = out[-1][0].where(F.col("size") > SMALL), [*key, f"v{depth + 1}"]
+    return out
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -251,7 +246,7 @@ def _outside_main(large: DataFrame, found: DataFrame, docs: DataFrame, classes:
     possible = (F.col("roota") != F.col("rootb")) & (shared >= SIMILARITY * (F.col("na") + F.col("nb") - shared))
     a, b = side(rest, "a"), side(able, "b").withColumnsRenamed({"band": "band_b", "v0": "v0_b"})
     pairs = a.join(b, (F.col("band") == F.col("band_b")) & (F.col("v0") == F.col("v0_b")) & possible)
-    return _ordered(pairs.select(F.col("cka").alias("a"), F.col("ckb").alias("b"), "na", "nb"))
+    return pairs.select(F.col("cka").alias("a"), F.col("ckb").alias("b"), "na", "nb")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -261,11 +256,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("k"))
     classes = signed.where(F.col("ck").isNotNull()).groupBy("ck").agg(F.min(order).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "dart-classes")
-    pairs, large = candidate_pairs(classes)
-    links = verified(pairs, docs, classes, "dart-first")
-    if large.limit(1).count():
-        more = verified(_outside_main(large, components(links, "dart-components"), docs, classes), docs, classes, "dart-rest")
-        links = links.union(more)
+    entries = candidate_entries(classes)
+    links = verified(_ordered(reduce(DataFrame.union, [_hub_pairs(e) for e, _ in entries])), docs, classes, "dart-first")
+    found = components(links, "dart-components")
+    rest = [_all_pairs(e.where((F.col("size") > 2) & (F.col("size") <= SMALL)), key, found) for e, key in entries]
+    large = entries[0][0].where(F.col("size") > SMALL).select("band", "v0", "ck", "n")
+    if not large.isEmpty():
+        rest.append(_outside_main(large, found, docs, classes))
+    links = links.union(verified(_ordered(reduce(DataFrame.union, rest)), docs, classes, "dart-rest"))
     found = components(links, "dart-components")
     whole = classes.select("ck", "rep").join(found.withColumnRenamed("node", "ck"), "ck", "left") \
         .select("ck", "rep", F.coalesce("root", "ck").alias("root"))
