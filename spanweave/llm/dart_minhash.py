@@ -259,11 +259,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = candidate_entries(classes)
     links = verified(_ordered(reduce(DataFrame.union, [_hub_pairs(e) for e, _ in entries])), docs, classes, "dart-first")
     found = components(links, "dart-components")
-    rest = [_all_pairs(e.where((F.col("size") > 2) & (F.col("size") <= SMALL)), key, found) for e, key in entries]
+    small = [_all_pairs(e.where((F.col("size") > 2) & (F.col("size") <= SMALL)), key, found) for e, key in entries]
+    links = links.union(verified(_ordered(reduce(DataFrame.union, small)), docs, classes, "dart-small"))
     large = entries[0][0].where(F.col("size") > SMALL).select("band", "v0", "ck", "n")
     if not large.isEmpty():
-        rest.append(_outside_main(large, found, docs, classes))
-    links = links.union(verified(_ordered(reduce(DataFrame.union, rest)), docs, classes, "dart-rest"))
+        outside = _outside_main(large, components(links, "dart-components"), docs, classes)
+        links = links.union(verified(_ordered(outside), docs, classes, "dart-rest"))
     found = components(links, "dart-components")
     whole = classes.select("ck", "rep").join(found.withColumnRenamed("node", "ck"), "ck", "left") \
         .select("ck", "rep", F.coalesce("root", "ck").alias("root"))
