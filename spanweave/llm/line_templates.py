@@ -76,7 +76,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     written = F.when(text.rlike("[0-9]"), F.split(_plain(text), "\n", -1)).otherwise(F.array().cast("array<string>"))
     both = F.arrays_zip(F.split(_masked(text), "\n", -1).alias("m"), written.alias("w"))
-    lines = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(both).alias("pos", "x"))
+    # the key is made below the generator too: above it, every line would hash the whole text again
+    whole = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), both.alias("both"))
+    lines = whole.select("k", "doc_id", F.posexplode_outer("both").alias("pos", "x"))
     lines = lines.select("k", "doc_id", "pos", F.trim("x.m").alias("m"), F.trim(F.coalesce("x.w", "x.m")).alias("w"))
     n = F.length("m") - F.length(F.replace("m", F.lit(" "))) + 1
     lines = lines.select("*", n.alias("n")).where(F.col("n") >= MIN_TOKENS).withColumn("bare", _bare("m", "n"))
