@@ -55,18 +55,22 @@ SUMMED = "lang string, source string, term long, n long"
 EVALUATED = "lang string, source string, other string, term long, value long"
 
 
-def _low(word: Column) -> Column:
-    """Only A-Z in lower case (``lower`` where a word has nothing else to lower)."""
+def _low(text: Column) -> Column:
+    """Only A-Z in lower case (``lower`` where a text has nothing else to lower)."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, upper, lower))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
-    """``lang, source, words`` (terms with their language in front)."""
+    """``lang, source, words`` (terms with their language, in hex, in front).
+
+    Whole texts are lowered and marked before they are cut, so nothing is done
+    term by term."""
     lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text"))
     out = docs.select(lang.alias("lang"), source.alias("source"), text.alias("text"))
-    found = F.array_remove(F.split("text", SEPARATORS, -1), "")
-    return out.select("lang", "source", F.transform(found, lambda w: F.concat("lang", F.lit(MARK), _low(w))).alias("words"),
+    tag = F.concat(F.hex("lang"), F.lit(MARK))
+    marked = F.concat(tag, F.regexp_replace(_low(F.col("text")), F.lit(SEPARATORS), F.concat(F.lit(" "), tag)))
+    return out.select("lang", "source", F.array_remove(F.split(marked, " ", -1), tag).alias("words"),
                       F.length("text").alias("size"), F.xxhash64("text").alias("hash"))
 
 
@@ -121,7 +125,8 @@ def _group_sums(vectors: DataFrame) -> DataFrame:
 def group_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS, slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Counts of kept terms ``lang, source, term, n`` and the vocabulary
     ``lang, term, word`` (``term``: a number)."""
-    spark, rows = docs.sparkSession, documents_of(docs)
+    spark = docs.sparkSession
+    rows = stored(documents_of(docs), "divergence-terms")  # read by the estimate, the fit and the transform of every slice
     n_slices = slices_needed(rows, min_docs, max_terms) if slices is None else slices
     rows = rows.select("lang", "source", "words")
     sums, words, first = [], [], 0
@@ -135,8 +140,7 @@ def group_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MA
         sums.append(stored(_group_sums(vectors).withColumn("term", F.col("term") + first), "divergence-sums"))
         own = pa.table({"term": np.arange(first, first + len(vocabulary)), "tagged": pa.array(vocabulary, pa.string())})
         tagged = spark.createDataFrame(own)
-        word = F.substring_index("tagged", MARK, -1)
-        lang = F.expr(f"left(tagged, length(tagged) - length(substring_index(tagged, '{MARK}', -1)) - 1)")
+        lang, word = F.unhex(F.substring_index("tagged", MARK, 1)).cast("string"), F.substring_index("tagged", MARK, -1)
         words.append(stored(tagged.select(lang.alias("lang"), "term", word.alias("word")), "divergence-words"))
         first += len(vocabulary)
     if not sums:
