@@ -61,17 +61,30 @@ def _low(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
-def documents_of(docs: DataFrame) -> DataFrame:
-    """``lang, source, words`` (terms with their language, in hex, in front).
+def _tag() -> Column:
+    return F.concat(F.hex("lang"), F.lit(MARK))
+
+
+def marked_texts(docs: DataFrame) -> DataFrame:
+    """``lang, source, marked`` (terms with their language, in hex, in front,
+    between spaces).
 
     Whole texts are lowered and marked before they are cut, so nothing is done
     term by term."""
     lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text"))
     out = docs.select(lang.alias("lang"), source.alias("source"), text.alias("text"))
-    tag = F.concat(F.hex("lang"), F.lit(MARK))
-    marked = F.concat(tag, F.regexp_replace(_low(F.col("text")), F.lit(SEPARATORS), F.concat(F.lit(" "), tag)))
-    return out.select("lang", "source", F.array_remove(F.split(marked, " ", -1), tag).alias("words"),
-                      F.length("text").alias("size"), F.xxhash64("text").alias("hash"))
+    marked = F.concat(_tag(), F.regexp_replace(_low(F.col("text")), F.lit(SEPARATORS), F.concat(F.lit(" "), _tag())))
+    return out.select("lang", "source", marked.alias("marked"), F.length("text").alias("size"), F.xxhash64("text").alias("hash"))
+
+
+def _with_words(marked: DataFrame) -> DataFrame:
+    words = F.array_remove(F.split("marked", " ", -1), _tag())
+    return marked.select("lang", "source", words.alias("words"), "size", "hash")
+
+
+def documents_of(docs: DataFrame) -> DataFrame:
+    """``lang, source, words`` (terms with their language in front)."""
+    return _with_words(marked_texts(docs))
 
 
 def _part(words: Column | str, parts: int, part: int) -> Column:
@@ -126,7 +139,9 @@ def group_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MA
     """Counts of kept terms ``lang, source, term, n`` and the vocabulary
     ``lang, term, word`` (``term``: a number)."""
     spark = docs.sparkSession
-    rows = stored(documents_of(docs), "divergence-terms")  # read by the estimate, the fit and the transform of every slice
+    # read by the estimate, the fit and the transform of every slice; a string a
+    # document is cheaper to write, read and pass over than an array of its terms
+    rows = _with_words(stored(marked_texts(docs), "divergence-terms"))
     n_slices = slices_needed(rows, min_docs, max_terms) if slices is None else slices
     rows = rows.select("lang", "source", "words")
     sums, words, first = [], [], 0

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+from spanweave.llm import source_divergence as sd
 from spanweave.sources import fixtures as fx
 
 TEXTS = [None, "", " ", "   ", "Abc", "Abcd", "Abcd.", "Abc.!|", "....", "a....", "éÀbcd Zürich, 東京タワー。 x😀yzw Ab😀d:", "Tabs\tand\nlines\r\n end ",
@@ -46,3 +47,13 @@ def test_no_lambda_runs_per_character(spark):
     d = fx.with_annotations(spark.createDataFrame([(1, "en", "Alpha, betas Gamma gam")], "doc_id long, lang string, text string"))
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "sequence(" not in plan
+
+
+def test_terms_are_stored_as_one_string_a_document(spark, monkeypatch):
+    docs = spark.createDataFrame([("a b", "s", "Alpha, beta ALPHA"), ("", None, " Gamma"), (None, "s", None)], "lang string, source string, text string")
+    kinds, store = {}, sd.stored
+    monkeypatch.setattr(sd, "stored", lambda df, name, **k: (kinds.setdefault(name, dict(df.dtypes)), store(df, name, **k))[1])
+    counts, words = sd.group_vectors(docs, min_docs=1, slices=2)
+    assert "array<string>" not in kinds["divergence-terms"].values()
+    got = {(r["lang"], r["source"], r["word"], r["n"]) for r in counts.join(words.drop("lang"), "term").collect()}
+    assert got == {("a b", "s", "alpha", 2), ("a b", "s", "beta", 1), ("", "", "gamma", 1)}
